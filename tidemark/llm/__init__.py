@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from .chat import op3_chat_formatting
 from .line_dedup import OP5_SQL, op5_line_dedup
+from .mixing import OP2_SQL, op2_source_mixing
+from .url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_chat_formatting": op3_chat_formatting,
     "op5_line_dedup": op5_line_dedup,
 }
 ORACLES = {
+    "op2_source_mixing": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
 }
