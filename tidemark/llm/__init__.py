@@ -5,6 +5,9 @@ from __future__ import annotations
 from .chat import op3_chat_formatting
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP2_SQL, op2_source_mixing
+from .pii import op8_pii
+from .quality import op10_quality_classifier
+from .toxicity import op9_toxicity
 from .url_filter import op1_url_filter
 
 QUERIES = {
@@ -12,6 +15,9 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_line_dedup": op5_line_dedup,
+    "op8_pii": op8_pii,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {
     "op2_source_mixing": OP2_SQL,
