@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op3_chat_formatting
+from .decontam import op4_benchmark_decontamination
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP2_SQL, op2_source_mixing
 from .pii import op8_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mixing": op2_source_mixing,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
