@@ -6,6 +6,7 @@ from .chat import op3_chat_formatting
 from .decontam import op4_benchmark_decontamination
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP2_SQL, op2_source_mixing
+from .ngram_join import op6_ngram_jaccard_join
 from .pii import op8_pii
 from .quality import op10_quality_classifier
 from .toxicity import op9_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
