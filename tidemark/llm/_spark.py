@@ -46,7 +46,8 @@ def join_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, how
 
     right carries in `weight` how many rows of left its key has (or more). Keys with at least 1/most of
     all weight are at most `most`, so they are broadcast; the rest go through a shuffle join in which no
-    key has more than that share. how: left or inner. Null keys match nothing.
+    key has more than that share. how: left or inner. Null keys match nothing. left is read twice, so it
+    should be a stored table.
     """
     total = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("t")).first()["t"]
     cut = max(200, int(total) // most)
@@ -64,24 +65,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     """(node, component) with component the smallest node reachable, for every node of an edge.
 
     Large-star and small-star steps in turn (Kiveris et al., 2014): each node hooks its larger
-    neighbours to its smallest one. Every step is a groupBy min and a join; nothing is collected but
-    one checksum a round. Each round's edges are written to the shared folder.
+    neighbours to its smallest one. Every step is a groupBy min and a join; nothing is collected. Each round's edges are written to the shared folder.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     pairs = durable(pairs, "cc")
-    before = None
     for _ in range(rounds):
+        # settled: every node has one smaller neighbour, and that one has none
+        odd = pairs.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("u").alias("x"))
+        deep = pairs.select(F.col("v").alias("x")).distinct().join(pairs.select(F.col("u").alias("x")).distinct(), "x", "left_semi")
+        if odd.unionByName(deep).limit(1).count() == 0:
+            break
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
         large = join_by_weight(both, least, "u", "d", "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = durable(large.filter("u <> v").distinct(), "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
         small = join_by_weight(large, low, "u", "d", "inner").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         pairs = durable(small.filter("u <> v").distinct(), "cc")
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     ends = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
