@@ -9,6 +9,7 @@ from .mixing import OP2_SQL, op2_source_mixing
 from .ngram_join import op6_ngram_jaccard_join
 from .pii import op8_pii
 from .quality import op10_quality_classifier
+from .topk_search import OP7_SQL, op7_exact_topk_search
 from .toxicity import op9_toxicity
 from .url_filter import op1_url_filter
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_exact_topk_search": op7_exact_topk_search,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
@@ -26,4 +28,5 @@ QUERIES = {
 ORACLES = {
     "op2_source_mixing": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op7_exact_topk_search": OP7_SQL,
 }
