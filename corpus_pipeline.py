@@ -1,13 +1,72 @@
-"""The corpus pipeline."""
+"""From raw documents to a training mix: five operators, each on what the one before kept.
+
+toxicity rejects documents, line dedup rewrites texts, the n-gram join keeps the smallest id of each
+group of near copies, decontamination drops documents that hold benchmark items, mixing repeats what is
+left to target weights. STAGES is the order; each stage takes (spark, docs, sf_dir) and returns the
+columns of docs (mixing adds `copy`). run() stores each stage's result in the shared folder.
+
+Defined cases: null and empty texts pass every stage (they are scored by the prior of the toxicity
+model); a null doc_id is never dropped by an id; rows that repeat a doc_id are one document after the
+join; extra columns pass through; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontam, line_dedup, mixing, ngram_join, toxicity
+from tidemark.llm._spark import durable, read
+
+REJECT_AT = 0.3
+MOST_BROADCAST = 400_000
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model, docs.columns).filter(F.col("__score") < REJECT_AT).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")) if "n_chars" in docs.columns else out
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"))
+    gone = durable(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+    few = gone.count() <= MOST_BROADCAST
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    repeated = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count() > 0
+    if repeated:
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    return kept
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("source_mixing", mix_sources),
+]
+
+#: Training and the parity join have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = durable(docs, name)
     return docs
