@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import LOWER, UPPER, join_by_weight, read
+from ._spark import LOWER, UPPER, durable, join_by_weight, read
 
 
 def _keys(lines: Column, min_chars: int) -> Column:
@@ -29,15 +29,18 @@ def _keys(lines: Column, min_chars: int) -> Column:
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `text_col` rewritten, plus __n_lines and __n_dropped.
 
-    Shuffles: partial counts of 16-byte digests; digest and id of each line that might go; the documents
+    Texts are split and hashed once; digests and ids (a tenth of the input or less) are kept in the
+    shared folder for counting and matching. Shuffles: partial counts of 16-byte digests; digest and id of each line that might go; the documents
     once by id, for putting lines back. Digests held by a large share of documents are matched by a
     broadcast of at most 5000 rows, so no task gets all documents of one line.
     """
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     held = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__d"), F.explode(F.array_distinct(F.filter(_keys(lines, min_chars), lambda k: k.isNotNull()))).alias("__h"))
+    held = durable(held, "lines")
     repeated = docs.groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
     pairs = held.distinct() if repeated else held
     counts = pairs.groupBy("__h").agg(F.count("*").alias("n"), F.max("__d").alias("keeper")).filter(F.col("n") >= min_docs)
+    counts = durable(counts, "line-counts")
     going = join_by_weight(held, counts, "__h", "n", "inner").filter(F.col("__d") != F.col("keeper"))
     per_doc = going.groupBy(F.col("__d").alias("__id")).agg(F.collect_set("__h").alias("__drop"))
     found = docs.join(per_doc, F.col(id_col) == F.col("__id"), "left")
