@@ -24,14 +24,14 @@ from ._bytes import MARKS, Chunk, append_columns, chunks, mix
 from ._spark import read
 
 BITS = 18
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?\n"]] = True
-SALTS = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)) for i in range(4)]
+SALTS = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)) for i in range(6)]
 
 
 def word_features(c: Chunk) -> np.ndarray:
-    """Four buckets a word: the word, and its first 4, 5 and 6 bytes (the whole word if shorter)."""
+    """Six buckets a word: the word, and its first 4 to 8 bytes (the whole word if shorter)."""
     cols = [c.hashes()] + [c.spans(c.start, np.minimum(c.start + n, c.end)) for n in BEGINNINGS]
     return np.stack([(mix(h ^ s) >> np.uint64(64 - BITS)).astype(np.int32) for h, s in zip(cols, SALTS, strict=True)], 1)
 
@@ -63,7 +63,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 80, r
         owner.append(t + i)
         base += len(t)
     feats, sent, owner = np.concatenate(feats), np.concatenate(sent), np.concatenate(owner)
-    kinds, word = np.unique(feats[:, 0].astype(np.int64) << 36 | feats[:, 1].astype(np.int64) << 18 | feats[:, 3], return_inverse=True)
+    kinds, word = np.unique(feats[:, 0].astype(np.int64) << 36 | feats[:, 1].astype(np.int64) << 18 | feats[:, -1], return_inverse=True)
     table = np.zeros((len(kinds), feats.shape[1]), np.int32)
     table[word] = feats
     del feats
@@ -85,7 +85,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 80, r
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Fit on a bounded sample. Only ids are ordered; the texts of the chosen ids, a broadcast of at most `sample`, come to the driver."""
     one = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("y"))
     one = one.filter(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2)
