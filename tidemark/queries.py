@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys as K
 from .functions import text as T
-from .operators import asof, barrier, facets, graph, intervals, merge, ohlc, versions
+from .operators import asof, barrier, checks, facets, graph, intervals, merge, ohlc, versions
 from .plans import predicates as P
 from .sources import tables as S
 
@@ -587,3 +587,73 @@ def page_row_check(spark, d):
     p = o.withColumns({"r": F.row_number().over(w.orderBy("o_orderkey")), "total": F.count("*").over(w)})
     g = p.groupBy("year", (F.floor((F.col("r") - 1) / 100) + 1).alias("page")).agg(F.count("*").alias("actual"), F.max("total").alias("total"))
     return g.select("year", "page", "actual", T.expected_rows(F.col("total"), F.col("page"), F.ceil(F.col("total") / 100), 100).cast("long").alias("expected"))
+
+
+# checks, samples, subgraphs -----------------------------------------------------------------------------
+
+
+@query("""SELECT 'missing' AS issue, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+  UNION ALL SELECT 'duplicate', o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey HAVING count(*) > 1""")
+def membership_differences(spark, d):
+    c, o = S.table(spark, d, "customer", ["c_custkey"]), S.table(spark, d, "orders", ["o_custkey"])
+    return checks.membership(c, o.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') LIKE '%7%' AND event_type IN ('view', 'click')")
+def record_filters(spark, d):
+    e = S.table(spark, d, "events", ["event_id", "event_type", "props"])
+    k = F.get_json_object("props", "$.k")
+    return e.filter(checks.record_filter(k, "contains", "7") & checks.record_filter(F.col("event_type"), "in", ["view", "click"])).select("event_id")
+
+
+@query("""WITH p AS (SELECT event_type AS level, hour(ts)::INT AS report, count(*) AS n FROM events GROUP BY ALL)
+  SELECT level, report, n::BIGINT AS n, round(n / sum(n) OVER (PARTITION BY level), 6) AS share FROM p""")
+def warning_rollup(spark, d):
+    e = S.table(spark, d, "events", ["event_type", "ts"]).select(F.col("event_type").alias("level"), F.hour("ts").alias("report"))
+    return checks.rollup(e, "level", "report")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('11:' || doc_id), doc_id LIMIT 25")
+def seeded_sample(spark, d):
+    return checks.seeded_sample(S.table(spark, d, "documents", ["doc_id"]), "doc_id", 11, 25)
+
+
+@query("""SELECT o_custkey AS custkey, greatest((max(o_orderdate::DATE) - 89)::DATE, DATE '1996-01-01') AS quarter, least(DATE '1996-01-01', min(o_orderdate::DATE)) AS everything FROM orders GROUP BY 1""")
+def range_presets(spark, d):
+    o = S.table(spark, d, "orders", ["o_custkey", "o_orderdate"]).groupBy(F.col("o_custkey").alias("custkey")).agg(F.max(F.to_date("o_orderdate")).alias("e"), F.min(F.to_date("o_orderdate")).alias("s"))
+    floor = F.lit("1996-01-01").cast("date")
+    return o.select("custkey", checks.range_preset(F.col("e"), F.col("s"), 90, floor).alias("quarter"), checks.range_preset(F.col("e"), F.col("s"), None, floor).alias("everything"))
+
+
+@query("""SELECT unnest(['o_orderstatus', 'o_orderpriority', 'o_totalprice']) AS field, unnest([count(nullif(o_orderstatus, '')), count(nullif(o_orderpriority, '')), count(o_totalprice)])::BIGINT AS filled,
+  unnest([count(*) - count(nullif(o_orderstatus, '')), count(*) - count(nullif(o_orderpriority, '')), count(*) - count(o_totalprice)])::BIGINT AS "empty" FROM orders""")
+def field_completeness(spark, d):
+    return checks.completeness(S.table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority", "o_totalprice"])
+
+
+@query(f"""WITH {_EDGES}, n AS (SELECT DISTINCT source AS id FROM e UNION SELECT target FROM e), v AS (SELECT id FROM n WHERE id NOT LIKE 'c%'), k AS (SELECT * FROM e WHERE relation = 'IN_NATION' AND source IN (SELECT id FROM v) AND target IN (SELECT id FROM v))
+  SELECT id, 'edge' AS kind FROM k UNION ALL SELECT id, 'node' FROM v WHERE id IN (SELECT source FROM k UNION SELECT target FROM k)""")
+def visible_subgraph(spark, d):
+    edges = _edges(spark, d)
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    shown, kept = graph.visible(nodes, edges, ~F.col("id").startswith("c"), F.col("relation") == "IN_NATION", hide_isolated=True)
+    return kept.select("id", F.lit("edge").alias("kind")).unionByName(shown.select("id", F.lit("node").alias("kind")))
+
+
+@query(f"WITH {_EDGES}, r AS (SELECT 'r1' AS node UNION SELECT source FROM e WHERE target = 'r1') SELECT DISTINCT id, source, target FROM e WHERE source IN (SELECT node FROM r) OR target IN (SELECT node FROM r)")
+def graph_incident_edges(spark, d):
+    edges = _edges(spark, d).select("id", "source", "target")
+    return graph.incident_edges(edges, graph.neighborhood(edges, _start(spark), 1), 2)
+
+
+@query(f"""WITH {_DISCLOSURES} SELECT id, row_number() OVER (ORDER BY disclosed_at DESC, company_name DESC, title DESC, year, id)::INT AS rank FROM d WHERE market = 'MACHINERY' AND contains(lower(title), 'low') ORDER BY rank LIMIT 50""")
+def result_order(spark, d):
+    where = P.compile_blocks([P.block("market", "equals", "machinery"), P.block("title", "contains", "low", "AND")], {f: F.col(f) for f in P.FIELDS})
+    top = facets.filter_disclosures(S.order_disclosures(spark, d), where).limit(50)  # a page of results
+    return top.select("id", F.row_number().over(Window.orderBy(F.desc("disclosed_at"), F.desc("company_name"), F.desc("title"), "year", "id")).alias("rank"))
+
+
+@query(f"WITH {_DISCLOSURES} SELECT title, count(*)::BIGINT AS n FROM d WHERE year = 1997 GROUP BY title ORDER BY n DESC, min(id) LIMIT 3")
+def top_titles(spark, d):
+    rows = S.order_disclosures(spark, d).filter("year = 1997")
+    return rows.groupBy("title").agg(F.count("*").alias("n"), F.min("id").alias("first")).orderBy(F.desc("n"), "first").limit(3).drop("first")
