@@ -4,17 +4,20 @@ A document is the set of its distinct k-word shingles. Its sketch has P words of
 picks one word by hash and XORs its own hash into it. A shingle in one set but not in the other changes
 one word only, so the number of differing words never exceeds the symmetric difference. Sets of sizes a
 and b with Jaccard similarity t or more differ in at most D = (a + b)(1 - t)/(1 + t) shingles. Documents
-of a size band share P; each emits its first D + 1 filled words in an order that depends on the word
-alone. By the pigeonhole principle two similar sets share an emitted word if they share any filled word:
-at most D of the words before the first shared one can differ. Sets with no more than D filled words
-(chance keeps them rare) also emit one word of their band, so no pair is lost. Words whose shingles are
+of a size band share P; each emits its first D + 4 filled words in an order that depends on the word
+alone. By the pigeonhole principle two similar sets share four emitted words if they share four filled
+ones: at most D of the words before those can differ. Sets of fewer filled words are sure of three, two or
+one, and say so in their id; sets with no more than D filled words (chance keeps them rare) also emit one
+word of their band, so no pair is lost. Words whose shingles are
 all frequent come last in the order, so common passages seldom are emitted; the list of frequent
 shingles only orders, it drops nothing.
 
-Words held by few documents give pairs, which are verified on the full sets. Words held by many give
-families (connected over such words); a family is cut into blocks by hash and each pair of blocks is
-verified as one matrix product, which returns a spanning forest instead of all pairs. Exact copies are
-one node throughout. Components then are found by large-star and small-star steps.
+Words held by few documents give pairs. Words held by many give families (connected over such words); a
+family is cut into blocks by hash, and pairs of blocks are compared at once and return a spanning forest
+instead of all pairs. Candidates first compare whole sketches, reduced to a byte a word; what differs in
+more than D words cannot link. The rest is verified on the full sets, families again by pairs of blocks,
+as matrix products. Exact copies are one node throughout. Components then are found by large-star and
+small-star steps.
 
 Defined cases: null, empty or white text has no shingles and is linked with nothing; 1 to k - 1 words
 are one shingle; rows that share a doc_id are one document; a null doc_id stays in the result and can be
@@ -31,9 +34,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import SPACES, Chunk, chunks, mix
-from ._spark import components, durable, join_by_weight, read
+from ._spark import components, durable, join_by_weight, read, release
 
 SMALL = 24
+MATCHES = 4
 BLOCK = 512
 FREQUENT = 200_000
 
@@ -60,10 +64,11 @@ class Sets:
         n = self.size.astype(np.uint64)
         return mix(self.totals(0x1F83D9ABFB41BD6B) + n), mix(self.totals(0x5BE0CD19137E2179) ^ n)
 
-    def ident(self) -> np.ndarray:
-        """58 bits of the digest and 6 of the size, in steps of about 1.2: enough to tell sizes that cannot match."""
+    def ident(self, shared: np.ndarray) -> np.ndarray:
+        """56 bits of the digest, 2 for how many words (1 to MATCHES) a pair must share, and 6 of the size in
+        steps of about 1.2: enough to tell pairs that cannot link before anything is fetched."""
         step = np.minimum(np.log(np.maximum(self.size, 1)) / np.log(1.2), 63).astype(np.uint64)
-        return ((self.digest()[0] & ~np.uint64(63)) | step).view(np.int64)
+        return ((self.digest()[0] & ~np.uint64(255)) | (shared - 1).astype(np.uint64) << np.uint64(6) | step).view(np.int64)
 
 
 def _lead(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -74,85 +79,122 @@ def _most(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (n + m) * (100 - percent) // (100 + percent)
 
 
-def sketch(sets: Sets, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(sets: Sets, up: int, percent: int) -> dict | None:
+    """The sketches of a chunk in each text's own band (up 0) or the next one (up 1), where it may meet larger texts.
+
+    words of text i are at[i]:at[i + 1]; most[i] is the most shingles in which a partner can differ.
+    """
+    n = sets.size.astype(np.int64)
+    band = np.frexp(np.maximum(n, 1).astype(float))[1] - 1 + up
+    top = 1 << (band + 1)
+    use = (n > 0) & ((100 * n >= percent * (1 << band)) if up else True)
+    if not use.any():
+        return None
+    width = np.where(use, np.maximum(64, np.ceil(top / 1.8)).astype(np.int64), 0)
+    at = np.concatenate([[0], np.cumsum(width)])
+    mine = use[sets.owner]
+    owner, runs = sets.owner[mine], sets.all[mine]
+    slot = ((runs >> np.uint64(7)) % width[owner].astype(np.uint64)).astype(np.int64) + at[owner]
+    words, filled = np.zeros(at[-1], np.uint64), np.zeros(at[-1], bool)
+    np.bitwise_xor.at(words, slot, mix(runs ^ np.uint64(0xA24BAED4963EE407)))
+    filled[slot] = True
+    return {"use": use, "band": band, "at": at, "slot": slot, "mine": mine, "words": words, "filled": filled, "most": _most(n, np.minimum(100 * n // percent, top - 1), percent)}
+
+
+def _bands(sets: Sets, percent: int) -> tuple[list[dict | None], np.ndarray]:
+    """The sketches in both bands, and how many words each text is sure to share with any it links with, 1 to MATCHES.
+
+    All but D of k filled words agree, so the first D + c of them hold c agreeing ones if k >= D + c.
+    """
+    both, shared = [_words(sets, up, percent) for up in (0, 1)], np.full(len(sets.size), MATCHES)
+    for found in both:
+        if found is not None:
+            k = np.diff(np.concatenate([[0], np.cumsum(found["filled"])])[found["at"]])
+            shared = np.where(found["use"], np.minimum(shared, k - found["most"]), shared)
+    return both, np.clip(shared, 1, MATCHES)
+
+
+def compact(both: list[dict | None], n: int) -> tuple[pa.Array, pa.Array]:
+    """One byte a sketch word, own band and next band (null where there is none): equal words have equal
+    bytes, so the number of differing bytes still never exceeds the symmetric difference."""
+    out = []
+    for found in both:
+        if found is None:
+            out.append(pa.nulls(n, pa.binary()))
+            continue
+        raw, at = (found["words"] >> np.uint64(56)).astype(np.uint8).tobytes(), found["at"]
+        out.append(pa.array([raw[i:j] if u else None for i, j, u in zip(at[:-1], at[1:], found["use"], strict=True)], pa.binary()))
+    return out[0], out[1]
+
+
+def sketch(sets: Sets, both: list[dict | None], shared: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, text, whether all its shingles are frequent) of the sketch words to emit, for all texts of a chunk."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    n = sets.size.astype(np.int64)
-    band = np.frexp(np.maximum(n, 1).astype(float))[1] - 1
+    n = len(sets.size)
     rare = np.ones(len(sets.all), bool)
     if len(frequent):
         rare = frequent[np.minimum(np.searchsorted(frequent, sets.all), len(frequent) - 1)] != sets.all
-    for up in (0, 1):
-        b = band + up
-        top = 1 << (b + 1)
-        largest = np.minimum(100 * n // percent, top - 1)
-        use = (n > 0) & ((100 * n >= percent * (1 << b)) if up else True)
-        if not use.any():
+    for found in both:
+        if found is None:
             continue
-        width = np.maximum(64, np.ceil(top / 1.8)).astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(np.where(use, width, 0))])
-        mine = use[sets.owner]
-        owner, runs = sets.owner[mine], sets.all[mine]
-        slot = ((runs >> np.uint64(7)) % width[owner].astype(np.uint64)).astype(np.int64) + at[owner]
-        words, filled, some_rare = np.zeros(at[-1], np.uint64), np.zeros(at[-1], bool), np.zeros(at[-1], bool)
-        np.bitwise_xor.at(words, slot, mix(runs ^ np.uint64(0xA24BAED4963EE407)))
-        filled[slot] = True
-        some_rare[slot[rare[mine]]] = True
-        place = np.flatnonzero(filled)
+        at, band, most = found["at"], found["band"], found["most"]
+        some_rare = np.zeros(at[-1], bool)
+        some_rare[found["slot"][rare[found["mine"]]]] = True
+        place = np.flatnonzero(found["filled"])
         text = np.searchsorted(at, place, "right") - 1
-        sig = mix(words[place] ^ mix((place - at[text]).astype(np.uint64) * np.uint64(64) + b[text].astype(np.uint64)))
+        sig = mix(found["words"][place] ^ mix((place - at[text]).astype(np.uint64) * np.uint64(64) + band[text].astype(np.uint64)))
         common = ~some_rare[place]
         order = np.lexsort((sig, common, text))
         sig, text, common = sig[order], text[order], common[order]
-        begin = np.searchsorted(text, np.arange(len(n)))
-        rank = np.arange(len(text)) - begin[text]
-        most = _most(n, largest, percent)
-        taken = rank <= most[text]
+        rank = np.arange(len(text)) - np.searchsorted(text, np.arange(n))[text]
+        taken = rank < (most + shared)[text]
         out.append((sig[taken], text[taken], common[taken]))
-        thin = np.flatnonzero(use & (np.bincount(text, minlength=len(n)) <= most))
+        thin = np.flatnonzero(found["use"] & (np.bincount(text, minlength=n) <= most))
         if len(thin):
-            out.append((mix(b[thin].astype(np.uint64) ^ np.uint64(0xFEDCBA9876543210)), thin, np.ones(len(thin), bool)))
+            out.append((mix(band[thin].astype(np.uint64) ^ np.uint64(0xFEDCBA9876543210)), thin, np.ones(len(thin), bool)))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def digests(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, fp, id, shingle, count): a row for each document; and, with null fp, shingles frequent in a batch."""
+def digests(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, fp, id, own, up, shingle, count): a row for each document; and, with null fp, shingles frequent in a batch."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, heads = _lead(batch, id_col), []
-            names = [id_col, "n", "fp", "id", "shingle", "count"]
+            names = [id_col, "n", "fp", "id", "own", "up", "shingle", "count"]
             for i, c in chunks(_lead(batch, text_col), SPACES):
                 s = Sets(c, k)
+                both, shared = _bands(s, percent)
                 raw = np.stack(s.digest(), 1).tobytes()
                 heads.append(s.all)
                 fp = pa.array([raw[j : j + 16] for j in range(0, len(raw), 16)], pa.binary())
                 none = pa.nulls(c.n, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, c.n), pa.array(s.size.astype(np.int64)), fp, pa.array(s.ident()), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, c.n), pa.array(s.size.astype(np.int64)), fp, pa.array(s.ident(shared)), *compact(both, c.n), none, none], names=names)
             hash_, count = np.unique(np.concatenate(heads) if heads else np.zeros(0, np.uint64), return_counts=True)
-            often = count >= max(4, batch.num_rows // 50)
+            often = count >= max(4, batch.num_rows // 1000)
             m = int(often.sum())
             if m:
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(hash_[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(hash_[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n long, fp binary, id long, shingle long, count long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n long, fp binary, id long, own binary, up binary, shingle long, count long")
 
 
 def emissions(docs: DataFrame, frequent: np.ndarray, k: int, percent: int, text_col: str) -> DataFrame:
     """(sig, id, common) of all documents; copies within an Arrow batch emit once."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    often = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             for _, c in chunks(_lead(batch, text_col), SPACES):
                 s = Sets(c, k)
-                ident = s.ident()
+                both, shared = _bands(s, percent)
+                ident = s.ident(shared)
                 fresh = np.array([not (x in seen or seen.add(x)) for x in ident.tolist()], bool)
-                sig, text, common = sketch(s, shared.value, percent)
+                sig, text, common = sketch(s, both, shared, often.value)
                 ok = fresh[text]
                 yield pa.RecordBatch.from_arrays([pa.array(sig[ok].view(np.int64)), pa.array(ident[text[ok]]), pa.array(common[ok])], names=["sig", "id", "common"])
 
@@ -160,7 +202,7 @@ def emissions(docs: DataFrame, frequent: np.ndarray, k: int, percent: int, text_
 
 
 def shingle_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, id, n, shingles)."""
+    """(rep, n, shingles)."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +210,9 @@ def shingle_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFra
             for i, c in chunks(_lead(batch, text_col), SPACES):
                 s = Sets(c, k)
                 lists = pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.all.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([_lead(batch, id_col).slice(i, c.n), pa.array(s.ident()), pa.array(s.size.astype(np.int64)), lists], names=["rep", "id", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([_lead(batch, id_col).slice(i, c.n), pa.array(s.size.astype(np.int64)), lists], names=["rep", "n", "shingles"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"rep {kind}, id long, n long, shingles array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"rep {kind}, n long, shingles array<long>")
 
 
 def _forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -213,8 +255,30 @@ def link_block(sets: list[np.ndarray], side: np.ndarray, percent: int, columns:
     return _forest(zip(a[keep].tolist(), b[keep].tolist(), strict=True), len(sets))
 
 
+def close_block(sketches: list[bytes], n: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a block (or block pair) whose sketches differ in few enough words."""
+    m = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(m)),) * 2
+    hits = []
+    for i in left:
+        near = right[(100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])) & (right != i)]
+        if len(near):
+            near = near[(m[near] != m[i]).sum(1) <= _most(n[i], n[near], percent)]
+            hits += [(int(i), int(j)) for j in near]
+    return _forest(iter(hits), len(m))
+
+
+def _blocks(family: DataFrame, node: str) -> DataFrame:
+    """(node, family, lo, hi, mine): members cut into blocks by hash, each dealt to every pair of blocks with its own."""
+    sizes = family.groupBy("family").agg(F.count("*").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int"))
+    parts = join_by_weight(family, sizes, "family", "w", "inner").withColumn("mine", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return parts.select(node, "family", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
+
+
 def jaccard_links(docs: DataFrame, table: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): links between representatives (smallest ids) of classes of equal sets, enough to connect all that link."""
+    kind = dict(docs.dtypes)[id_col]
     classes = durable(table.filter("fp IS NOT NULL AND n > 0").groupBy("fp").agg(F.min(id_col).alias("rep"), F.max("id").alias("id")), "classes")
     hot = table.filter("fp IS NULL").groupBy("shingle").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").collect()
     frequent = np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
@@ -226,51 +290,76 @@ def jaccard_links(docs: DataFrame, table: DataFrame, k: int, percent: int, id_co
     stars = join_by_weight(common, tops, "sig", "w", "inner").select(F.col("top").alias("a"), F.col("id").alias("b"))
     # all others: sorted runs of each word
     by = Window.partitionBy("sig")
-    first = Window.partitionBy("sig", "id").orderBy("id")
-    once = rows.filter("NOT common").withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r", "common")
+    dealt = rows.filter("NOT common").select("sig", "id").repartition("sig")  # one exchange serves all windows
+    once = dealt.withColumn("r", F.row_number().over(Window.partitionBy("sig", "id").orderBy("id"))).filter("r = 1").drop("r")
     runs = once.withColumn("size", F.count("*").over(by)).filter("size > 1")
     recent = by.orderBy("id").rowsBetween(-SMALL, -1)
     runs = runs.select("id", "size", F.when(F.col("size") <= SMALL + 1, F.collect_list("id").over(recent)).otherwise(F.array(F.min("id").over(by))).alias("others"))
-    edges = runs.select("id", (F.col("size") > SMALL + 1).alias("star"), F.explode("others").alias("o")).filter("id <> o").distinct()
-    edges = durable(edges.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), "star"), "edges")
-    # sizes that differ by more than the threshold allows can't link (the low 6 bits are the size in steps of 1.2)
+    edges = runs.select("id", (F.col("size") > SMALL + 1).alias("star"), F.explode("others").alias("o")).filter("id <> o")
+    edges = edges.groupBy(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), "star").agg(F.count("*").alias("shared"))
+    # a pair that meets in no star shares all the words it is sure to share here; sizes that differ by more than
+    # the threshold allows (the low 6 bits, in steps of 1.2) can't link
+    bits = lambda c, mask: F.col(c).bitwiseAND(F.lit(mask))
+    sure = F.least(F.shiftright(bits("a", 192), 6), F.shiftright(bits("b", 192), 6)) + 1
     slack = int(np.ceil(np.log(100 / percent) / np.log(1.2))) + 1
-    pairs = edges.filter(~F.col("star") & (F.abs(F.col("a").bitwiseAND(F.lit(63)) - F.col("b").bitwiseAND(F.lit(63))) <= slack)).select("a", "b").distinct()
-    family_edges = durable(edges.filter("star").select("a", "b").unionByName(stars).filter("a <> b").distinct(), "stars")
-    family = durable(components(family_edges).withColumnRenamed("component", "family"), "families")
-
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(family.select(F.col("node").alias("id"))).distinct()
-    reps = durable(classes.join(needed, "id", "left_semi").select(F.col("rep").alias("__rep")).distinct(), "reps")
-    few = reps.count() <= 200_000
-    chosen = docs.select(id_col, text_col).join(F.broadcast(reps) if few else reps, F.col(id_col) == F.col("__rep"), "left_semi")
+    edges = durable(edges.filter(F.col("star") | ((F.col("shared") >= sure) & (F.abs(bits("a", 63) - bits("b", 63)) <= slack))), "edges")
+    pairs = edges.filter("NOT star").select("a", "b")
+    star_edges = durable(edges.filter("star").select("a", "b").unionByName(stars).filter("a <> b").distinct(), "stars")
+    release(rows)
+    family = durable(components(star_edges).withColumnRenamed("component", "family").withColumnRenamed("node", "id"), "families")
+
+    # compare whole sketches, a byte a word, of all candidates
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(family.select("id")).distinct()
+    reps = classes.join(needed, "id", "left_semi").select("fp", "rep")
+    sketches = table.filter("fp IS NOT NULL AND n > 0").join(reps.withColumnsRenamed({"fp": "__fp", "rep": "__rep"}), (F.col("fp") == F.col("__fp")) & (F.col(id_col) == F.col("__rep"))).select(F.col(id_col).alias("rep"), "fp", "id", "n", "own", "up").dropDuplicates(["fp"]).drop("fp")
+    sketches = durable(sketches, "sketches")
+    side = lambda x: sketches.select(*[F.col(c).alias(f"{c}_{x}") for c in sketches.columns])
+    both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    both = both.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("rep_a", "rep_b", "n_a", "n_b", *[F.when(F.length("own_a") == F.length("own_b"), F.col(f"own_{x}")).otherwise(F.when(F.col(f"n_{x}") == F.greatest("n_a", "n_b"), F.col(f"own_{x}")).otherwise(F.col(f"up_{x}"))).alias(f"s_{x}") for x in "ab"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (_lead(batch, x).to_numpy() for x in ("n_a", "n_b"))
+            most = _most(n, m, percent)
+            ok = np.array([x is None or y is None or len(x) != len(y) or int((np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)).sum()) <= d for x, y, d in zip(_lead(batch, "s_a").to_pylist(), _lead(batch, "s_b").to_pylist(), most.tolist(), strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([_lead(batch, "rep_a").filter(pa.array(ok)), _lead(batch, "rep_b").filter(pa.array(ok))], names=["a", "b"])
+
+    close = durable(both.mapInArrow(near, f"a {kind}, b {kind}"), "close")
+
+    def sift(group: pa.Table) -> pa.Table:
+        rep, n, mine, lo = group.column("rep"), group.column("n").to_numpy(), group.column("mine").to_numpy(), group.column("lo").to_numpy()
+        found = close_block(group.column("s").to_pylist(), n, (mine != lo).astype(int), percent)
+        return pa.table({"a": rep.take(pa.array([i for i, _ in found], pa.int64())), "b": rep.take(pa.array([j for _, j in found], pa.int64()))})
+
+    banded = F.explode(F.array(F.col("own"), F.col("up"))).alias("s")
+    members = _blocks(family, "id").join(sketches, "id").select("family", "lo", "hi", "mine", "rep", "n", banded).filter("s IS NOT NULL")
+    sifted = durable(members.groupBy("family", "lo", "hi", F.length("s").alias("width")).applyInArrow(sift, f"a {kind}, b {kind}"), "sifted")
+    family = durable(components(sifted.distinct()).withColumnRenamed("component", "family").withColumnRenamed("node", "rep"), "families")
+
+    # verify what is left on the full sets
+    last = durable(close.select(F.col("a").alias("__rep")).unionByName(close.select(F.col("b").alias("__rep"))).unionByName(family.select(F.col("rep").alias("__rep"))).distinct(), "reps")
+    few = last.count() <= 400_000
+    chosen = docs.select(id_col, text_col).join(F.broadcast(last) if few else last, F.col(id_col) == F.col("__rep"), "left_semi")
     sets = durable(shingle_sets(chosen, k, id_col, text_col), "sets")
-
-    a, b = (sets.select(F.col("id").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    sized = pairs.join(a.drop("s_a"), "a").join(b.drop("s_b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-    both = sized.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
-    direct = both.filter(f"100 * i >= {percent} * (n_a + n_b - i)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-
-    sizes = family.groupBy("family").agg(F.count("*").alias("w"))
-    parts = join_by_weight(family, sizes.withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int")), "family", "w", "inner")
-    parts = parts.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    parts = parts.select(F.col("node").alias("id"), "family", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
-    kind = dict(docs.dtypes)[id_col]
+    a, b = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    i = F.size(F.array_intersect("s_a", "s_b"))
+    direct = close.join(a, "a").join(b, "b").withColumn("i", i).filter(f"100 * i >= {percent} * (n_a + n_b - i)").select("a", "b")
 
     def link(group: pa.Table) -> pa.Table:
-        rep, mine, lo = (group.column(x).to_pylist() for x in ("rep", "mine", "lo"))
+        rep, mine, lo = group.column("rep"), group.column("mine").to_numpy(), group.column("lo").to_numpy()
         column = group.column("shingles").combine_chunks()
         at, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-        found = link_block([flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], np.array([int(m != x) for m, x in zip(mine, lo, strict=True)]), percent)
-        return pa.table({"a": pa.array([rep[i] for i, _ in found], group.column("rep").type), "b": pa.array([rep[j] for _, j in found], group.column("rep").type)})
+        found = link_block([flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], (mine != lo).astype(int), percent)
+        return pa.table({"a": rep.take(pa.array([i for i, _ in found], pa.int64())), "b": rep.take(pa.array([j for _, j in found], pa.int64()))})
 
-    blocks = parts.join(sets, "id").select("family", "lo", "hi", "mine", "rep", "shingles").groupBy("family", "lo", "hi").applyInArrow(link, f"a {kind}, b {kind}")
-    return direct.unionByName(blocks)
+    members = _blocks(family, "rep").join(sets, "rep").select("family", "lo", "hi", "mine", "rep", "shingles")
+    linked = members.groupBy("family", "lo", "hi").applyInArrow(link, f"a {kind}, b {kind}")
+    return direct.unionByName(linked)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
-    table = durable(digests(docs, k, id_col, text_col), "digests")
+    table = durable(digests(docs, k, percent, id_col, text_col), "digests")
     links = durable(jaccard_links(docs, table, k, percent, id_col, text_col), "links")
     joined = components(links)
     heads = table.filter("fp IS NOT NULL AND n > 0").groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("w"))
