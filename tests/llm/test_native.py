@@ -109,6 +109,30 @@ def test_decontamination(spark):
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_slots_that_break_the_map_cost_their_own_windows_only(spark):
+    plain = "river stone garden window yellow mountain paper candle bridge silver forest winter".split()
+    words = [w for i in range(6) for w in (*plain[i:], *plain[:i], "near", "5", "ships")]
+    copied = list(words)
+    copied[[i for i, w in enumerate(words) if w == "5"][3]] = "8"
+    short = "he sold 5 of the apples for 30 dollars"
+    asked = [(1, " ".join(words)), (2, QUESTION), (3, short), (4, "lost " + " and ".join(f"ship {n} was seen near rock {n + 1}" for n in (12, 44, 71)))]
+    docs = [
+        (1, " ".join(copied)),
+        (2, "The Story of Maria and his 77 apples: he sold 4 of them for 4 dollars in Paris."),
+        (3, "he sold 4 of the apples for 4 dollars"),
+        (4, "The Story of Maria and his 77 apples: he sold 77 of them for 77 dollars in Maria."),
+    ]
+    found = {(r.doc_id, r.item_id): (r.n_windows, r.exact) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 3)}
+    assert found[1, 1] == (len(words) - 7 - 8, False) and found[2, 2] == (11, False)
+
+
+def test_texts_of_one_id_are_compared_apart(spark):
+    docs = spark.createDataFrame([(1, QUESTION), (1, "The Story of Maria and his 77 apples: he sold 77 of them for 41 dollars in Maria."), (2, "x"), (2, "Word. " + QUESTION)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, QUESTION)], "item_id long, text string")
+    assert {(r.doc_id, r.exact) for r in decontam.find_leaks(docs, bench).collect()} == {(1, True), (2, True)}
+
+
 def test_planted_items_are_found(spark):
     items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
     docs = spark.createDataFrame([(i, f"Some words here.\n{t}\nmore words follow") for i, t in items], "doc_id long, text string")

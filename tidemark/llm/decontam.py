@@ -2,20 +2,22 @@
 
 Words become a template: numbers, quantities with units, and names turn into typed placeholders, the
 rest is stripped of marks and lower-cased (A-Z). Windows of `width` template words of every document are
-hash-joined with those of the benchmark, and a match counts only if the values under the placeholders
-map one to one between item and document, so a question with other numbers and names is found, and
-chance matches of placeholders are not. Everything runs as DataFrame functions.
+hash-joined with those of the benchmark, and a window counts only if the values under its placeholders
+are the item's own or follow the map from item to document that most of its run follows, so a question with
+other numbers and names is found, and chance matches of placeholders are not. Everything runs as
+DataFrame functions.
 
 Defined cases: null or empty texts match nothing; an item with fewer words than `width` is one window of
 all its words; windows with fewer than `width` / 2 plain words (or half of a short item) are not used,
-unless an item has no others; repeated items or documents are each reported; a null id of a document is
+unless an item has no others; repeated items or documents are reported once an id, and texts that share
+an id are compared apart; exact means that no window matched with other values; a null id of a document is
 kept out (it can't be reported), a null item_id is an item; empty tables give empty results; other
 columns pass through decontaminate().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import LOWER, UPPER, durable, read
@@ -25,6 +27,8 @@ UNITS = "km m cm mm kg g mg lb oz l ml mi ft in h hr hrs hours min minutes s sec
 MARKS = ".,;:!?()[]{}\"'`|*#<>«»„“”…-–—/\\%$€£+=_&~^"
 NUM, QTY, UNIT, NAME = "\ue001", "\ue002", "\ue003", "\ue004"
 MOST_BROADCAST = 400_000
+#: Values of a run that may meet one that is taken: 5 apples, 30 dollars -> 4 apples, 4 dollars.
+MERGES = 1
 
 
 def template(text: Column) -> Column:
@@ -73,6 +77,32 @@ def benchmark_windows(benchmark: DataFrame, width: int, id_col: str, text_col: s
     return kept.select("item", "size", "p", "w", F.when(F.col("any"), F.col("good")).otherwise(F.col("all")).alias("of"))
 
 
+def fitting_windows(seen: DataFrame) -> DataFrame:
+    """(d, item, of, p, fits, exact): each matched window, whether its values fit its run, and whether they are the item's own.
+
+    A run is what one text shares with an item at one shift. Each item value stands for the document value
+    it meets in most windows, and a window fits if all its values agree with that map or are identical.
+    Up to MERGES values may become one that another already became; in a run that merges more, a
+    document value counts only for the item value it meets most.
+    """
+    run = ["d", "t", "item", "copy", "of", "size", "shift"]
+    spot = lambda p: F.sequence(p, p + F.col("size") - 1)
+    pairs = lambda p: F.filter(F.transform(spot(p), lambda i: F.struct(F.get("item_values", i).alias("a"), F.get("doc_values", i + F.col("shift")).alias("b"))), lambda x: x["a"].isNotNull() & x["b"].isNotNull())
+    wins = F.transform("ps", lambda p: F.struct(p.alias("p"), F.array_distinct(pairs(p)).alias("m")))
+    each = seen.withColumn("copy", F.xxhash64("item_values")).select(*run, F.inline(wins)).select(*run, "p", F.inline_outer("m")).repartition(*run)
+    same = F.col("a") == F.col("b")
+    each = each.withColumn("n", F.count("*").over(Window.partitionBy(*run, "a", "b")))
+    by_item = Window.partitionBy(*run, "a").orderBy(F.desc("n"), F.desc(same), "b", "p")
+    each = each.withColumns({"maps": F.col("b") == F.first("b").over(by_item), "head": F.row_number().over(by_item) == 1})
+    by_doc = Window.partitionBy(*run, "b").orderBy(F.desc("maps"), F.desc("n"), F.desc(same), "a", "p")
+    each = each.withColumn("back", F.col("a") == F.first("a").over(by_doc))
+    each = each.withColumn("merged", F.count_if(F.col("head") & ~F.col("back")).over(Window.partitionBy(*run)))
+    good = F.col("maps") & (F.col("back") | (F.col("merged") <= MERGES))
+    wins = each.groupBy(*run, "p").agg(F.coalesce(F.every(good), F.lit(True)).alias("fits"), F.coalesce(F.every(same), F.lit(True)).alias("exact"))
+    wins = wins.withColumn("fits", F.col("fits") | F.col("exact"))
+    return wins.withColumn("any", F.max("fits").over(Window.partitionBy(*run))).filter("any").select("d", "item", "of", "p", "fits", "exact")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_cover: float = 0.5, min_windows: int = 6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, n_windows, cover, exact): documents that hold at least `min_windows` windows of an item, or `min_cover` of them.
 
@@ -83,25 +113,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_cover:
     n = bench.count()
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most `width` numbers
     small = n <= MOST_BROADCAST
-    hashed = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("d"), _hashes(template(F.col(text_col))).alias("h"))
+    digest = F.xxhash64(F.col(text_col)).alias("t")
+    hashed = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("d"), digest, _hashes(template(F.col(text_col))).alias("h"))
     hits = None
     for size in sizes or [width]:
         b = bench.filter(F.col("size") == size).select("item", "p", "w", "of")
-        each = hashed.select("d", F.explode(_windows(F.col("h"), size)).alias("x")).select("d", F.col("x.p").alias("at"), F.col("x.w").alias("w"))
-        found = each.join(F.broadcast(b) if small else b, "w").select("d", "item", "of", F.lit(size).alias("size"), "p", (F.col("at") - F.col("p")).alias("shift"))
+        each = hashed.select("d", "t", F.explode(_windows(F.col("h"), size)).alias("x")).select("d", "t", F.col("x.p").alias("at"), F.col("x.w").alias("w"))
+        found = each.join(F.broadcast(b) if small else b, "w").select("d", "t", "item", "of", F.lit(size).alias("size"), "p", (F.col("at") - F.col("p")).alias("shift"))
         hits = found if hits is None else hits.unionByName(found)
-    runs = durable(hits.groupBy("d", "item", "of", "size", "shift").agg(F.collect_set("p").alias("ps")), "leaks")
+    runs = durable(hits.groupBy("d", "t", "item", "of", "size", "shift").agg(F.collect_set("p").alias("ps")), "leaks")
     ids = runs.select(F.col("d").alias("__d")).distinct()
     near = ids.count() <= MOST_BROADCAST
-    there = docs.join(F.broadcast(ids) if near else ids, F.col(id_col) == F.col("__d"), "left_semi").select(F.col(id_col).alias("d"), F.transform(template(F.col(text_col)), _value).alias("doc_values"))
+    there = docs.join(F.broadcast(ids) if near else ids, F.col(id_col) == F.col("__d"), "left_semi").select(F.col(id_col).alias("d"), digest, F.transform(template(F.col(text_col)), _value).alias("doc_values")).dropDuplicates(["d", "t"])
     asked = benchmark.select(F.col(item_col).alias("item"), F.transform(template(F.col(item_text)), _value).alias("item_values"))
-    spots = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(p, p + F.col("size") - 1))))
-    pairs = F.filter(F.transform(spots, lambda p: F.struct(F.get("item_values", p).alias("a"), F.get("doc_values", p + F.col("shift")).alias("b"))), lambda x: x["a"].isNotNull() & x["b"].isNotNull())
-    seen = runs.join(there, "d").join(F.broadcast(asked) if small else asked, runs["item"].eqNullSafe(asked["item"])).select("d", runs["item"], "of", "ps", F.array_distinct(pairs).alias("m"))
-    left, right = F.array_distinct(F.transform("m", lambda x: x["a"])), F.array_distinct(F.transform("m", lambda x: x["b"]))
-    steady = seen.filter((F.size(left) == F.size("m")) & (F.size(right) == F.size("m")))
-    each = steady.select("d", "item", "of", F.explode("ps").alias("p"), F.forall("m", lambda x: x["a"] == x["b"]).alias("exact"))
-    total = each.groupBy("d", "item", "of", "p").agg(F.max("exact").alias("exact")).groupBy("d", "item", "of").agg(F.count("*").alias("n_windows"), F.min("exact").alias("exact"))
+    seen = runs.join(there, ["d", "t"]).join(F.broadcast(asked) if small else asked, runs["item"].eqNullSafe(asked["item"])).select("d", "t", runs["item"], "of", "size", "shift", "ps", "item_values", "doc_values")
+    total = fitting_windows(seen).groupBy("d", "item", "of", "p").agg(F.max("fits").alias("fits"), F.max("exact").alias("exact"))
+    total = total.groupBy("d", "item", "of").agg(F.count_if("fits").alias("n_windows"), F.min("exact").alias("exact"))
     cover = F.col("n_windows") / F.col("of")
     return total.filter((cover >= min_cover) | (F.col("n_windows") >= min_windows)).select(F.col("d").alias(id_col), F.col("item").alias(item_col), "n_windows", cover.alias("cover"), "exact")
 
