@@ -49,6 +49,14 @@ def test_asof_both_ways(spark, bars):
     assert {r.id: r.date for r in asof.forward_asof_small(events, bars).collect()} == expected
 
 
+def test_asof_over_more_than_a_year(spark):
+    bars = spark.createDataFrame([(c, day(d), 1.0, 1.0, 1.0, 1.0) for c, d in (("A", "2020-01-02"), ("A", "2023-06-01"), ("B", "2024-01-02"))], "code string, date date, open double, high double, low double, close double")
+    events = spark.createDataFrame([(1, "A", day("2020-01-03")), (2, "A", day("2019-01-01")), (3, "B", day("1999-01-01")), (4, "A", day("2023-06-02")), (5, "A", None), (6, "A", day("2020-01-03"))], "id int, code string, anchor date")
+    found = asof.forward_asof_small(events, bars)
+    assert found.columns == ["id", "code", "anchor", "date", "open", "high", "low", "close"]
+    assert sorted((r.id, r.date) for r in found.collect()) == [(1, day("2023-06-01")), (2, day("2020-01-02")), (3, day("2024-01-02")), (6, day("2023-06-01"))]
+
+
 def test_anchor(spark):
     rows = spark.sql("SELECT timestamp'2025-01-02 15:29:59' a, timestamp'2025-01-02 15:30:00' b").select(asof.anchor_date(F.col("a")), asof.anchor_date(F.col("b"))).first()
     assert tuple(rows) == (day("2025-01-02"), day("2025-01-03"))

@@ -29,14 +29,13 @@ def forward_asof(events: DataFrame, bars: DataFrame, on: str = "anchor", key: st
     return found.filter("__side = 0 AND __hit IS NOT NULL").select(key, *[F.col(f"__event.{c}").alias(c) for c in payload], *[F.col(f"__hit.{c}").alias(c if c not in payload else f"bar_{c}") for c in keep])
 
 
-def forward_asof_small(events: DataFrame, bars: DataFrame, on: str = "anchor", key: str = "code", keep: tuple[str, ...] = ("date", "open", "high", "low", "close"), span_days: int = 366) -> DataFrame:
-    """The same for hot keys: bars are spread over the days before them, then met by equality.
+def forward_asof_small(events: DataFrame, bars: DataFrame, on: str = "anchor", key: str = "code", keep: tuple[str, ...] = ("date", "open", "high", "low", "close")) -> DataFrame:
+    """The same for hot keys: each day that has events finds its bar once, then events meet it by equality.
 
-    Each bar covers the days after the bar before it (at most span_days), which is one row a day and key:
-    an equi-join that adaptive execution can split however many events a key has.
+    Days are distinct under partial aggregation, at most one row a day and key however far the next bar is, and
+    the equi-join is one that adaptive execution can split however many events a key has.
     """
-    before = F.lag("date").over(Window.partitionBy(key).orderBy("date"))
-    first = F.greatest(F.coalesce(F.date_add(before, 1), F.date_sub("date", span_days)), F.date_sub("date", span_days))
-    days = bars.withColumn("__first", first).withColumn("__day", F.explode(F.sequence(F.col("__first"), F.col("date"))))
-    hit = days.select(F.col(key).alias("__k"), "__day", *[F.col(c).alias(c if c not in events.columns else f"bar_{c}") for c in keep])
+    days = events.filter(F.col(key).isNotNull() & F.col(on).isNotNull()).select(F.col(key), F.col(on).alias("__day")).distinct()
+    found = forward_asof(days, bars, "__day", key, keep)
+    hit = found.select(F.col(key).alias("__k"), F.col("__day"), *[F.col(c).alias(c if c not in events.columns else f"bar_{c}") for c in keep])
     return events.join(hit, (F.col(key) == F.col("__k")) & (F.col(on) == F.col("__day"))).drop("__k", "__day")
