@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import queries
 from tidemark.functions import keys as K
 from tidemark.functions import text as T
 from tidemark.plans import predicates as P
@@ -115,3 +117,27 @@ def test_keys_and_text(spark):
     assert value(T.vwap(F.lit(5.0), F.lit(2.0))) == 2.0
     assert value(T.vwap(F.lit(5.0), F.lit(0.0))) is None
     assert value(T.drop_repeats(F.array(*map(F.lit, ["a", "", "a", "b", "a"])))) == ["a", "b", "a"]
+
+
+def grouped_ints(text):
+    """Brute force: a run of digits, commas and spaces that is one grouped number without its spaces is one number."""
+    def mend(m):
+        merged = m[0].replace(" ", "")
+        return merged if re.fullmatch(r"-?[0-9]{1,3}(,[0-9]{3})+", merged) else m[0]
+
+    mended = re.sub(r"-?[0-9][0-9,\s]*[0-9]|-?[0-9]", mend, " ".join(text.split()))
+    return [int(x.replace(",", "")) for x in re.findall(r"-?[0-9][0-9,]*", mended)]
+
+
+def test_text_queries_keep_every_document(spark, tmp_path):
+    rnd = random.Random(5)
+    texts = ["a (b (c) d) e", "open (x", "stray ) y", "sum 1, 234 won", "in 2024, 100 5", "-1, 234, 567", "1,23 4", "12, 5"]
+    texts += ["".join(rnd.choice(["(", ")", "a", " b"]) for _ in range(12)) for _ in range(150)]
+    texts += ["".join(rnd.choice(["1", "234", ",", ", ", " ", "-", "x", "56"]) for _ in range(9)) for _ in range(300)]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cleaned = {r.doc_id: r.cleaned for r in queries.QUERIES["clean_search_titles"](spark, str(tmp_path)).collect()}
+    assert cleaned == {i: " ".join(strip_parens(t).split()) for i, t in rows}
+    assert {r.doc_id: r.n_ints for r in queries.QUERIES["parse_ints_dates"](spark, str(tmp_path)).collect()} == {i: len(grouped_ints(t)) for i, t in rows}
+    ints = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", T.parse_ints(F.col("text")).alias("x")).collect()
+    assert {r.doc_id: r.x for r in ints} == {i: [v if v < 2**63 else None for v in grouped_ints(t)] for i, t in rows}

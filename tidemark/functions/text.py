@@ -82,9 +82,10 @@ def parse_int(c: Column, dash_as_zero: bool = False) -> Column:
 
 
 def parse_ints(c: Column) -> Column:
-    """All integers of a text; spaces inside grouped numbers are mended first."""
-    mended = F.regexp_replace(c, r"(?<=[0-9],)\s+(?=[0-9]{3}(?:[^0-9]|$))", "")
-    return F.transform(F.regexp_extract_all(mended, F.lit(r"(-?[0-9][0-9,]*)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
+    """All integers of a text. A run of digits, commas and spaces that is one grouped number without its spaces is mended first."""
+    runs = F.regexp_extract_all(c, F.lit(rf"(-?[0-9][0-9,{WHITE}]*[0-9]|-?[0-9])"), F.lit(1))
+    found = F.transform(runs, lambda r: F.when(remove_spaces(r).rlike(r"^-?[0-9]{1,3}(,[0-9]{3})+$"), F.array(remove_spaces(r))).otherwise(F.regexp_extract_all(r, F.lit(r"(-?[0-9][0-9,]*)"), F.lit(1))))
+    return F.transform(F.flatten(found), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
 
 
 def normalize_label(c: Column) -> Column:
