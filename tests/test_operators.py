@@ -106,6 +106,16 @@ def test_graph(spark):
     assert found == {("missing end", "e4"), ("missing end", "e5"), ("self-loop", "e5"), ("blank label", "b")}
 
 
+def test_walks_reach_the_fixpoint(spark):
+    levels = [e for i in range(5) for e in ((f"company_{i}", f"issuance_event_{i}", "EXECUTED"), (f"issuance_event_{i}", f"security_{i}", "ISSUED"), (f"company_{i + 1}", f"security_{i}", "ACQUIRED"))]
+    edges = spark.createDataFrame([*levels, ("company_5", "issuance_event_0", "EXECUTED")], "source string, target string, relation string")
+    rules = [("company_", "EXECUTED", True), ("issuance_event_", "ISSUED", True), ("security_", "ACQUIRED", False)]
+    chain = {r.node: r.depth for r in graph.control_chain(edges, spark.sql("SELECT 'company_0' AS node"), rules).collect()}
+    assert len(chain) == 16 and chain["company_5"] == 15
+    line = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)], "source string, target string")
+    assert {r.node: r.hops for r in graph.shortest_hops(line, "0").collect()} == {str(i): i for i in range(13)}
+
+
 def test_facets_resume(spark):
     rows = spark.range(10).withColumnRenamed("id", "seq")
     assert tuple(facets.resume(rows, "seq", 6, F.col("seq") % 2 == 0).first()) == (3, 1, 9)

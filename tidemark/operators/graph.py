@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,36 +85,30 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_depth: int = 5)
     return reduce(DataFrame.unionByName, found).select("path", "via", F.size("via").alias("hops"))
 
 
-def shortest_hops(edges: DataFrame, source: str, max_depth: int = 10) -> DataFrame:
-    """(node, hops) by breadth-first levels; stops when nothing new is reached."""
-    step = both_ways(edges).select("node", "other").distinct()
-    seen = step.sparkSession.createDataFrame([(source, 0)], "node string, hops int")
-    front = seen
-    for d in range(1, max_depth + 1):
+def _levels(step: DataFrame, start: DataFrame, name: str) -> DataFrame:
+    """(node, name) by breadth-first levels from start (node) until nothing new is reached, however many rounds that takes."""
+    seen = front = start.select("node").distinct().withColumn(name, F.lit(0))
+    for d in count(1):
         reached = front.join(step, "node").select(F.col("other").alias("node")).distinct()
-        front = store_step(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(d)))
+        front = store_step(reached.join(seen, "node", "left_anti").withColumn(name, F.lit(d)))
         if front.isEmpty():
-            break
+            return seen
         seen = store_step(seen.unionByName(front))
-    return seen
 
 
-def control_chain(edges: DataFrame, start: DataFrame, rules: list[tuple[str, str, bool]], max_rounds: int = 12) -> DataFrame:
-    """Nodes reached from start along directed rules (prefix of the present node, relation, forward?)."""
+def shortest_hops(edges: DataFrame, source: str) -> DataFrame:
+    """(node, hops) by breadth-first levels; stops when nothing new is reached."""
+    step = both_ways(edges).select("node", "other").distinct()
+    return _levels(step, step.sparkSession.createDataFrame([(source,)], "node string"), "hops")
+
+
+def control_chain(edges: DataFrame, start: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFrame:
+    """Nodes reached from start along directed rules (prefix of the present node, relation, forward?), to the fixpoint."""
     steps = [
         edges.filter((F.col("relation") == rel) & F.col("source" if forward else "target").startswith(prefix)).select(F.col("source" if forward else "target").alias("node"), F.col("target" if forward else "source").alias("other"))
         for prefix, rel, forward in rules
     ]
-    step = reduce(DataFrame.unionByName, steps).distinct()
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for d in range(1, max_rounds + 1):
-        reached = front.join(step, "node").select(F.col("other").alias("node")).distinct()
-        front = store_step(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
-        if front.isEmpty():
-            break
-        seen = store_step(seen.unionByName(front))
-    return seen
+    return _levels(reduce(DataFrame.unionByName, steps).distinct(), start, "depth")
 
 
 def duplicate_edges(edges: DataFrame) -> DataFrame:

@@ -495,7 +495,7 @@ def graph_paths(spark, d):
 
 @query(_HOPS.format(edges=_EDGES, where="", depth=6).replace("'r1'", "'s1'").replace("AS depth FROM w GROUP", "AS hops FROM w GROUP"))
 def graph_shortest_path(spark, d):
-    return graph.shortest_hops(_edges(spark, d), "s1", 6)
+    return graph.shortest_hops(_edges(spark, d), "s1")
 
 
 _CHAIN = """x AS (SELECT 'company_' || o_custkey AS s, 'issuance_event_' || o_orderkey AS t FROM orders WHERE o_custkey = 7), y AS (SELECT DISTINCT x.t AS s, 'security_' || l_partkey AS t FROM x JOIN lineitem ON 'issuance_event_' || l_orderkey = x.t),
