@@ -39,6 +39,20 @@ def test_pii_added_kinds_and_edges(spark):
     assert {r.doc_id: len(r["__spans"]) for r in pii.pii(df, ["doc_id", "kind"]).collect()} == {1: 1, 2: 0, 3: 0}
 
 
+def test_pii_lists_cases_and_long_matches():
+    found = lambda text: [(text[s:e], k) for s, e, k in pii.find(text) if k not in pii.BASE]
+    de, es, mt = "DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    assert found("Accounts: 12345678, 87654321") == [("12345678", "account"), ("87654321", "account")]
+    assert found(f"IBANs {es} {de}, XX00 1234 1234 1234, {mt}") == [(es, "iban"), (de, "iban"), (mt, "iban")]
+    assert found("Social Security 123-45-6789 / 234-56-7890; aCCt 1234567") == [("123-45-6789", "ssn"), ("234-56-7890", "ssn"), ("1234567", "account")]
+    longest = "RU03 0445 2522 5408 1781 0538 0913 1041 9"
+    assert found("Iban" + " " * 24 + longest + ".") == [(longest, "iban")]
+    assert found("iban" + " " * 25 + de) == []
+    url = "https://me:" + "x" * 5000 + "@host.test"
+    assert found(f"see {url} now") == [(url, "url")]
+    assert found(f"iban {de}; account 12345678; {de}") == [(de, "iban"), ("12345678", "account"), (de, "iban")]
+
+
 def labelled(kind):
     return duckdb.sql(f"SELECT d.doc_id, text, {kind} FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' l USING (doc_id) ORDER BY doc_id").fetchall()
 

@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds anchors (at-signs, plus signs, digits, scheme separators, identifier
 cues) in one pass; a deterministic parser at each anchor expands to both sides and validates. Base kinds
 are email, ip, card and phone, each the leftmost non-overlapping matches of its grammar. Added kinds:
-url (only those that carry user information), iban, ssn and account (next to a cue, validated).
+url (only those that carry user information), iban, ssn and account (each within REACH of a cue of any case,
+or of the one before; ibans and ssns validated).
 Defined cases: null or empty text has no spans; positions are code points, end exclusive; repeated rows
 are judged alike; other columns pass through. Every parser is linear in the text.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ._bytes import append_columns
-from ._spark import read
+from ._spark import LOWER, UPPER, read
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "ssn", "account")
@@ -33,10 +34,14 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"://[^\s/?#@]+@[^\s/?#@]+")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+#: Each at most REACH characters on, the match itself of any length.
 _NEAR = {
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "ssn": re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"),
-    "account": re.compile(r"(?<![A-Za-z0-9])[0-9]{6,17}(?![A-Za-z0-9])"),
+    kind: re.compile(rf"(?s:.{{0,{REACH}}}?)({body})")
+    for kind, body in {
+        "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+        "account": r"(?<![A-Za-z0-9])[0-9]{6,17}(?![A-Za-z0-9])",
+    }.items()
 }
 
 
@@ -53,6 +58,15 @@ def _mod97(iban: str) -> bool:
     return len(s) >= 15 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _valid_end(m: re.Match) -> int:
+    """Where the longest valid IBAN at the start of a match ends, which may have run on into the next words; 0 if there is none."""
+    found, end = m[1], m.end()
+    while found and not _mod97(found):
+        found = found.rpartition(" ")[0]
+        end = m.start(1) + len(found)
+    return end if found else 0
+
+
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for d in "0123456789":
@@ -61,12 +75,13 @@ def _automaton() -> ahocorasick.Automaton:
     found.add_word("+", ("plus", 0))
     found.add_word("://", ("scheme", 2))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, (kind, len(form) - 1))
+        found.add_word(cue, (kind, len(cue) - 1))
     found.make_automaton()
     return found
 
 
+#: A-Z to a-z one for one, so that positions hold; no other anchor has letters.
+_FOLD = str.maketrans(UPPER, LOWER)
 _anchors: ahocorasick.Automaton | None = None
 
 
@@ -81,8 +96,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if _anchors is None:
         _anchors = _automaton()
     spans: list[tuple[int, int, int]] = []
-    email = ip = card = phone = cue = 0
-    for at, (kind, back) in _anchors.iter(text):
+    email = ip = card = phone = 0
+    ends = dict.fromkeys(_NEAR, 0)
+    for at, (kind, back) in _anchors.iter(text.translate(_FOLD)):
         at -= back
         if kind == "digit":
             if at >= card:
@@ -113,7 +129,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 if 9 <= sum(c in "0123456789" for c in m[0]) <= 15:
                     spans.append((at, 3, phone))
         elif kind == "scheme":
-            if m := _AUTHORITY.match(text, at, at + 2000):
+            if m := _AUTHORITY.match(text, at):
                 start = at
                 while start > max(0, at - 20) and text[start - 1] in _SCHEME:
                     start -= 1
@@ -121,10 +137,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
                     spans.append((start, 4, m.end()))
         else:
             begin = at + back + 1
-            m = _NEAR[kind].search(text, max(begin, cue), begin + REACH + 40)
-            if m and m.start() <= begin + REACH and (kind != "iban" or _mod97(m[0])):
-                cue = m.end()
-                spans.append((m.start(), KINDS.index(kind), cue))
+            pos, limit = max(begin, ends[kind]), begin + REACH
+            while pos <= limit and (m := _NEAR[kind].match(text, pos)) and m.start(1) <= limit:
+                if end := _valid_end(m) if kind == "iban" else m.end():
+                    spans.append((m.start(1), KINDS.index(kind), end))
+                    pos, limit = end, end + REACH
+                    ends[kind] = end
+                else:
+                    pos = m.start(1) + 1
     return [(s, e, KINDS[k]) for s, k, e in sorted(spans)]
 
 
