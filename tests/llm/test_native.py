@@ -63,6 +63,17 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.chat_windows(df.limit(0))).count() == 0
 
 
+def test_chat_windows_hold_the_budget(spark):
+    rnd = random.Random(4)
+    rows = [(c, t, "system" if t == 0 and c % 2 else ("user", "assistant")[t % 2], "w " * (rnd.randint(1, 60) if t == 0 else rnd.choice([5, 300, 500, 700, 900]))) for c in range(20) for t in range(40)]
+    rows += [(50, 0, "system", "w " * 10), (50, 1, "user", "w " * 3000), (50, 2, "assistant", "w " * 30), (51, 0, "system", "w"), (52, 0, "system", "w " * 2000), (52, 1, "user", "w")]
+    windows = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    assert windows.filter("conv_id < 50").agg(F.max("n_tokens")).first()[0] <= 1024
+    assert {r.n_turns for r in windows.filter("conv_id = 50 AND n_tokens > 1024").collect()} == {2}
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(windows).collect()}
+    assert got == expected_turns(rows)
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, "a" if i % 3 else None, "t", i) for i in range(6000)], "doc_id long, source string, text string, copyx int")
     out = mixing.mix(docs, {"a": 0.25})

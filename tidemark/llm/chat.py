@@ -1,10 +1,13 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned spans. A window is the leading system
-turn, the turns just before the span within `history` tokens, and the span's own turns. Only assistant
+Prefix sums of turn tokens cut a conversation into turn-aligned spans: the turns that begin and end in one
+stretch of budget less history and system turn, and each turn that runs over the end of one by itself. A
+window is the leading system turn, the turns just before the span within `history` tokens and the budget, and
+the span's own turns. Only assistant
 texts of the span itself are under the loss mask, so every assistant text is a target exactly once.
 Defined cases: null text or role is empty; rows order by turn, then role, then text (nulls first), and
-repeated rows are turns of their own; a turn longer than the budget is a window by itself, uncut; a null
+repeated rows are turns of their own; a turn that does not fit the budget with its system turn is a window with
+that turn alone, uncut; a null
 conv_id is a conversation; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -51,17 +54,25 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 192) -> Da
         F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head"),
         escape(F.col("text")).alias("body"),
     )
+    t = t.withColumn("only", F.count("*").over(whole) == 1)
     own = F.when(F.col("leads"), F.lit(0)).otherwise(F.col("tokens"))
     t = t.withColumn("stride", F.greatest(F.lit(1), budget - history - F.max(F.when(F.col("leads"), F.col("tokens")).otherwise(F.lit(0))).over(whole)))
     t = t.withColumn("start", F.coalesce(F.sum(own).over(Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    t = t.withColumn("span", F.floor(F.col("start") / F.col("stride")).cast("long"))
-    t = t.withColumn("last", F.max("span").over(whole))
-    until = F.when(F.col("leads"), F.col("last")).otherwise(F.least(F.col("last"), F.floor((F.col("start") + history) / F.col("stride")).cast("long")))
+    bucket = F.floor(F.col("start") / F.col("stride")).cast("long")
+    over = F.col("start") + F.col("tokens") > (bucket + 1) * F.col("stride")
+    t = t.withColumn("span", F.when(~F.col("leads"), bucket * 2 + over.cast("long")))
+    t = t.withColumn("first", F.coalesce(F.min("span").over(whole), F.lit(0))).withColumn("last", F.coalesce(F.max("span").over(whole), F.lit(0)))
+    t = t.withColumn("span", F.coalesce("span", "first"))
+    until = F.when(F.col("leads"), F.col("last")).otherwise(F.least(F.col("last"), F.floor((F.col("start") + history) / F.col("stride")).cast("long") * 2 + 1))
     t = t.withColumn("window", F.explode(F.sequence(F.col("span"), F.greatest(F.col("span"), until))))
     t = t.withColumn("fresh", F.col("window") == F.col("span"))
-    t = t.withColumn("from", F.min(F.when(F.col("fresh") & ~F.col("leads"), F.col("start"))).over(Window.partitionBy("conv_id", "window")))
-    alone = F.col("leads") & F.col("fresh") & (F.col("last") == 0)
-    t = t.filter(F.when(F.col("from").isNull(), alone).otherwise(F.col("fresh") | F.col("leads") | (F.col("start") >= F.col("from") - history)))
+    each = Window.partitionBy("conv_id", "window")
+    own_turn = F.col("fresh") & ~F.col("leads")
+    t = t.withColumn("from", F.min(F.when(own_turn, F.col("start"))).over(each))
+    t = t.withColumn("room", budget - F.coalesce(F.sum(F.when(own_turn | F.col("leads"), F.col("tokens"))).over(each), F.lit(0)))
+    alone = F.col("leads") & F.col("fresh") & F.col("only")
+    near = F.col("start") >= F.col("from") - F.least(F.lit(history), F.col("room"))
+    t = t.filter(F.when(F.col("from").isNull(), alone).otherwise(F.col("fresh") | F.col("leads") | near))
     segment = F.concat("head", "body", F.lit(END))
     before = Window.partitionBy("conv_id", "window").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("at", F.coalesce(F.sum(F.length(segment)).over(before), F.lit(0)) + F.length("head"))
