@@ -6,8 +6,8 @@ left to target weights. STAGES is the order; each stage takes (spark, docs, sf_d
 columns of docs (mixing adds `copy`). run() stores each stage's result in the shared folder.
 
 Defined cases: null and empty texts pass every stage (they are scored by the prior of the toxicity
-model); a null doc_id is never dropped by an id; rows that repeat a doc_id are one document after the
-join; extra columns pass through; an empty table gives an empty table.
+model); the join and decontamination decide by row, so a null doc_id or one that is shared is judged by its
+text alone; rows that repeat a doc_id and its text are one document after the join; extra columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,19 +32,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")) if "n_chars" in docs.columns else out
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with __row, a key of each row, stored so that it stays."""
+    return durable(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = durable(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+    rows = keyed(docs, "rows")
+    groups = ngram_join.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
+    linked = durable(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__member"), F.col("component_id").alias("__group")), "linked")
+    members = linked.unionByName(linked.select(F.col("__group").alias("__member"), "__group").distinct())
+    named = durable(members.join(rows.select("__row", "doc_id"), F.col("__member") == F.col("__row")).select("__row", "__group", "doc_id"), "named")
+    first = named.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
+    gone = durable(named.join(first, "__row", "left_anti").select(F.col("__row").alias("__gone")), "copies")
     few = gone.count() <= MOST_BROADCAST
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = rows.join(F.broadcast(gone) if few else gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
     repeated = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count() > 0
     if repeated:
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id IS NULL"))
     return kept
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return decontam.decontaminate(keyed(docs, "rows"), read(spark, sf_dir, "benchmark"), "__row").drop("__row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

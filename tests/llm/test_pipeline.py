@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,18 @@ def test_each_stage_decides(spark, stages):
     assert before.count() == after.count() and after.filter(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def test_rows_are_judged_apart_from_their_ids(spark):
+    rnd = random.Random(3)
+    one, two, three = (" ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(3))
+    item = read(spark, SF, "benchmark").orderBy("item_id").first().text
+    rows = [(5, one), (3, one), (5, two), (None, two), (None, three), (5, item), (None, item), (6, three), (7, "short"), (7, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, one), (5, two), (5, item), (6, three), (7, "short")])
+    clean = corpus_pipeline.drop_leaks(spark, docs, SF)
+    assert sorted(map(str, clean.collect())) == sorted(str(r) for r in docs.collect() if r.text != item)
+
+
 def test_empty_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         read(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
