@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,10 +26,14 @@ def ascii_lower(c: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests in one process) a temporary folder is used.
+    Where the session names none, a temporary folder serves a session that runs in one process, as in tests;
+    any other session is refused, as its executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master or 'this session'} needs a folder that all machines share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,17 +44,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
 
 
 def release(*tables: DataFrame) -> None:
     """Delete stored tables that no later step reads, and let Spark drop shuffle files nothing refers to."""
     for df in tables:
         spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/tidemark/" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
@@ -75,29 +80,32 @@ def join_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, how
     return done.unionByName(rest)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) with component the smallest node reachable, for every node of an edge.
 
     Large-star and small-star steps in turn (Kiveris et al., 2014): each node hooks its larger
-    neighbours to its smallest one. Every step is a groupBy min and a join; nothing is collected. Each round's edges are written to the shared folder.
+    neighbours to its smallest one. A round is one job, its edges written to the shared folder; it ends when a round
+    leaves count and checksum of the edges as they were. Nothing is collected; hot nodes are in
+    joins, which adaptive execution splits, and in minima, which are summed up before the shuffle.
     """
+    last, before = None, None
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    pairs = durable(pairs, "cc")
     for _ in range(rounds):
-        # settled: every node has one smaller neighbour, and that one has none
-        odd = pairs.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("u").alias("x"))
-        deep = pairs.select(F.col("v").alias("x")).distinct().join(pairs.select(F.col("u").alias("x")).distinct(), "x", "left_semi")
-        if odd.unionByName(deep).limit(1).count() == 0:
+        seen = Observation()
+        pairs = durable(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "cc")
+        if last is not None:
+            release(last)
+        now = (seen.get["n"], seen.get["x"])
+        if now == before or not now[0]:
             break
-        both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
-        large = join_by_weight(both, least, "u", "d", "inner").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = durable(large.filter("u <> v").distinct(), "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-        small = join_by_weight(large, low, "u", "d", "inner").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = durable(small.filter("u <> v").distinct(), "cc")
+        last, before = pairs, now
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.join(least, F.col("u") == F.col("k")).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        small = large.join(low, F.col("u") == F.col("k")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        pairs = small.filter("u <> v").distinct()
     else:
         raise RuntimeError("components did not settle")
-    ends = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return ends.unionByName(roots)
+    ends = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return ends.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

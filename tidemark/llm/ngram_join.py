@@ -4,24 +4,27 @@ A document is the set of its distinct k-word shingles. Its sketch has P words of
 picks one word by hash and XORs its own hash into it. A shingle in one set but not in the other changes
 one word only, so the number of differing words never exceeds the symmetric difference. Sets of sizes a
 and b with Jaccard similarity t or more differ in at most D = (a + b)(1 - t)/(1 + t) shingles. Documents
-of a size band share P; each emits its first D + 4 filled words in an order that depends on the word
-alone. By the pigeonhole principle two similar sets share four emitted words if they share four filled
-ones: at most D of the words before those can differ. Sets of fewer filled words are sure of three, two or
-one, and say so in their id; sets with no more than D filled words (chance keeps them rare) also emit one
-word of their band, so no pair is lost. Words whose shingles are
-all frequent come last in the order, so common passages seldom are emitted; the list of frequent
-shingles only orders, it drops nothing.
-
-Words held by few documents give pairs. Words held by many give families (connected over such words); a
-family is cut into blocks by hash, and pairs of blocks are compared at once and return a spanning forest
-instead of all pairs. Candidates first compare whole sketches, reduced to a byte a word; what differs in
-more than D words cannot link. The rest is verified on the full sets, families again by pairs of blocks,
-as matrix products. Exact copies are one node throughout. Components then are found by large-star and
-small-star steps.
-
-Defined cases: null, empty or white text has no shingles and is linked with nothing; 1 to k - 1 words
-are one shingle; rows that share a doc_id are one document; a null doc_id stays in the result and can be
-linked; empty tables give empty tables; other columns are ignored.
+of a size band share P; each emits its filled words, in its own band and, where larger partners stand in
+the next one, in that band too.
+
+Pigeonhole, twice. Of K filled words at least K - D are those of any partner, so a document with fewer words
+that another document holds has no partner and is out. Of the S held words of the others at most D - (K - S)
+may differ, so with the rarest first, the first D - (K - S) + c of them hold c words of any partner, c up
+to MATCHES. Only these are joined. How often a word occurs orders words and drops nothing. Sets with no
+more than D filled words (chance keeps them rare) also emit one word of their band.
+
+A word that few documents hold gives pairs, and a pair needs its c words. A word of many gives a star, and
+documents connected by stars are a family. Its members are verified against one of them first, which settles a
+family of near copies in linear time; who fails meets all members, in pairs of blocks, as matrix products
+that return a spanning forest instead of all pairs. Words whose shingles are all frequent (a list of
+at most FREQUENT shingles) go by a key of word and document, so none fills a task. Exact copies are one node
+throughout. Components are found by large-star and small-star steps.
+
+Shingles are compared by 64-bit hashes and equal sets told by 128 bits; nodes of the candidate search carry
+56 bits, and classes that share them are all verified. Defined cases: null, empty or white text has no
+shingles and is linked with nothing; 1 to k - 1 words are one shingle; rows that share a doc_id are judged
+each by its own text; a null doc_id stays in the result, can be linked, and never names a
+component unless it holds no other; empty tables give empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import SPACES, Chunk, chunks, mix
 from ._spark import components, durable, join_by_weight, read, release
 
-SMALL = 24
+SMALL = 6
 MATCHES = 4
 BLOCK = 512
 FREQUENT = 200_000
+#: Shingles a sketch word holds at the upper end of a band, on average.
+LOAD = 2.8
+#: Low bits of a node: 1 for the next band, 2 for the words a pair must share, 5 for the size in steps of about 1.2.
+INFO = 255
 
 
 class Sets:
@@ -55,164 +62,109 @@ class Sets:
         self.first = np.searchsorted(self.owner, np.arange(c.n + 1))
         self.size = np.diff(self.first)
 
-    def totals(self, salt: int) -> np.ndarray:
+    def _totals(self, salt: int) -> np.ndarray:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.all ^ np.uint64(salt)))])
         return total[self.first[1:]] - total[self.first[:-1]]
 
-    def digest(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit words that depend on the set alone."""
+    def digest(self) -> tuple[np.ndarray, list[bytes]]:
+        """Of each set the 56 bits of its node, and 128 bits."""
         n = self.size.astype(np.uint64)
-        return mix(self.totals(0x1F83D9ABFB41BD6B) + n), mix(self.totals(0x5BE0CD19137E2179) ^ n)
-
-    def ident(self, shared: np.ndarray) -> np.ndarray:
-        """56 bits of the digest, 2 for how many words (1 to MATCHES) a pair must share, and 6 of the size in
-        steps of about 1.2: enough to tell pairs that cannot link before anything is fetched."""
-        step = np.minimum(np.log(np.maximum(self.size, 1)) / np.log(1.2), 63).astype(np.uint64)
-        return ((self.digest()[0] & ~np.uint64(255)) | (shared - 1).astype(np.uint64) << np.uint64(6) | step).view(np.int64)
+        a, b = mix(self._totals(0x1F83D9ABFB41BD6B) + n), mix(self._totals(0x5BE0CD19137E2179) ^ n)
+        raw = np.stack([a, b], 1).tobytes()
+        return a & ~np.uint64(INFO), [raw[i : i + 16] for i in range(0, len(raw), 16)]
 
 
 def _lead(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _most(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    return (n + m) * (100 - percent) // (100 + percent)
-
-
-def _words(sets: Sets, up: int, percent: int) -> dict | None:
-    """The sketches of a chunk in each text's own band (up 0) or the next one (up 1), where it may meet larger texts.
+def sketch(sets: Sets, use: np.ndarray, up: int, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, text, need, common) of the filled words of the texts in `use`, in their own band (up 0) or the next (up 1).
 
-    words of text i are at[i]:at[i + 1]; most[i] is the most shingles in which a partner can differ.
+    need: how many words a text is sure to share with any partner in this band. common: all shingles frequent.
     """
     n = sets.size.astype(np.int64)
     band = np.frexp(np.maximum(n, 1).astype(float))[1] - 1 + up
     top = 1 << (band + 1)
-    use = (n > 0) & ((100 * n >= percent * (1 << band)) if up else True)
-    if not use.any():
-        return None
-    width = np.where(use, np.maximum(64, np.ceil(top / 1.8)).astype(np.int64), 0)
+    use = use & (n > 0) & ((100 * n >= percent * (1 << band)) if up else True)
+    width = np.where(use, np.maximum(64, np.ceil(top / LOAD)).astype(np.int64), 0)
     at = np.concatenate([[0], np.cumsum(width)])
     mine = use[sets.owner]
     owner, runs = sets.owner[mine], sets.all[mine]
-    slot = ((runs >> np.uint64(7)) % width[owner].astype(np.uint64)).astype(np.int64) + at[owner]
-    words, filled = np.zeros(at[-1], np.uint64), np.zeros(at[-1], bool)
+    slot = ((runs >> np.uint64(7)) % np.maximum(width[owner], 1).astype(np.uint64)).astype(np.int64) + at[owner]
+    words, filled, rare = np.zeros(at[-1], np.uint64), np.zeros(at[-1], bool), np.zeros(at[-1], bool)
     np.bitwise_xor.at(words, slot, mix(runs ^ np.uint64(0xA24BAED4963EE407)))
     filled[slot] = True
-    return {"use": use, "band": band, "at": at, "slot": slot, "mine": mine, "words": words, "filled": filled, "most": _most(n, np.minimum(100 * n // percent, top - 1), percent)}
-
-
-def _bands(sets: Sets, percent: int) -> tuple[list[dict | None], np.ndarray]:
-    """The sketches in both bands, and how many words each text is sure to share with any it links with, 1 to MATCHES.
-
-    All but D of k filled words agree, so the first D + c of them hold c agreeing ones if k >= D + c.
-    """
-    both, shared = [_words(sets, up, percent) for up in (0, 1)], np.full(len(sets.size), MATCHES)
-    for found in both:
-        if found is not None:
-            k = np.diff(np.concatenate([[0], np.cumsum(found["filled"])])[found["at"]])
-            shared = np.where(found["use"], np.minimum(shared, k - found["most"]), shared)
-    return both, np.clip(shared, 1, MATCHES)
-
-
-def compact(both: list[dict | None], n: int) -> tuple[pa.Array, pa.Array]:
-    """One byte a sketch word, own band and next band (null where there is none): equal words have equal
-    bytes, so the number of differing bytes still never exceeds the symmetric difference."""
-    out = []
-    for found in both:
-        if found is None:
-            out.append(pa.nulls(n, pa.binary()))
-            continue
-        raw, at = (found["words"] >> np.uint64(56)).astype(np.uint8).tobytes(), found["at"]
-        out.append(pa.array([raw[i:j] if u else None for i, j, u in zip(at[:-1], at[1:], found["use"], strict=True)], pa.binary()))
-    return out[0], out[1]
-
-
-def sketch(sets: Sets, both: list[dict | None], shared: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, text, whether all its shingles are frequent) of the sketch words to emit, for all texts of a chunk."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    n = len(sets.size)
-    rare = np.ones(len(sets.all), bool)
     if len(frequent):
-        rare = frequent[np.minimum(np.searchsorted(frequent, sets.all), len(frequent) - 1)] != sets.all
-    for found in both:
-        if found is None:
-            continue
-        at, band, most = found["at"], found["band"], found["most"]
-        some_rare = np.zeros(at[-1], bool)
-        some_rare[found["slot"][rare[found["mine"]]]] = True
-        place = np.flatnonzero(found["filled"])
-        text = np.searchsorted(at, place, "right") - 1
-        sig = mix(found["words"][place] ^ mix((place - at[text]).astype(np.uint64) * np.uint64(64) + band[text].astype(np.uint64)))
-        common = ~some_rare[place]
-        order = np.lexsort((sig, common, text))
-        sig, text, common = sig[order], text[order], common[order]
-        rank = np.arange(len(text)) - np.searchsorted(text, np.arange(n))[text]
-        taken = rank < (most + shared)[text]
-        out.append((sig[taken], text[taken], common[taken]))
-        thin = np.flatnonzero(found["use"] & (np.bincount(text, minlength=n) <= most))
-        if len(thin):
-            out.append((mix(band[thin].astype(np.uint64) ^ np.uint64(0xFEDCBA9876543210)), thin, np.ones(len(thin), bool)))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        rare[slot[frequent[np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)] != runs]] = True
+    else:
+        rare[slot] = True
+    place = np.flatnonzero(filled)
+    text = np.searchsorted(at, place, "right") - 1
+    word = mix(words[place] ^ mix((place - at[text]).astype(np.uint64) * np.uint64(64) + band[text].astype(np.uint64)))
+    most = (n + np.minimum(100 * n // percent, top - 1)) * (100 - percent) // (100 + percent)
+    need = np.bincount(text, minlength=len(n)) - most
+    thin = np.flatnonzero(use & (need <= 0))
+    word = np.concatenate([word, mix(band[thin].astype(np.uint64) ^ np.uint64(0xFEDCBA9876543210))])
+    text, common = np.concatenate([text, thin]), np.concatenate([~rare[place], np.ones(len(thin), bool)])
+    return word, text, need[text], common
 
 
 def digests(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, fp, id, own, up, shingle, count): a row for each document; and, with null fp, shingles frequent in a batch."""
+    """(doc_id, n, fp, node, shingle, count): a row for each document; and, with null fp, shingles frequent in a batch."""
     kind = dict(docs.dtypes)[id_col]
+    names = [id_col, "n", "fp", "node", "shingle", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, heads = _lead(batch, id_col), []
-            names = [id_col, "n", "fp", "id", "own", "up", "shingle", "count"]
             for i, c in chunks(_lead(batch, text_col), SPACES):
                 s = Sets(c, k)
-                both, shared = _bands(s, percent)
-                raw = np.stack(s.digest(), 1).tobytes()
                 heads.append(s.all)
-                fp = pa.array([raw[j : j + 16] for j in range(0, len(raw), 16)], pa.binary())
+                node, fp = s.digest()
                 none = pa.nulls(c.n, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, c.n), pa.array(s.size.astype(np.int64)), fp, pa.array(s.ident(shared)), *compact(both, c.n), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, c.n), pa.array(s.size.astype(np.int64)), pa.array(fp, pa.binary()), pa.array(node.view(np.int64)), none, none], names=names)
             hash_, count = np.unique(np.concatenate(heads) if heads else np.zeros(0, np.uint64), return_counts=True)
             often = count >= max(4, batch.num_rows // 1000)
             m = int(often.sum())
             if m:
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(hash_[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(hash_[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n long, fp binary, id long, own binary, up binary, shingle long, count long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n long, fp binary, node long, shingle long, count long")
 
 
-def emissions(docs: DataFrame, frequent: np.ndarray, k: int, percent: int, text_col: str) -> DataFrame:
-    """(sig, id, common) of all documents; copies within an Arrow batch emit once."""
-    often = docs.sparkSession.sparkContext.broadcast(frequent)
+def emissions(docs: DataFrame, often, k: int, percent: int, text_col: str) -> DataFrame:
+    """(sig, id, need, salt) of all documents; equal sets within an Arrow batch emit once. salt: 0, or that of a common word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
+            seen: set[bytes] = set()
             for _, c in chunks(_lead(batch, text_col), SPACES):
                 s = Sets(c, k)
-                both, shared = _bands(s, percent)
-                ident = s.ident(shared)
-                fresh = np.array([not (x in seen or seen.add(x)) for x in ident.tolist()], bool)
-                sig, text, common = sketch(s, both, shared, often.value)
-                ok = fresh[text]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[ok].view(np.int64)), pa.array(ident[text[ok]]), pa.array(common[ok])], names=["sig", "id", "common"])
+                node, fp = s.digest()
+                fresh = np.array([not (x in seen or seen.add(x)) for x in fp], bool)
+                step = (np.log(np.maximum(s.size, 1)) / np.log(1.2)).astype(np.uint64) & np.uint64(31)
+                for up in (0, 1):
+                    sig, text, need, common = sketch(s, fresh, up, percent, often.value)
+                    sure = np.clip(need, 1, MATCHES).astype(np.uint64) - np.uint64(1)
+                    ident = node[text] | step[text] << np.uint64(3) | sure << np.uint64(1) | np.uint64(up)
+                    salt = np.where(common, ident | np.uint64(1), np.uint64(0))
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ident.view(np.int64)), pa.array(need.astype(np.int32)), pa.array(salt.view(np.int64))], names=["sig", "id", "need", "salt"])
 
-    return docs.select(text_col).mapInArrow(run, "sig long, id long, common boolean")
+    return docs.select(text_col).mapInArrow(run, "sig long, id long, need int, salt long")
 
 
-def shingle_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, n, shingles)."""
-    kind = dict(docs.dtypes)[id_col]
+def shingle_sets(docs: DataFrame, k: int, text_col: str) -> DataFrame:
+    """(fp, n, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, c in chunks(_lead(batch, text_col), SPACES):
+            for _, c in chunks(_lead(batch, text_col), SPACES):
                 s = Sets(c, k)
                 lists = pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.all.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([_lead(batch, id_col).slice(i, c.n), pa.array(s.size.astype(np.int64)), lists], names=["rep", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.digest()[1], pa.binary()), pa.array(s.size.astype(np.int64)), lists], names=["fp", "n", "shingles"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"rep {kind}, n long, shingles array<long>")
+    return docs.select(text_col).mapInArrow(run, "fp binary, n long, shingles array<long>")
 
 
 def _forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -232,14 +184,14 @@ def _forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 
 def link_block(sets: list[np.ndarray], side: np.ndarray, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a block (side all 0), or between the two sides of a block pair."""
+    """A spanning forest of the links between the two sides of a block pair."""
     n = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count[col] > 1
     col, owner = col[shared], owner[shared]
     used, col = np.unique(col, return_inverse=True)
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(sets)),) * 2
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     common = np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(col, kind="stable")
     col, owner = col[order], owner[order]
@@ -250,123 +202,113 @@ def link_block(sets: list[np.ndarray], side: np.ndarray, percent: int, columns:
         common += m[left] @ m[right].T
     both = n[left][:, None] + n[right][None, :] - common
     a, b = np.nonzero(100 * common.astype(np.int64) >= percent * both.astype(np.int64))
-    a, b = left[a], right[b]
-    keep = a != b
-    return _forest(zip(a[keep].tolist(), b[keep].tolist(), strict=True), len(sets))
+    return _forest(zip(left[a].tolist(), right[b].tolist(), strict=True), len(sets))
 
 
-def close_block(sketches: list[bytes], n: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a block (or block pair) whose sketches differ in few enough words."""
-    m = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(m)),) * 2
-    hits = []
-    for i in left:
-        near = right[(100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])) & (right != i)]
-        if len(near):
-            near = near[(m[near] != m[i]).sum(1) <= _most(n[i], n[near], percent)]
-            hits += [(int(i), int(j)) for j in near]
-    return _forest(iter(hits), len(m))
+def _masked(c: str, mask: int) -> Column:
+    return F.col(c).bitwiseAND(F.lit(mask))
 
 
-def _blocks(family: DataFrame, node: str) -> DataFrame:
-    """(node, family, lo, hi, mine): members cut into blocks by hash, each dealt to every pair of blocks with its own."""
-    sizes = family.groupBy("family").agg(F.count("*").alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int"))
-    parts = join_by_weight(family, sizes, "family", "w", "inner").withColumn("mine", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return parts.select(node, "family", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
+def held_words(docs: DataFrame, often, k: int, percent: int, text_col: str) -> DataFrame:
+    """(sig, id, common): of each document that may have a partner, the rarest of its words that others hold, as many as pigeonholes ask for."""
+    rows = emissions(docs, often, k, percent, text_col)
+    by = Window.partitionBy("sig", "salt")
+    seen = rows.select("*", F.count("*").over(by).alias("df"), F.min("id").over(by).alias("lo"), F.max("id").over(by).alias("hi"))
+    seen = seen.filter("salt <> 0 OR lo <> hi").select("sig", "id", "need", F.when(F.col("salt") != 0, F.lit(1 << 62)).otherwise(F.col("df")).alias("df"))
+    mine = seen.repartition("id").groupBy("id", "sig").agg(F.min("need").alias("need"), F.max("df").alias("df"))
+    each = Window.partitionBy("id")
+    mine = mine.select("*", F.count("*").over(each).alias("s"), F.min("need").over(each).alias("least")).filter("s >= least")
+    mine = mine.withColumn("r", F.row_number().over(each.orderBy("df", "sig"))).filter(F.col("r") <= F.col("s") - F.col("least") + F.least(F.lit(MATCHES), F.greatest(F.lit(1), F.col("least"))))
+    return mine.select("sig", "id", (F.col("df") == F.lit(1 << 62)).alias("common"))
 
 
-def jaccard_links(docs: DataFrame, table: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): links between representatives (smallest ids) of classes of equal sets, enough to connect all that link."""
-    kind = dict(docs.dtypes)[id_col]
-    classes = durable(table.filter("fp IS NOT NULL AND n > 0").groupBy("fp").agg(F.min(id_col).alias("rep"), F.max("id").alias("id")), "classes")
-    hot = table.filter("fp IS NULL").groupBy("shingle").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").collect()
-    frequent = np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
-    rows = durable(emissions(docs, frequent, k, percent, text_col), "words")
-
-    # words of frequent shingles only: a star each, by partial aggregation and a join that keeps hot words apart
-    common = rows.filter("common").groupBy("sig", "id").count().select("sig", "id")
-    tops = rows.filter("common").groupBy("sig").agg(F.min("id").alias("top"), F.max("id").alias("low"), F.count("*").alias("w")).filter("top <> low").drop("low")
-    stars = join_by_weight(common, tops, "sig", "w", "inner").select(F.col("top").alias("a"), F.col("id").alias("b"))
-    # all others: sorted runs of each word
+def candidates(held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b) nodes that share their c words, (a, b) star edges of words of many)."""
+    common, node = held.filter("common"), F.lit(~INFO)
+    tops = common.groupBy("sig").agg(F.min("id").alias("top"), F.max("id").alias("low")).filter("top <> low").select(F.col("sig").alias("s"), "top")
+    stars = common.join(tops, F.col("sig") == F.col("s")).select(F.col("top").alias("a"), F.col("id").alias("b"))
     by = Window.partitionBy("sig")
-    dealt = rows.filter("NOT common").select("sig", "id").repartition("sig")  # one exchange serves all windows
-    once = dealt.withColumn("r", F.row_number().over(Window.partitionBy("sig", "id").orderBy("id"))).filter("r = 1").drop("r")
-    runs = once.withColumn("size", F.count("*").over(by)).filter("size > 1")
     recent = by.orderBy("id").rowsBetween(-SMALL, -1)
-    runs = runs.select("id", "size", F.when(F.col("size") <= SMALL + 1, F.collect_list("id").over(recent)).otherwise(F.array(F.min("id").over(by))).alias("others"))
-    edges = runs.select("id", (F.col("size") > SMALL + 1).alias("star"), F.explode("others").alias("o")).filter("id <> o")
-    edges = edges.groupBy(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), "star").agg(F.count("*").alias("shared"))
-    # a pair that meets in no star shares all the words it is sure to share here; sizes that differ by more than
-    # the threshold allows (the low 6 bits, in steps of 1.2) can't link
-    bits = lambda c, mask: F.col(c).bitwiseAND(F.lit(mask))
-    sure = F.least(F.shiftright(bits("a", 192), 6), F.shiftright(bits("b", 192), 6)) + 1
+    runs = held.filter("NOT common").select("id", F.count("*").over(by).alias("size"), F.min("id").over(by).alias("top"), F.collect_list("id").over(recent).alias("others"))
     slack = int(np.ceil(np.log(100 / percent) / np.log(1.2))) + 1
-    edges = durable(edges.filter(F.col("star") | ((F.col("shared") >= sure) & (F.abs(bits("a", 63) - bits("b", 63)) <= slack))), "edges")
-    pairs = edges.filter("NOT star").select("a", "b")
-    star_edges = durable(edges.filter("star").select("a", "b").unionByName(stars).filter("a <> b").distinct(), "stars")
-    release(rows)
-    family = durable(components(star_edges).withColumnRenamed("component", "family").withColumnRenamed("node", "id"), "families")
-
-    # compare whole sketches, a byte a word, of all candidates
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(family.select("id")).distinct()
-    reps = classes.join(needed, "id", "left_semi").select("fp", "rep")
-    sketches = table.filter("fp IS NOT NULL AND n > 0").join(reps.withColumnsRenamed({"fp": "__fp", "rep": "__rep"}), (F.col("fp") == F.col("__fp")) & (F.col(id_col) == F.col("__rep"))).select(F.col(id_col).alias("rep"), "fp", "id", "n", "own", "up").dropDuplicates(["fp"]).drop("fp")
-    sketches = durable(sketches, "sketches")
-    side = lambda x: sketches.select(*[F.col(c).alias(f"{c}_{x}") for c in sketches.columns])
-    both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
-    both = both.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("rep_a", "rep_b", "n_a", "n_b", *[F.when(F.length("own_a") == F.length("own_b"), F.col(f"own_{x}")).otherwise(F.when(F.col(f"n_{x}") == F.greatest("n_a", "n_b"), F.col(f"own_{x}")).otherwise(F.col(f"up_{x}"))).alias(f"s_{x}") for x in "ab"])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (_lead(batch, x).to_numpy() for x in ("n_a", "n_b"))
-            most = _most(n, m, percent)
-            ok = np.array([x is None or y is None or len(x) != len(y) or int((np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)).sum()) <= d for x, y, d in zip(_lead(batch, "s_a").to_pylist(), _lead(batch, "s_b").to_pylist(), most.tolist(), strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([_lead(batch, "rep_a").filter(pa.array(ok)), _lead(batch, "rep_b").filter(pa.array(ok))], names=["a", "b"])
-
-    close = durable(both.mapInArrow(near, f"a {kind}, b {kind}"), "close")
-
-    def sift(group: pa.Table) -> pa.Table:
-        rep, n, mine, lo = group.column("rep"), group.column("n").to_numpy(), group.column("mine").to_numpy(), group.column("lo").to_numpy()
-        found = close_block(group.column("s").to_pylist(), n, (mine != lo).astype(int), percent)
-        return pa.table({"a": rep.take(pa.array([i for i, _ in found], pa.int64())), "b": rep.take(pa.array([j for _, j in found], pa.int64()))})
-
-    banded = F.explode(F.array(F.col("own"), F.col("up"))).alias("s")
-    members = _blocks(family, "id").join(sketches, "id").select("family", "lo", "hi", "mine", "rep", "n", banded).filter("s IS NOT NULL")
-    sifted = durable(members.groupBy("family", "lo", "hi", F.length("s").alias("width")).applyInArrow(sift, f"a {kind}, b {kind}"), "sifted")
-    family = durable(components(sifted.distinct()).withColumnRenamed("component", "family").withColumnRenamed("node", "rep"), "families")
-
-    # verify what is left on the full sets
-    last = durable(close.select(F.col("a").alias("__rep")).unionByName(close.select(F.col("b").alias("__rep"))).unionByName(family.select(F.col("rep").alias("__rep"))).distinct(), "reps")
-    few = last.count() <= 400_000
-    chosen = docs.select(id_col, text_col).join(F.broadcast(last) if few else last, F.col(id_col) == F.col("__rep"), "left_semi")
-    sets = durable(shingle_sets(chosen, k, id_col, text_col), "sets")
-    a, b = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    away = lambda o: F.pmod(F.shiftright(o.bitwiseAND(F.lit(255)), 3) - F.shiftright(F.col("id").bitwiseAND(F.lit(255)), 3) + slack, F.lit(32))
+    few = F.filter("others", lambda o: (o != F.col("id")) & (away(o) <= 2 * slack))
+    runs = runs.filter("size > 1").select("id", (F.col("size") > SMALL + 1).alias("star"), F.when(F.col("size") <= SMALL + 1, few).otherwise(F.array("top")).alias("others"))
+    edges = runs.select("id", "star", F.explode("others").alias("o")).filter("id <> o")
+    edges = edges.groupBy(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), "star").agg(F.count("*").alias("shared"))
+    sure = F.least(F.shiftright(_masked("a", 6), 1), F.shiftright(_masked("b", 6), 1)) + 1
+    # a pair that meets in no star shares all the words it is sure to share in runs of few
+    edges = edges.filter(F.col("star") | (F.col("shared") >= sure)).select("a", "b", "star").unionByName(stars.select("a", "b", F.lit(True).alias("star")))
+    edges = durable(edges.select(F.col("a").bitwiseAND(node).alias("a"), F.col("b").bitwiseAND(node).alias("b"), "star").filter("a <> b").distinct(), "edges")
+    return edges.filter("NOT star").select("a", "b"), edges.filter("star").select("a", "b")
+
+
+def jaccard_links(docs: DataFrame, table: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links between classes of equal sets (their fp), enough to connect all that link."""
+    spark = docs.sparkSession
+    hot = table.filter("fp IS NULL").groupBy("shingle").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").toArrow()
+    often = spark.sparkContext.broadcast(np.sort(hot.column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    held = durable(held_words(docs, often, k, percent, text_col), "words")
+    often.unpersist()
+    pairs, stars = candidates(held, percent)
+    release(held)
+    family = durable(components(stars).withColumnsRenamed({"node": "node", "component": "family"}), "families")
+
+    # the sets of all candidates; classes that share a node stand for each other
+    classes = table.filter("fp IS NOT NULL AND n > 0").groupBy("fp", "node").agg(F.min(id_col).alias("rep"))
+    twins = classes.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1").select("node")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(family.select("node")).unionByName(twins).distinct()
+    wanted = durable(classes.join(wanted, "node", "left_semi"), "wanted")
+    chosen = docs.select(id_col, text_col).join(wanted.select(F.col("rep").alias("__rep")).distinct(), F.col(id_col) == F.col("__rep"), "left_semi")
+    if wanted.filter("rep IS NULL").limit(1).count():
+        chosen = chosen.unionByName(docs.filter(F.col(id_col).isNull()).select(id_col, text_col))
+    sets = shingle_sets(chosen, k, text_col).join(wanted.select("fp", "node"), "fp")
+    sets = durable(sets.dropDuplicates(["fp"]), "sets")
+    a, b = (sets.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+
     i = F.size(F.array_intersect("s_a", "s_b"))
-    direct = close.join(a, "a").join(b, "b").withColumn("i", i).filter(f"100 * i >= {percent} * (n_a + n_b - i)").select("a", "b")
+    links = lambda df: df.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").withColumn("i", i).filter(f"100 * i >= {percent} * (n_a + n_b - i)").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    shared = twins.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    direct = links(pairs.unionByName(shared).join(a, "a").join(b, "b"))
+    to_first = durable(links(family.filter("node <> family").select(F.col("family").alias("a"), F.col("node").alias("b")).join(b, "b").join(a, "a")), "first")
+
+    # members that their family's first does not settle meet all members
+    firsts = family.select("family").distinct().select(F.col("family").alias("node"), "family")
+    members = family.join(sets.select("node", "fp"), "node").select("family", "fp").distinct()
+    settled = to_first.select(F.col("b").alias("fp")).unionByName(firsts.join(sets.select("node", "fp"), "node").select("fp"))
+    rest = durable(members.join(settled.distinct(), "fp", "left_anti"), "rest")
+    sizes = members.groupBy("family").agg(F.count("*").alias("w")).join(rest.groupBy("family").agg(F.count("*").alias("v")), "family")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sizes = durable(sizes.select("family", "w", "v", parts("v").alias("left"), parts("w").alias("right")), "sizes")
+    deal = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = join_by_weight(rest, sizes.select("family", "v", "left", "right"), "family", "v", "inner").select("family", "fp", F.lit(0).alias("side"), deal("left").alias("x"), spread("right").alias("y"))
+    two = join_by_weight(durable(members.join(sizes.select("family"), "family", "left_semi"), "members"), sizes.select("family", "w", "left", "right"), "family", "w", "inner").select("family", "fp", F.lit(1).alias("side"), spread("left").alias("x"), deal("right").alias("y"))
+    blocks = one.unionByName(two).join(sets.select("fp", "shingles"), "fp")
 
     def link(group: pa.Table) -> pa.Table:
-        rep, mine, lo = group.column("rep"), group.column("mine").to_numpy(), group.column("lo").to_numpy()
-        column = group.column("shingles").combine_chunks()
+        fp, column = group.column("fp"), group.column("shingles").combine_chunks()
         at, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-        found = link_block([flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], (mine != lo).astype(int), percent)
-        return pa.table({"a": rep.take(pa.array([i for i, _ in found], pa.int64())), "b": rep.take(pa.array([j for _, j in found], pa.int64()))})
+        found = link_block([flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], group.column("side").to_numpy(), percent)
+        return pa.table({"a": fp.take(pa.array([i for i, _ in found], pa.int64())), "b": fp.take(pa.array([j for _, j in found], pa.int64()))})
 
-    members = _blocks(family, "rep").join(sets, "rep").select("family", "lo", "hi", "mine", "rep", "shingles")
-    linked = members.groupBy("family", "lo", "hi").applyInArrow(link, f"a {kind}, b {kind}")
-    return direct.unionByName(linked)
+    linked = blocks.groupBy("family", "x", "y").applyInArrow(link, "a binary, b binary")
+    return durable(direct.unionByName(to_first).unionByName(linked).filter("a <> b"), "links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     table = durable(digests(docs, k, percent, id_col, text_col), "digests")
-    links = durable(jaccard_links(docs, table, k, percent, id_col, text_col), "links")
-    joined = components(links)
+    joined = components(jaccard_links(docs, table, k, percent, id_col, text_col))
     heads = table.filter("fp IS NOT NULL AND n > 0").groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("w"))
-    heads = heads.join(joined, F.col("rep") == F.col("node"), "left").select("fp", "w", F.coalesce("component", "rep").alias("component"))
-    rows = table.filter("fp IS NOT NULL")
-    found = join_by_weight(rows.filter("n > 0").select(id_col, "n", "fp"), heads, "fp", "w").select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component", F.col(id_col)).alias("component_id"))
-    return found.unionByName(rows.filter("n = 0").select(id_col, F.col("n").alias("n_shingles"), F.col(id_col).alias("component_id")))
+    grouped = heads.join(joined, F.col("fp") == F.col("node"), "inner").select("fp", "w", "rep", "component")
+    names = grouped.groupBy("component").agg(F.min("rep").alias("__first"))
+    linked = grouped.join(names, "component").select("fp", "w", "__first")
+    alone = heads.join(joined.select("node"), F.col("fp") == F.col("node"), "left_anti").filter("w > 1").select("fp", "w", F.col("rep").alias("__first"))
+    heads = durable(linked.unionByName(alone), "heads")
+    rows = table.filter("fp IS NOT NULL").select(id_col, "n", "fp")
+    found = join_by_weight(rows, heads, "fp", "w")
+    return found.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("__first", F.col(id_col)).alias("component_id"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
