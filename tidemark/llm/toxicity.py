@@ -6,14 +6,14 @@ and the sentence scores then locate what offends. Nothing but the text is an inp
 
 The training sample is bounded: at most `sample` labelled documents, half of them toxic if there are as
 many, chosen by a hash of doc_id; the weights of the loss restore the share of toxic documents among all
-labels. Scoring covers every row. Defined cases: null or empty text, or one without words, scores as a
+labels, times `miss_cost` for what a missed one costs against a clean one. Scoring covers every row. Defined cases: null or empty text, or one without words, scores as a
 bag of one empty sentence; a document labelled twice is toxic if any label says so; labels of no document are
-ignored; without labels every text gets the prior of an untrained model; repeated rows score alike.
+ignored; without labels every text gets the prior of an untrained model; repeated rows score alike; other
+columns pass through; a null doc_id teaches nothing and counts as not held out.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +31,8 @@ SALTS = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)) for i in range(6)
 
 
 def word_features(c: Chunk) -> np.ndarray:
-    """Six buckets a word: the word, and its first 4 to 8 bytes (the whole word if shorter)."""
-    cols = [c.hashes()] + [c.spans(c.start, np.minimum(c.start + n, c.end)) for n in BEGINNINGS]
+    """Six buckets a word: the word, and its first 4 to 8 bytes, told apart by whether the word goes on."""
+    cols = [c.hashes()] + [c.spans(c.start, np.minimum(c.start + n, c.end)) ^ (c.end > c.start + n).astype(np.uint64) for n in BEGINNINGS]
     return np.stack([(mix(h ^ s) >> np.uint64(64 - BITS)).astype(np.int32) for h, s in zip(cols, SALTS, strict=True)], 1)
 
 
@@ -47,26 +47,39 @@ def sentences(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, text[new]
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 80, rate: float = 0.15, decay: float = 3e-5) -> tuple[np.ndarray, float]:
+def word_kinds(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each kind of word, kind of each word, its sentence, text of each sentence).
+
+    Words are reduced to their kinds chunk by chunk, so memory is a few bytes a word.
+    """
+    keys, tables, words, sent, owner, base, kinds = [], [], [], [], [], 0, 0
+    for i, c in chunks(texts, MARKS):
+        s, t = sentences(c)
+        feats = word_features(c)
+        key, first, word = np.unique(feats[:, 0].astype(np.int64) << 36 | feats[:, 1].astype(np.int64) << 18 | feats[:, -1], return_index=True, return_inverse=True)
+        keys.append(key)
+        tables.append(feats[first])
+        words.append((word + kinds).astype(np.int32))
+        sent.append((s + base).astype(np.int32))
+        owner.append((t + i).astype(np.int32))
+        kinds, base = kinds + len(key), base + len(t)
+    if not keys:
+        return np.zeros((0, 1 + len(BEGINNINGS)), np.int32), *(np.zeros(0, np.int32) for _ in range(3))
+    _, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return np.concatenate(tables)[first], of.astype(np.int32)[np.concatenate(words)], np.concatenate(sent), np.concatenate(owner)
+
+
+def fit(texts: list[str] | pa.Array | pa.ChunkedArray, y: np.ndarray, weight: np.ndarray, epochs: int = 80, rate: float = 0.15, decay: float = 0.07) -> tuple[np.ndarray, float]:
     """Weights by bucket and the intercept of a sentence; Adam on the loss of documents under noisy-or.
 
-    Weights stay at 0 or above: words only add evidence, so a long sentence cannot drown its worst word.
+    Weights stay at 0 or above: words only add evidence, so a long sentence cannot drown its worst word. The
+    penalty `decay` on weights is a prior, so it counts less the more documents there are.
     """
     w, bias = np.zeros(1 << BITS, np.float32), -9.0
     if not len(texts) or not 0 < y.sum() < len(y):
         return w, bias
-    feats, sent, owner, base, bags = [], [], [], 0, 0
-    for i, c in chunks(pa.array(texts, pa.large_string()), MARKS):
-        s, t = sentences(c)
-        feats.append(word_features(c))
-        sent.append(s + base)
-        owner.append(t + i)
-        base += len(t)
-    feats, sent, owner = np.concatenate(feats), np.concatenate(sent), np.concatenate(owner)
-    kinds, word = np.unique(feats[:, 0].astype(np.int64) << 36 | feats[:, 1].astype(np.int64) << 18 | feats[:, -1], return_inverse=True)
-    table = np.zeros((len(kinds), feats.shape[1]), np.int32)
-    table[word] = feats
-    del feats
+    table, word, sent, owner = word_kinds(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+    base = len(owner)
     m1, m2, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, epochs + 1):
         z = np.bincount(sent, w[table].sum(1)[word], base) + bias
@@ -75,8 +88,8 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 80, r
         keep = np.exp(-a)
         slope = weight * np.where(y > 0, -keep / np.maximum(1 - keep, 1e-4), 1.0)
         dz = (slope[owner] * p / len(y)).astype(np.float32)
-        by_kind = np.bincount(word, dz[sent], len(kinds))
-        g = np.bincount(table.ravel(), np.repeat(by_kind, table.shape[1]), 1 << BITS).astype(np.float32) + decay
+        by_kind = np.bincount(word, dz[sent], len(table))
+        g = np.bincount(table.ravel(), np.repeat(by_kind, table.shape[1]), 1 << BITS).astype(np.float32) + decay / len(y)
         gb = float(dz.sum())
         m1, m2, b1, b2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g, 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         fix, step = np.sqrt(1 - 0.99**t) / (1 - 0.9**t), rate * min(1.0, 2.0 * (1 - t / (epochs + 1)))
@@ -85,19 +98,18 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 80, r
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, miss_cost: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Fit on a bounded sample. Only ids are ordered; the texts of the chosen ids, a broadcast of at most `sample`, come to the driver."""
     one = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("y"))
     one = one.filter(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2)
     all_of = {r["y"]: r["n"] for r in one.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     halves = [one.filter((F.col("y") > 0) == side).orderBy(F.xxhash64(F.lit(3), F.col(id_col)), id_col).limit(sample // 2) for side in (True, False)]
     picked = halves[0].unionByName(halves[1]).select(F.col(id_col).alias("__id"), "y")
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).groupBy("__id").agg(F.max("y").alias("y"), F.min_by(text_col, F.col(text_col)).alias("t")).collect()
-    rows.sort(key=lambda r: r["__id"])
-    y = np.array([float(r["y"] > 0) for r in rows])
+    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).groupBy("__id").agg(F.max("y").alias("y"), F.min_by(text_col, F.col(text_col)).alias("t")).toArrow().sort_by("__id")
+    y = (rows.column("y").to_numpy() > 0).astype(float)
     toxic = max(y.sum(), 1)
-    weight = np.where(y > 0, all_of.get(True, 0) / toxic, all_of.get(False, 0) / max(len(y) - toxic, 1))
-    return fit([r["t"] or "" for r in rows], y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
+    weight = np.where(y > 0, miss_cost * all_of.get(True, 0) / toxic, all_of.get(False, 0) / max(len(y) - toxic, 1))
+    return fit(rows.column("t"), y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
 
 
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text", locate: float = 0.1) -> DataFrame:
@@ -134,5 +146,5 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str],
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity(docs, train(docs, read(spark, sf_dir, "labels")), ["doc_id"])
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"), F.col("__spans").alias("sentences"))
