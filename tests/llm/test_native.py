@@ -207,3 +207,21 @@ def test_planted_items_are_found(spark):
 def test_escape(spark):
     rows = spark.createDataFrame([("a<\\[b\\\\",), ("",), ("<|x",)], "t string").select("t", chat.unescape(chat.escape(F.col("t"))).alias("u"), chat.escape(F.col("t")).alias("e")).collect()
     assert all(r.t == r.u and "<|" not in r.e for r in rows)
+
+
+def test_clashing_columns_and_null_ids(spark):
+    rnd = random.Random(5)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = [(i if i % 3 else None, words(30), ("a", None)[i % 2]) for i in range(300)] + [(7, "same text here", "a")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    extra = ["key", "copy", "mean", "n", "parts", "cdf", "__key", "__id", "__doc", "__place", "__k", "__parts", "__d", "__bad", "__t", "d", "t", "w", "h", "x", "item", "size", "p", "of", "fp", "__drop", "__row"]
+    wide = docs.select("*", *[F.lit(j).alias(c) for j, c in enumerate(extra)])
+    out = mixing.mix(wide, {"a": 0.5})
+    assert set(out.columns) == set(wide.columns) and out.count() > 200 and out.agg(F.max("copy")).first()[0] < 20
+    assert out.filter("doc_id IS NULL").count() > 0
+    bench = spark.createDataFrame([(9, QUESTION)], "item_id long, text string")
+    leaking = wide.limit(40).unionByName(wide.limit(1).withColumn("text", F.lit(QUESTION)).withColumn("doc_id", F.lit(1000).cast("long")))
+    clean = decontam.decontaminate(leaking.drop("__bad"), bench)
+    assert clean.columns == leaking.drop("__bad").columns and clean.filter("doc_id = 1000").count() == 0 and clean.count() == 40
+    lines = line_dedup.line_dedup(docs.withColumn("key", F.lit(1)).withColumn("n", F.lit(2)))
+    assert lines.count() == 350 and lines.filter("doc_id IS NULL AND text IS NULL").count() == 0

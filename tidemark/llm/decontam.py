@@ -65,6 +65,10 @@ def _windows(h: Column, width: Column | int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(h, i + 1, width)).alias("w")))).otherwise(F.array().cast("array<struct<p:int,w:bigint>>"))
 
 
+def _sized(h: Column, width: int) -> Column:
+    return F.transform(_windows(h, width), lambda x: F.struct(F.lit(width).alias("z"), x["p"].alias("p"), x["w"].alias("w")))
+
+
 def benchmark_windows(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(item, size, p, w, usable): the windows of every item; size is its window's length."""
     items = benchmark.select(F.col(id_col).alias("item"), template(F.col(text_col)).alias("pairs")).filter(F.size("pairs") > 0)
@@ -106,8 +110,9 @@ def fitting_windows(seen: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_cover: float = 0.5, min_windows: int = 6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, n_windows, cover, exact): documents that hold at least `min_windows` windows of an item, or `min_cover` of them.
 
-    The benchmark's windows are counted and broadcast up to MOST_BROADCAST rows, else joined by hash. Only
-    matches are shuffled, and only documents with a match are read a second time, for their values.
+    One pass templates a text and makes its windows of all sizes. The benchmark's windows are counted and
+    broadcast up to MOST_BROADCAST rows, else joined by hash, where adaptive execution splits what one frequent window
+    brings. Only matches are shuffled, and only documents with a match are read a second time, for their values.
     """
     bench = durable(benchmark_windows(benchmark, width, item_col, item_text), "bench")
     n = bench.count()
@@ -115,16 +120,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_cover:
     small = n <= MOST_BROADCAST
     digest = F.xxhash64(F.col(text_col)).alias("t")
     hashed = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("d"), digest, _hashes(template(F.col(text_col))).alias("h"))
-    hits = None
-    for size in sizes or [width]:
-        b = bench.filter(F.col("size") == size).select("item", "p", "w", "of")
-        each = hashed.select("d", "t", F.explode(_windows(F.col("h"), size)).alias("x")).select("d", "t", F.col("x.p").alias("at"), F.col("x.w").alias("w"))
-        found = each.join(F.broadcast(b) if small else b, "w").select("d", "t", "item", "of", F.lit(size).alias("size"), "p", (F.col("at") - F.col("p")).alias("shift"))
-        hits = found if hits is None else hits.unionByName(found)
+    every = F.flatten(F.array(*[_sized(F.col("h"), z) for z in sizes or [width]]))
+    each = hashed.select("d", "t", F.explode(every).alias("x")).select("d", "t", F.col("x.z").alias("z"), F.col("x.p").alias("at"), F.col("x.w").alias("w"))
+    b = bench.select("item", F.col("size"), "p", F.col("w").alias("__w"), "of")
+    hits = each.join(F.broadcast(b) if small else b, (F.col("w") == F.col("__w")) & (F.col("z") == F.col("size"))).select("d", "t", "item", "of", "size", "p", (F.col("at") - F.col("p")).alias("shift"))
     runs = durable(hits.groupBy("d", "t", "item", "of", "size", "shift").agg(F.collect_set("p").alias("ps")), "leaks")
     ids = runs.select(F.col("d").alias("__d")).distinct()
     near = ids.count() <= MOST_BROADCAST
-    there = docs.join(F.broadcast(ids) if near else ids, F.col(id_col) == F.col("__d"), "left_semi").select(F.col(id_col).alias("d"), digest, F.transform(template(F.col(text_col)), _value).alias("doc_values")).dropDuplicates(["d", "t"])
+    plain = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"))
+    there = plain.join(F.broadcast(ids) if near else ids, F.col("d") == F.col("__d"), "left_semi").select("d", F.xxhash64("text").alias("t"), F.transform(template(F.col("text")), _value).alias("doc_values")).dropDuplicates(["d", "t"])
     asked = benchmark.select(F.col(item_col).alias("item"), F.transform(template(F.col(item_text)), _value).alias("item_values"))
     seen = runs.join(there, ["d", "t"]).join(F.broadcast(asked) if small else asked, runs["item"].eqNullSafe(asked["item"])).select("d", "t", runs["item"], "of", "size", "shift", "ps", "item_values", "doc_values")
     total = fitting_windows(seen).groupBy("d", "item", "of", "p").agg(F.max("fits").alias("fits"), F.max("exact").alias("exact"))
@@ -137,7 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """docs without those that leak an item."""
     bad = durable(find_leaks(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias("__bad")).distinct(), "leaky")
     few = bad.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(bad) if few else bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs[id_col] == bad["__bad"], "left_anti")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

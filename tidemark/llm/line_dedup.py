@@ -43,7 +43,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     counts = durable(counts, "line-counts")
     going = join_by_weight(held, counts, "__h", "n", "inner").filter(F.col("__d") != F.col("keeper"))
     per_doc = going.groupBy(F.col("__d").alias("__id")).agg(F.collect_set("__h").alias("__drop"))
-    found = docs.join(per_doc, F.col(id_col) == F.col("__id"), "left")
+    # a null id has nothing to join, so it stays out of the shuffle by id
+    found = docs.filter(F.col(id_col).isNotNull()).join(per_doc, F.col(id_col) == F.col("__id"), "left")
+    found = found.unionByName(docs.filter(F.col(id_col).isNull()), allowMissingColumns=True)
     tagged = F.arrays_zip(lines.alias("line"), _keys(lines, min_chars).alias("key"))
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.transform(F.filter(tagged, lambda x: x["key"].isNull() | ~F.array_contains(F.col("__drop"), x["key"])), lambda x: x["line"]))
     out = found.withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__kept", kept)

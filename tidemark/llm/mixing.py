@@ -5,7 +5,8 @@ source's target share over its present share. The draw inverts the distribution
 document id, so it is the same on every run and machine. Copies are exploded and shuffled globally by
 hash. Defined cases: a null source is a source; a null id draws as the text "null"; rows that repeat an
 id get equal counts; a source without a target keeps mean 1; means above 16 are sums of equal parts, so
-no probability underflows; an empty table gives an empty table; other columns pass through.
+no probability underflows; an empty table gives an empty table; a column `copy` of docs
+is replaced, other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -59,18 +60,19 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float =
         lambda a, k: F.struct((a["p"] * F.col("l") / k).alias("p"), (a["c"] + a["p"] * F.col("l") / k).alias("c"), F.concat(a["cdf"], F.array(a["c"] + a["p"] * F.col("l") / k)).alias("cdf")),
     )
     means = means.withColumn("parts", parts.cast("int")).withColumn("l", F.col("mean") / F.col("parts")).select("key", "n", "parts", step["cdf"].alias("cdf"))
-    plain = docs.columns
-    keyed = docs.withColumn("__key", F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col))))
-    means = means.select("key", "n", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    names = [c for c in docs.columns if c != "copy"]
+    key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__doc"), F.col(id_col).alias("__id"), key.alias("__key"), F.monotonically_increasing_id().alias("__place"))
+    means = means.select(F.col("key").alias("__of"), "n", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     if means.count() <= MOST_SOURCES:
-        found = keyed.join(F.broadcast(means.drop("n")), F.col("__key") == F.col("key"), "left").drop("key")
+        found = keyed.join(F.broadcast(means.drop("n")), F.col("__key") == F.col("__of"), "left")
     else:
-        found = join_by_weight(keyed, means.withColumnRenamed("key", "__key"), "__key", "n")
-    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: uniform(seed, F.col(id_col), j))
+        found = join_by_weight(keyed, means.withColumnRenamed("__of", "__key"), "__key", "n")
+    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: uniform(seed, F.col("__id"), j))
     count = F.aggregate(draws, F.lit(0), lambda a, u: a + F.size(F.filter("__cdf", lambda c: c < u)))
-    copies = found.withColumn("__k", count).filter("__k > 0").select(*plain, F.explode(F.sequence(F.lit(1), F.col("__k"))).alias("copy"))
-    dealt = copies.repartition(F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
-    return dealt.sortWithinPartitions(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col("copy")))
+    copies = found.withColumn("__k", count).filter("__k > 0").select("__doc", "__id", "__place", F.explode(F.sequence(F.lit(1), F.col("__k"))).alias("copy"))
+    dealt = copies.repartition(F.xxhash64(F.lit(seed), F.col("__id"), F.col("copy"), F.col("__place")))
+    return dealt.sortWithinPartitions(F.xxhash64(F.lit(seed + 1), F.col("__id"), F.col("copy"), F.col("__place"))).select("__doc.*", "copy")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation
 over the counts of vote patterns (all documents; at most 3 ** 8 patterns reach the driver) estimates how
 often each labeller is right, without any label. The posterior of each pattern labels a bounded sample
-(`sample` documents by a hash of doc_id), on which a linear scorer over hashed token features is trained;
+(at most `sample` documents, those of the smallest hashes of doc_id and text), on which a linear scorer over hashed token features is trained;
 it scores every document. Defined cases: null or empty text gets no vote but those that an empty text
 earns and scores by the intercept; an empty table gives an empty table; repeated rows count and score
 alike; other columns pass through.
@@ -179,8 +179,9 @@ def train(docs: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col:
     posterior, found = em(patterns, counts)
     by = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     share = min(1.0, sample / counts.sum())
-    bits = F.pmod(F.xxhash64(F.lit(11), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 30))
-    picked = docs.filter(bits < int(share * (1 << 30)) + 1).select(id_col, text_col).limit(2 * sample)
+    key = F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col))  # of the text too, as ids may be null or shared
+    near = docs.select(id_col, text_col).filter(F.pmod(key, F.lit(1 << 30)) < int(min(1.0, 2 * share) * (1 << 30)) + 1)
+    picked = near.orderBy(F.pmod(key, F.lit(1 << 30)), key, id_col, text_col).limit(sample)
     rows = append_columns(picked, make, field, [id_col, text_col]).collect()
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     return fit([r[1] or "" for r in rows], np.array([by[r[2]] for r in rows])), found
