@@ -7,7 +7,9 @@ columns of docs (mixing adds `copy`). run() stores each stage's result in the sh
 
 Defined cases: null and empty texts pass every stage (they are scored by the prior of the toxicity
 model); the join and decontamination decide by row, so a null doc_id or one that is shared is judged by its
-text alone; rows that repeat a doc_id and its text are one document after the join; extra columns pass through; an empty table gives an empty table.
+text alone; rows of equal text are copies of each other, and of a group the row of the smallest doc_id stays (of equal ids, that
+of the smallest hash of the whole row; null ids last); extra columns of any name pass through, but for `copy`,
+which mixing replaces; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, line_dedup, mixing, ngram_join, toxicity
-from tidemark.llm._spark import durable, read
+from tidemark.llm._spark import durable, read, release
 
 REJECT_AT = 0.3
 MOST_BROADCAST = 400_000
@@ -33,28 +35,30 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs with __row, a key of each row, stored so that it stays."""
-    return durable(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+    """(__row, __doc): a key of each row and its columns as one value, stored so that the key stays and no name clashes."""
+    return durable(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[docs[c] for c in docs.columns]).alias("__doc")), name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs, "rows")
-    groups = ngram_join.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
+    texts = rows.select(F.col("__row").alias("doc_id"), F.col("__doc.text").alias("text"))
+    groups = ngram_join.jaccard_components(texts)
     linked = durable(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__member"), F.col("component_id").alias("__group")), "linked")
     members = linked.unionByName(linked.select(F.col("__group").alias("__member"), "__group").distinct())
-    named = durable(members.join(rows.select("__row", "doc_id"), F.col("__member") == F.col("__row")).select("__row", "__group", "doc_id"), "named")
-    first = named.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
+    key = F.struct(F.col("__doc.doc_id").isNull().alias("none"), F.col("__doc.doc_id").alias("id"), F.xxhash64("__doc").alias("hash"), "__row")
+    few = linked.count() <= MOST_BROADCAST
+    named = rows.join(F.broadcast(members) if few else members, F.col("__row") == F.col("__member")).select("__row", "__group", key.alias("__key"))
+    named = durable(named, "named")
+    first = named.groupBy("__group").agg(F.min("__key").alias("m")).select(F.col("m.__row").alias("__row"))
     gone = durable(named.join(first, "__row", "left_anti").select(F.col("__row").alias("__gone")), "copies")
-    few = gone.count() <= MOST_BROADCAST
-    kept = rows.join(F.broadcast(gone) if few else gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
-    repeated = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count() > 0
-    if repeated:
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id IS NULL"))
-    return kept
+    release(linked, named)
+    kept = rows.join(F.broadcast(gone) if few else gone, F.col("__row") == F.col("__gone"), "left_anti")
+    return kept.select("__doc.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(keyed(docs, "rows"), read(spark, sf_dir, "benchmark"), "__row").drop("__row")
+    rows = keyed(docs, "rows").select("__row", "__doc", F.col("__doc.text").alias("text"))
+    return decontam.decontaminate(rows, read(spark, sf_dir, "benchmark"), "__row").select("__doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +78,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = durable(docs, name)
+            if before is not None:
+                release(before)
+            before = docs
     return docs
