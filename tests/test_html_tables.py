@@ -26,3 +26,9 @@ def test_explode(spark):
     rows = {(r.page_id, r.row): r.cells for r in H.explode_tables(df, "page_id", "html").filter("error IS NULL").collect()}
     assert rows == {(1, 0): ["a"], (1, 1): ["b"]}
     assert H.explode_tables(df, "page_id", "html").filter("error IS NOT NULL").count() == 1
+
+
+def test_blank_rows_and_gaps():
+    assert H.tables("<table><tr><td>a</td></tr><tr><td> </td><td></td></tr><tr><td>b</td></tr></table>") == [[["a"], ["b"]]]
+    wide = "<table><tr><td>a</td><td>b</td><td rowspan=2>c</td></tr><tr><td>d</td></tr><tr><td>e</td><td>f</td></tr></table>"
+    assert H.tables(wide) == [[["a", "b", "c"], ["d"], ["e", "f", "c"]]]

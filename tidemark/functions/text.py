@@ -110,8 +110,10 @@ def expected_rows(total: Column, page: Column, pages: Column, size: Column | int
 
 
 def issuance_type(c: Column) -> Column:
-    mixed, bonus, paid = c.contains("유무상증자"), c.contains("무상증자"), c.contains("유상증자")
-    return F.when(mixed | (bonus & paid), F.lit("mixed")).when(bonus, F.lit("bonus")).when(paid, F.lit("paid")).otherwise(F.lit("unknown"))
+    """From a title without spaces: mixed issues are named as such, and bonus comes before paid."""
+    t = F.replace(c, F.lit(" "), F.lit(""))
+    kinds = {"유무상증자": "mixed", "무상증자": "bonus", "유상증자": "paid"}
+    return F.coalesce(*[F.when(t.contains(word), F.lit(kind)) for word, kind in kinds.items()], F.lit("unknown"))
 
 
 def bond_type(c: Column) -> Column:
@@ -125,13 +127,58 @@ def meeting_phase(c: Column) -> Column:
     return F.when(c.contains("주주총회결과"), F.lit("RESULT")).when(c.contains("소집결의") | c.contains("소집공고"), F.lit("NOTICE"))
 
 
+#: What a meeting's result (and, for the first two, its remarks) says of an agenda, in the order of their weight.
+AGENDA_STATUS = (
+    ("withdrawn", True, r"(?:안건|의안)(?:을|를)?철회"),
+    ("not_tabled", True, r"불상정|미상정|자동폐기|(?:안건|의안)(?:을|를)?폐기"),
+    ("rejected", False, r"부결|미가결|가결(?:되지|되지않|안됨|아니)"),
+    ("passed", False, r"가결(?:됨)?$|원안(?:대로)?승인(?:됨)?$|승인(?:됨|되었음)$"),
+    ("unresolved", False, r"미결"),
+)
+
+
 def agenda_status(result: Column, remarks: Column) -> Column:
-    t = remove_spaces(F.concat_ws("", result, remarks))
-    order = (("철회", "withdrawn"), ("미상정|상정하지", "not_tabled"), ("부결", "rejected"), ("가결|승인|통과", "passed"), ("보류|연기|미정", "unresolved"))
-    out = F.lit(None).cast("string")
-    for pattern, name in reversed(order):
-        out = F.when(t.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    alone, both = remove_spaces(F.coalesce(result, F.lit(""))), remove_spaces(F.concat_ws("", result, remarks))
+    return F.coalesce(*[F.when((both if with_remarks else alone).rlike(pattern), F.lit(status)) for status, with_remarks, pattern in AGENDA_STATUS])
+
+
+#: Fixed values.
+NO_LETTER = " -_/·,"
+
+
+def purpose_label(c: Column) -> Column:
+    """A funding purpose without its unit of money; null when nothing is left."""
+    t = F.regexp_replace(collapse_spaces(c), r"\(\s*원\s*\)", "")
+    t = collapse_spaces(F.btrim(F.regexp_replace(t, r"\s*원$", ""), F.lit(NO_LETTER)))
+    return F.when(t != "", t)
+
+
+def year_of(c: Column) -> Column:
+    """The year a date text starts with; an error unless these are four digits."""
+    head = F.substring(strip(F.coalesce(c, F.lit(""))), 1, 4)
+    return F.when(head.rlike("^[0-9]{4}$"), head.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no year in "), F.coalesce(c, F.lit("null")))).cast("int"))
+
+
+def parse_price(c: Column) -> Column:
+    """A number in a text, commas dropped, as double; null without one."""
+    return F.replace(F.regexp_extract(c, r"-?[0-9][0-9,]*(?:\.[0-9]+)?", 0), F.lit(","), F.lit("")).try_cast("double")
+
+
+def json_number(c: Column) -> Column:
+    """The number itself, null as null; NaN and infinities are errors."""
+    bad = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    return F.when(bad, F.raise_error(F.lit("a number is not finite")).cast("double")).otherwise(c)
+
+
+def codes_hash(codes: Column) -> Column:
+    """sha256 of an array of codes, one after the other."""
+    return F.sha2(F.concat_ws("", codes).cast("binary"), 256)
+
+
+def viewer_call(c: Column) -> Column:
+    """(acpt_no, doc_no) out of a call of openDisclsViewer."""
+    pattern = r"""openDisclsViewer\(\s*['"]([^'"]*)['"]\s*,\s*['"]([^'"]*)['"]\s*\)"""
+    return F.when(c.rlike(pattern), F.struct(F.regexp_extract(c, pattern, 1).alias("acpt_no"), F.regexp_extract(c, pattern, 2).alias("doc_no")))
 
 
 def vwap(amount: Column, volume: Column) -> Column:

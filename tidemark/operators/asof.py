@@ -17,15 +17,15 @@ def anchor_date(ts: Column) -> Column:
 def forward_asof(events: DataFrame, bars: DataFrame, on: str = "anchor", key: str = "code", keep: tuple[str, ...] = ("date", "open", "high", "low", "close")) -> DataFrame:
     """Each event with the first bar of its key on or after `on`; events without one are dropped.
 
-    Union and one window: a single shuffle by key, no range join. Bars of a key are few (one a day), so a
-    bar first is met from behind; of one date events sort before bars, so equal dates match.
+    Union and one window: a single shuffle by key, no range join. Dates run backwards, so the frame only grows and
+    each row costs one step; of one date bars come before events, so equal dates match.
     """
     bar = F.struct(*[F.col(c) for c in keep])
     payload = [c for c in events.columns if c != key]
     left = events.select(F.col(key), F.col(on).alias("__at"), F.lit(0).alias("__side"), F.struct(*payload).alias("__event"), F.lit(None).cast(bars.select(bar.alias("b")).schema["b"].dataType).alias("__bar"))
     right = bars.select(F.col(key), F.col("date").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(left.schema["__event"].dataType).alias("__event"), bar.alias("__bar"))
-    ahead = Window.partitionBy(key).orderBy("__at", "__side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = left.unionByName(right).withColumn("__hit", F.first("__bar", ignorenulls=True).over(ahead))
+    back = Window.partitionBy(key).orderBy(F.desc("__at"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = left.unionByName(right).withColumn("__hit", F.last("__bar", ignorenulls=True).over(back))
     return found.filter("__side = 0 AND __hit IS NOT NULL").select(key, *[F.col(f"__event.{c}").alias(c) for c in payload], *[F.col(f"__hit.{c}").alias(c if c not in payload else f"bar_{c}") for c in keep])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 from itertools import count
 
@@ -24,11 +25,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def store_step(df: DataFrame) -> DataFrame:
-    """Cut lineage in iterations by a reliable checkpoint where the session has a folder for it."""
+    """Cut lineage in iterations by a reliable checkpoint in the folder that the session names."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        return df.cache()
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("walks over a graph need spark.checkpoint.dir, a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

@@ -34,7 +34,7 @@ def connected(ranges: DataFrame, key: str) -> DataFrame:
 def close_open(starts: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
     """starts (keys, start_date) closed by the earliest later end (keys, end_date); is_active where none is."""
     both = starts.select(*keys, F.col("start_date").alias("d"), F.lit(1).alias("k")).unionByName(ends.select(*keys, F.col("end_date").alias("d"), F.lit(0).alias("k")))
-    # rows of one day: ends come first, so an end closes only starts of days before it
-    ahead = Window.partitionBy(*keys).orderBy("d", "k").rowsBetween(1, Window.unboundedFollowing)
-    out = both.withColumn("end_date", F.min(F.when(F.col("k") == 0, F.col("d"))).over(ahead)).filter("k = 1")
+    # days run backwards and of one day starts come first, so an end closes only starts of days before it and the frame only grows
+    back = Window.partitionBy(*keys).orderBy(F.desc("d"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("end_date", F.min(F.when(F.col("k") == 0, F.col("d"))).over(back)).filter("k = 1")
     return out.select(*keys, F.col("d").alias("start_date"), "end_date", F.col("end_date").isNull().alias("is_active"))

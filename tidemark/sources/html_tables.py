@@ -61,40 +61,37 @@ def _span(raw: str | None) -> int:
 
 
 def expand(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
-    """A rectangular reading of rows with spans. A cell that spans rows is repeated in each; rows without cells go."""
+    """A reading of rows with spans: a cell is repeated in each place it covers, and rows of blanks go.
+
+    hanging: by column what cells of earlier rows still cover, as (rows left, text). It is used up only where a row
+    gets to it, before a cell or, without a gap, behind the last one.
+    """
     grid: list[list[str]] = []
     hanging: dict[int, tuple[int, str]] = {}
     for row in rows:
-        out: dict[int, str] = {}
-        at = 0
-        cells = iter(row)
-        if not row:
-            continue
-        for text, down, across in cells:
-            while at in hanging:
-                at = _take(hanging, out, at)
+        line: list[str] = []
+        new: dict[int, tuple[int, str]] = {}
+
+        def carry(line=line) -> None:
+            while len(line) in hanging:
+                left, text = hanging.pop(len(line))
+                if left > 1:
+                    new[len(line)] = (left - 1, text)
+                line.append(text)
+
+        for text, down, across in row:
+            carry()
             clean = " ".join(text.split())
-            for k in range(across):
-                out[at + k] = clean
-                if down > 1:
-                    hanging[at + k] = (down - 1, clean)
-            at += across
-        for k in sorted(c for c in hanging if c >= at and c not in out):
-            _take(hanging, out, k)
-        grid.append([out.get(k, "") for k in range(max(out) + 1)])
+            if down > 1:
+                new |= dict.fromkeys(range(len(line), len(line) + across), (down - 1, clean))
+            line += [clean] * across
+        carry()
+        hanging |= new
+        if any(line):
+            grid.append(line)
     return grid
 
 
-def _take(hanging: dict[int, tuple[int, str]], out: dict[int, str], at: int) -> int:
-    left, text = hanging[at]
-    out[at] = text
-    if left > 1:
-        hanging[at] = (left - 1, text)
-    else:
-        del hanging[at]
-    return at + 1
-
-
 def tables(html: str | None) -> list[list[list[str]]]:
     """Every table of a document as a grid of texts; inner tables come before the ones around them."""
     parser = _Tables()
