@@ -89,8 +89,9 @@ def parse_ints(c: Column) -> Column:
 
 
 def normalize_label(c: Column) -> Column:
-    """Without white space and up to two levels of leading numerals."""
-    return F.regexp_replace(remove_spaces(c), r"(?i)^(?:(?:[0-9]+|[ivx]+|[가-하])[.)]){1,2}", "")
+    """Without white space and a leading number (digits or Roman, of one or two levels as in 2-1) with its dot."""
+    number = r"(?:[0-9]+|[ivxlcdm]+|[\x{2160}-\x{217f}]+)"
+    return F.regexp_replace(remove_spaces(c), rf"(?i)^{number}(?:-{number})?\.", "")
 
 
 def drop_repeats(a: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keys as K
+from ..session import shared_folder
+
 KEEP = 3
 
 
@@ -26,15 +28,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def store_step(df: DataFrame) -> DataFrame:
     """Cut lineage in iterations by a reliable checkpoint in the folder that the session names."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("walks over a graph need spark.checkpoint.dir, a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -106,6 +102,42 @@ def shortest_hops(edges: DataFrame, source: str) -> DataFrame:
     return _levels(step, step.sparkSession.createDataFrame([(source,)], "node string"), "hops")
 
 
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(path, hops): one shortest undirected path, of several the first in the order of its node ids; no row without one.
+
+    By levels that keep the smallest path to each new node; stops at the target or when nothing new is reached.
+    """
+    step = both_ways(edges).select("node", "other").distinct()
+    front = step.sparkSession.createDataFrame([(source, [source])], "node string, path array<string>")
+    seen = front
+    while source != target:
+        ahead = front.join(step, "node").groupBy("other").agg(F.min(F.concat("path", F.array("other"))).alias("path")).withColumnRenamed("other", "node")
+        front = store_step(ahead.join(seen.select("node"), "node", "left_anti"))
+        if front.isEmpty() or not front.filter(F.col("node") == target).isEmpty():
+            break
+        seen = store_step(seen.unionByName(front))
+    return front.filter(F.col("node") == target).select("path", (F.size("path") - 1).alias("hops"))
+
+
+def investors_like(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(id, label, type, relation, other_type, other_label, company, date): a row an edge of each person, organisation or
+    company whose normalised label holds the normalised name, and the company that edge leads to; one row of nulls
+    without edges. Issuer of a security and holder of a meeting are those of the first edge by id."""
+    want = F.lit(name).alias("w")
+    key = K.entity_name(want)
+    people = nodes.filter(F.col("type").isin("Person", "Organization", "Company") & (key != "") & F.contains(K.entity_name(F.col("label")), key)).select("id", "label", "type")
+    first = lambda relation, a: edges.filter(F.col("relation") == relation).groupBy(F.col("target").alias(a)).agg(F.min_by("source", "id").alias("from"))
+    issued = first("ISSUED", "other").withColumnRenamed("from", "event").join(first("EXECUTED", "event"), "event").select("other", F.col("from").alias("issuer"))
+    held = first("HELD", "other").select("other", F.col("from").alias("holder"))
+    seen = both_ways(edges).join(people.select(F.col("id").alias("node")), "node").select("node", "other", "relation", F.col("start_date").alias("date"))
+    ends = nodes.select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.col("label").alias("other_label"))
+    firm = F.when(F.col("other").startswith("company_") & ~F.col("other").startswith("company_inv_"), F.col("other"))
+    firm = firm.when((F.col("relation") == "ACQUIRED") & F.col("other").startswith("security_"), F.col("issuer")).when(F.col("other").startswith("shareholder_meeting_"), F.col("holder"))
+    rich = seen.join(ends, "other", "left").join(issued, "other", "left").join(held, "other", "left").withColumn("firm", firm)
+    rich = rich.join(nodes.select(F.col("id").alias("firm"), F.col("label").alias("company")), "firm", "left")
+    return people.join(rich.withColumnRenamed("node", "id"), "id", "left").select("id", "label", "type", "relation", "other_type", "other_label", "company", "date")
+
+
 def control_chain(edges: DataFrame, start: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFrame:
     """Nodes reached from start along directed rules (prefix of the present node, relation, forward?), to the fixpoint."""
     steps = [

@@ -46,7 +46,7 @@ def title_kinds(spark, d):
     return _titled(spark, d).select("id", T.issuance_type(t).alias("issuance"), T.bond_type(t).alias("bond"), T.meeting_phase(t).alias("phase"), F.array_join(T.title_flags(t), "|").alias("flags"))
 
 
-@query(rf"""WITH {_TITLED} SELECT id, replace(title, ' ', '') AS bare, regexp_replace(replace(title, ' ', ''), '^(([0-9]+|[ivxIVX]+|[가-하])[.)]){{1,2}}', '') AS label,
+@query(rf"""WITH {_TITLED} SELECT id, replace(title, ' ', '') AS bare, regexp_replace(replace(title, ' ', ''), '^([0-9]+|[ivxlcdmIVXLCDM]+)(-([0-9]+|[ivxlcdmIVXLCDM]+))?\.', '') AS label,
   nullif(trim(regexp_replace(trim(regexp_replace(title, '\(\s*원\s*\)', '', 'g')), '\s*원$', ''), ' -_/·,'), '') AS purpose,
   TRY_CAST(replace(regexp_extract(title, '-?[0-9][0-9,]*(\.[0-9]+)?', 0), ',', '') AS DOUBLE) AS price FROM t""")
 def label_cleaning(spark, d):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import merge
+
 #: The disclosure table. `disclosed_at` stays text as well, since filters compare it as text.
 DISCLOSURES = T.StructType(
     [T.StructField("id", T.LongType())]
@@ -40,6 +42,70 @@ def write_disclosures(df: DataFrame, path: str, mode: str = "overwrite") -> None
     df.repartition("year", F.pmod(F.xxhash64("company_id"), F.lit(16))).sortWithinPartitions("company_id", "id").write.mode(mode).partitionBy("year").parquet(path)
 
 
+def sink_disclosures(df: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """Writes the first row of each acpt_no by year and returns the manifest (year, rows, companies, unlinked, first_at,
+    last_at), counted from what was written and kept in <path>_manifest."""
+    once = merge.first_row(df.filter("acpt_no IS NOT NULL"), "acpt_no", order).drop("n_rows").unionByName(df.filter("acpt_no IS NULL"))
+    write_disclosures(once, path)
+    linked = F.nullif(F.trim("company_key"), F.lit(""))
+    spark = df.sparkSession
+    found = spark.read.schema(df.schema).parquet(path).groupBy("year").agg(F.count("*").alias("rows"), F.count_distinct(linked).alias("companies"), F.count_if(linked.isNull()).alias("unlinked"), F.min("disclosed_at").alias("first_at"), F.max("disclosed_at").alias("last_at"))
+    found.write.mode("overwrite").parquet(f"{path}_manifest")
+    return spark.read.parquet(f"{path}_manifest")
+
+
+def replace_tables(spark: SparkSession, staged: dict[str, str]) -> None:
+    """Moves written tables (target to staged path) to their places together. Where one move fails, those made are undone,
+    the tables that were there return, and the error is raised."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    undo: list[tuple[str, str]] = []
+
+    def move(a: str, b: str) -> None:
+        source = hadoop.Path(a)
+        if not source.getFileSystem(conf).rename(source, hadoop.Path(b)):
+            raise OSError(f"can't move {a} to {b}")
+        undo.append((b, a))
+
+    kept = []
+    try:
+        for target, fresh in staged.items():
+            place = hadoop.Path(target)
+            if place.getFileSystem(conf).exists(place):
+                move(target, f"{target}_before")
+                kept.append(f"{target}_before")
+            move(fresh, target)
+    except Exception:
+        for b, a in reversed(list(undo)):
+            hadoop.Path(b).getFileSystem(conf).rename(hadoop.Path(b), hadoop.Path(a))
+        raise
+    for old in kept:
+        hadoop.Path(old).getFileSystem(conf).delete(hadoop.Path(old), True)
+
+
+def item_name(names: list[str], item: str) -> str | None:
+    """The name that holds an item of prices: the adjusted one (adjOpen) where it is there, else the plain one."""
+    by = {n.casefold(): n for n in names}
+    return by.get(f"adj{item}".casefold()) or by.get(item.casefold())
+
+
+def wide_codes(wide: DataFrame, date_col: str = "date") -> list[str]:
+    """Codes of a wide table, from its schema alone."""
+    return sorted(c for c in wide.columns if c != date_col)
+
+
+def preview(df: DataFrame, rows: int = 20, columns: int = 12) -> DataFrame:
+    """The first columns of the first rows."""
+    return df.select(*df.columns[:columns]).limit(rows)
+
+
+def clean_prices(raw: DataFrame, names: dict[str, str], items: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:
+    """Columns renamed, texts read as numbers, rows without a date or any number dropped, volume whole."""
+    named = raw.withColumnsRenamed(names)
+    read = named.select(F.col("date").cast("string").try_cast("date").alias("date"), *[F.col(i).cast("string").try_cast("double").alias(i) for i in items])
+    return read.dropna().withColumn("volume", F.col("volume").cast("long"))
+
+
 def wide_to_long(wide: DataFrame, date_col: str = "date") -> DataFrame:
     """(date, code, value) of a wide table with a column a code; nulls go."""
     codes = [c for c in wide.columns if c != date_col]
