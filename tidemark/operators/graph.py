@@ -61,11 +61,13 @@ def collapse_minor(edges: DataFrame, relation: str = "ACQUIRED", threshold: int
     (source, target, weight, investors); the collapsed edge comes from collapsed_<target>.
     """
     own = edges.filter(F.col("relation") == relation)
-    w = Window.partitionBy("target")
-    ranked = own.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc_nulls_last("weight"), "id")))
-    major = ranked.filter((F.col("n") <= threshold) | (F.col("r") <= keep)).select("source", "target", "weight", F.lit(1).cast("long").alias("investors"))
-    minor = own.join(ranked.filter((F.col("n") > threshold) & (F.col("r") > keep)).select("id"), "id", "left_semi")
-    rest = minor.groupBy("target").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.count("*").alias("investors"))
+    heaviest = F.row_number().over(Window.partitionBy("target").orderBy(F.desc_nulls_last("weight"), "id"))
+    top = own.select("id", "target", "weight").withColumn("r", heaviest).filter(F.col("r") <= keep).select("id", F.lit(True).alias("top"))  # a limit by group ahead of the shuffle
+    many = own.groupBy("target").agg(F.count("*").alias("n")).filter(F.col("n") > threshold).select("target", F.lit(True).alias("many"))
+    marked = own.select("id", "source", "target", "weight").join(many, "target", "left").join(top, "id", "left")
+    minor = F.col("many") & F.col("top").isNull()
+    major = marked.filter(F.col("many").isNull() | F.col("top")).select("source", "target", "weight", F.lit(1).cast("long").alias("investors"))
+    rest = marked.filter(minor).groupBy("target").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.count("*").alias("investors"))
     return major.unionByName(rest.select(F.concat(F.lit("collapsed_"), F.col("target").cast("string")).alias("source"), "target", "weight", "investors"))
 
 
