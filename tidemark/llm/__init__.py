@@ -8,7 +8,9 @@ from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP2_SQL, op2_source_mixing
 from .ngram_join import op6_ngram_jaccard_join
 from .pii import op8_pii
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op10_quality_classifier
+from .structure_repair import OP11_SQL, op11_structure_repair
 from .topk_search import OP7_SQL, op7_exact_topk_search
 from .toxicity import op9_toxicity
 from .url_filter import op1_url_filter
@@ -24,9 +26,13 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_structure_repair": op11_structure_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op2_source_mixing": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
     "op7_exact_topk_search": OP7_SQL,
+    "op11_structure_repair": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +48,33 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+#: Tables stored by the queries that run now, the innermost last.
+_open: list[list[DataFrame]] = []
+
+
+def settled(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Stores the result of `query` and deletes every other table that it stored on the way."""
+
+    @functools.wraps(query)
+    def run(*args, **kwargs) -> DataFrame:
+        _open.append([])
+        try:
+            out = durable(query(*args, **kwargs), query.__name__)
+        finally:
+            made = _open.pop()
+        release(*made[:-1])
+        if _open:
+            _open[-1].append(out)
+        return out
+
+    return run
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stored tables that no later step reads, and let Spark drop shuffle files nothing refers to."""
     for df in tables:
