@@ -208,3 +208,15 @@ def test_join_of_null_and_repeated_ids_and_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "fp": F.lit("x"), "node": F.lit(0)})
     got = sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join.jaccard_components(df).collect())
     assert got == sorted((str(i), str(c)) for i, c in [(None, 4), (4, 4), (None, None), (None, None), (5, 5), (5, 4), (6, 2), (2, 2), (3, 3), (3, 3)])
+
+
+def test_columns_named_as_those_made(spark):
+    """Each operator run on the output of the others: a column of the name of a new one is replaced, others stay."""
+    docs = spark.createDataFrame([(i, f"Mail me at a{i}@b.cd. You hateful fool {i}.", 7, 8, 9) for i in range(30)], "doc_id long, text string, __score int, __spans int, __id int")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    out = toxicity.toxicity(docs, toxicity.train(docs, labels), docs.columns)
+    out = quality.quality(out, quality.train(out)[0], out.columns)
+    out = pii.pii(out, out.columns)
+    rows = out.collect()
+    assert len(rows) == 30 and all(r["__id"] == 9 and 0 <= r["__score"] <= 1 and r["__spans"][0].kind == "email" for r in rows)
+    assert sorted(out.columns) == ["__id", "__score", "__spans", "doc_id", "text"]

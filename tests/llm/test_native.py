@@ -19,7 +19,7 @@ from tidemark.llm._spark import LOWER, UPPER, durable
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = llm.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -29,7 +29,7 @@ def test_oracles(spark, name):
 
 
 def test_url_rules(spark):
-    urls = ["http://A.Example.org/es/x", "http://example.org/en/1?q", "https://x.org/", "https://x.org", "http://b.com/fr/a", "http://com/de/", "http://notexample.org/es/", None, "no scheme", "", "ftp://h?x#y", "http://casino-win.example.net/en/5"]
+    urls = ["http://A.Example.org/es/x", "http://example.org/en/1?q", "https://x.org/", "https://x.org", "http://b.com/fr/a", "http://com/de/", "http://notexample.org/es/", None, "no scheme", "", "ftp://h?x#y", "http://pokervip.top/promo/bonus"]
     df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, extra int")
     rows = url_filter.url_filter(stored(df), url_filter.train(url_filter.labelled_urls(spark))).orderBy("page_id").collect()
     assert [r.host for r in rows[:2]] == ["a.example.org", "example.org"]
@@ -54,29 +54,44 @@ def plain_verdict(url, rules):
 
 
 def test_url_filter_on_whole_pages(spark):
-    """Every column of the contract for every page; where no rule fits, the regression on hosts that no label names."""
-    con, bad = duckdb.connect(), re.compile(r"(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.")
-    pages = con.sql("SELECT page_id, url FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()
-    words = {w for _, w, _ in url_filter.labelled_hosts()}
-    assert not [u for _, u in pages if words & set(plain_verdict(u, [])[0].split("."))]
+    """Every column of the contract for every page, by the contract's rules in plain Python; hosts and words of the pages are in no label."""
+    pages = duckdb.sql("SELECT page_id, url FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()
+    words = {w for ws, _, _ in url_filter.labelled_hosts() for w in ws} | set(url_filter.TAILS)
+    planted = {w for bad in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for w in bad.split("-")}
+    assert not words & planted and not any("example." in h for _, h, _ in url_filter.labelled_hosts())
     got = {r.page_id: r for r in llm.QUERIES["op1_url_filter"](spark, "/root/testdata/sf0.1").collect()}
     assert len(got) == len(pages)
-    free = []
     for i, u in pages:
         host, path, rule, action = plain_verdict(u, url_filter.RULES)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict == (action or ("block" if got[i].score >= 0.5 else "allow"))
-        free.append((bool(bad.search(host)), got[i].score >= 0.5))
-    assert np.mean([s for b, s in free if b]) >= 0.9 and np.mean([s for b, s in free if not b]) <= 0.01
 
 
-def test_url_hosts_left_out_of_training(spark):
-    """A split by host: a fifth of the hosts of the labelled table is held out."""
-    held = {w: y for _, w, y in url_filter.labelled_hosts()[2::5]}
+ORDINARY = """https://github.com/apache/spark https://www.bbc.co.uk/news https://en.wikipedia.org/wiki/Tree https://www.harvard.edu/ https://arxiv.org/abs/1706.03762
+https://stackoverflow.com/questions/1 https://www.nytimes.com/2020/01/01/us/a.html https://docs.python.org/3/ https://www.lemonde.fr/ https://www.spiegel.de/politik/
+https://www.nasa.gov/missions https://www.who.int/ https://medium.com/@a/b https://www.amazon.com/dp/B000 https://news.ycombinator.com/item?id=1 https://www.ikea.com/se/
+https://elpais.com/ https://www.reuters.com/world/ https://kernel.org/ https://www.mozilla.org/en-US/ http://A.COM?x http://essex.ac.uk/""".split()
+
+
+def scores(spark, urls, model):
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, url string").transform(stored)
+    return [r.score for r in url_filter.url_filter(df, model, rules=[]).orderBy("i").collect()]
+
+
+def test_ordinary_and_unknown_urls_are_allowed(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    assert sum(s >= 0.5 for s in scores(spark, ORDINARY, model)) <= 1
+    assert all(s < 0.5 for s in scores(spark, [None, "", "no scheme", "http://", "http://q.zz/"], model))
+
+
+def test_url_words_left_out_of_training(spark):
+    """A split by word: every host with a held-out word is out of training. The n-grams of other words find a third of them."""
+    unwanted = [w for words in url_filter.UNWANTED.values() for w in words.split()]
+    held = {*unwanted[2::5], *url_filter.WANTED[2::5]}
     model = url_filter.train(url_filter.labelled_urls(spark, tuple(held)))
-    rows = [(f"http://www.{w}.example.org/en/1", y) for w, y in held.items()]
-    out = url_filter.url_filter(spark.createDataFrame(rows, "url string, y int").transform(stored), model, rules=[])
-    share = {r.y: r.s for r in out.groupBy("y").agg(F.avg((F.col("verdict") == "block").cast("int")).alias("s")).collect()}
-    assert share[1] >= 0.9 and share[0] <= 0.1
+    rows = [(h, y) for ws, h, y in url_filter.labelled_hosts() if held & set(ws)]
+    found = np.array(scores(spark, [f"http://{h}.com/" for h, _ in rows], model)) >= 0.5
+    y = np.array([y for _, y in rows])
+    assert found[y > 0].mean() >= 0.3 and found[y == 0].mean() <= 0.05
 
 
 def test_url_filter_edges(spark):
@@ -197,11 +212,24 @@ def test_texts_of_one_id_are_compared_apart(spark):
 
 
 def test_planted_items_are_found(spark):
+    """Every copy of an item, as it is, in capitals and in title case; the digits of a fourth copy are others."""
     items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
-    docs = spark.createDataFrame([(i, f"Some words here.\n{t}\nmore words follow") for i, t in items], "doc_id long, text string")
+    change = {0: str, 1: str.upper, 2: str.title, 3: lambda t: re.sub(r"[0-9]+", lambda m: str(int(m[0]) + 1000), t)}
+    docs = spark.createDataFrame([(4 * i + k, f"Some words here.\n{f(t)}\nmore words follow") for i, t in items for k, f in change.items()], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()}
-    assert {(i, i) for i, _ in items} <= found
+    assert {(4 * i + k, i) for i, _ in items for k in change} <= found
+
+
+def test_verbatim_copies_in_documents_are_found(spark):
+    """Brute force: every document of sf0.1 that holds a whole item, in whatever case, is reported."""
+    words = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
+    sf = "/root/testdata/sf0.1"
+    items = [(i, f" {words(t)} ") for i, t in duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()]
+    docs = [(d, f" {words(t)} ") for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()]
+    held = {(d, i) for d, t in docs for i, w in items if w in t}
+    got = {(r.doc_id, r.item_id) for r in llm.QUERIES["op4_benchmark_decontamination"](spark, sf).collect()}
+    assert len(held) > 200 and held <= got and len(got) <= 1.2 * len(held)
 
 
 def test_escape(spark):
@@ -223,5 +251,9 @@ def test_clashing_columns_and_null_ids(spark):
     leaking = wide.limit(40).unionByName(wide.limit(1).withColumn("text", F.lit(QUESTION)).withColumn("doc_id", F.lit(1000).cast("long")))
     clean = decontam.decontaminate(leaking.drop("__bad"), bench)
     assert clean.columns == leaking.drop("__bad").columns and clean.filter("doc_id = 1000").count() == 0 and clean.count() == 40
-    lines = line_dedup.line_dedup(docs.withColumn("key", F.lit(1)).withColumn("n", F.lit(2)))
+    named = docs
+    for j, c in enumerate(["key", "n", "__id", "__drop", "__d", "__text", "__own", "__h", "__kept", "__n_lines", "a.b"]):
+        named = named.withColumn(c, F.lit(j))
+    lines = line_dedup.line_dedup(named)
+    assert set(lines.columns) == {*named.columns, "__n_dropped"} and lines.filter("__id = 2 AND __drop = 3 AND `a.b` = 10 AND __own = 6").count() == 350
     assert lines.count() == 350 and lines.filter("doc_id IS NULL AND text IS NULL").count() == 0

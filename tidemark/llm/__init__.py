@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op3_chat_formatting
 from .decontam import op4_benchmark_decontamination
+from .license_scan import op12_license_scan
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import OP2_SQL, op2_source_mixing
 from .ngram_join import op6_ngram_jaccard_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_structure_repair": op11_structure_repair,
+    "op12_license_scan": op12_license_scan,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {

@@ -123,7 +123,9 @@ def chunks(column: pa.Array | pa.ChunkedArray, ends: np.ndarray, most: int = CHU
 
 
 def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], keep: list[str]) -> DataFrame:
-    """df's `keep` columns and the new `fields`, computed by Arrow batches in one pass."""
+    """df's `keep` columns and the new `fields`, computed by Arrow batches in one pass. A kept column of a new field's name (in any case) is replaced."""
+    new_names = {f.name.lower() for f in fields}
+    keep = [c for c in keep if c.lower() not in new_names]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

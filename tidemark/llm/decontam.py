@@ -4,7 +4,8 @@ Words become a template: numbers, quantities with units, and names turn into typ
 rest is stripped of marks and lower-cased (A-Z). Windows of `width` template words of every document are
 hash-joined with those of the benchmark, and a window counts only if the values under its placeholders
 are the item's own or follow the map from item to document that most of its run follows, so a question with
-other numbers and names is found, and chance matches of placeholders are not. Everything runs as
+other numbers and names is found, and chance matches of placeholders are not. A text with SHOUTED or Title Cased stretches is
+windowed a second time with its names as plain words, as every item is, so copies in capitals are found. Everything runs as
 DataFrame functions.
 
 Defined cases: null or empty texts match nothing; an item with fewer words than `width` is one window of
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import LOWER, UPPER, durable, read
+from ._spark import LOWER, UPPER, durable, read, settled
 
 #: Units after numbers.
 UNITS = "km m cm mm kg g mg lb oz l ml mi ft in h hr hrs hours min minutes s sec seconds days weeks months years mph kmh usd eur gbp dollars euros percent degrees c f k".split()
@@ -31,8 +32,8 @@ MOST_BROADCAST = 400_000
 MERGES = 1
 
 
-def template(text: Column) -> Column:
-    """Template words. A placeholder is one of NUM, QTY, UNIT and NAME, with its value behind it.
+def marked(text: Column) -> Column:
+    """The text with NUM, QTY, UNIT and NAME before what they are to replace.
 
     Passes over the whole text, each led by a character that is rare, are many times cheaper than a lambda
     over words. A name is a capitalised word that does not start a sentence or a line.
@@ -42,17 +43,31 @@ def template(text: Column) -> Column:
     s = F.regexp_replace(s, r"[0-9](?<![\p{L}\p{N}.,][0-9])[0-9.,]*+[a-zA-Z]{1,3}(?![\p{L}\p{N}])", f"{QTY}$0")
     s = F.regexp_replace(s, rf"[0-9](?<![\p{{L}}\p{{N}}.,{QTY}][0-9])[0-9.,]*+(?![\p{{L}}\p{{N}}])", f"{NUM}$0")
     s = F.regexp_replace(s, rf"({NUM}\S+\s+)((?i)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
-    s = F.translate(s, UPPER + MARKS, LOWER)
+    return s
+
+
+def words_of(s: Column, names: bool = True) -> Column:
+    """Template words of a marked text; a placeholder is a mark with its value behind it. Without names, names are plain words and all alphabets are lower-cased."""
+    s = F.translate(s if names else F.lower(s), UPPER + MARKS + ("" if names else NAME), LOWER)
     return F.filter(F.split(s, r"[\s\x0B]+"), lambda t: t != "")
 
 
+def template(text: Column) -> Column:
+    return words_of(marked(text))
+
+
+def shouted(s: Column) -> Column:
+    """Whether a marked text holds SHOUTED, Title Cased or similar stretches: five names with at most a word between each two."""
+    return F.rlike(s, F.lit(rf"{NAME}\S+(?:\s+\S+)??(?:\s+{NAME}\S+(?:\s+[^{NAME}\s]\S*)?){{4}}"))
+
+
 def _placed(t: Column) -> Column:
     return (t >= NUM) & (t < "\ue005")
 
 
 def _value(t: Column) -> Column:
     """What a placeholder stands for; null for a plain word."""
-    return F.when(_placed(t), F.substr(t, F.lit(2)))
+    return F.when(_placed(t), F.lower(F.substr(t, F.lit(2))))
 
 
 def _hashes(words: Column) -> Column:
@@ -70,15 +85,16 @@ def _sized(h: Column, width: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(item, size, p, w, usable): the windows of every item; size is its window's length."""
-    items = benchmark.select(F.col(id_col).alias("item"), template(F.col(text_col)).alias("pairs")).filter(F.size("pairs") > 0)
-    items = items.withColumn("size", F.least(F.lit(width), F.size("pairs"))).withColumn("h", _hashes(F.col("pairs")))
-    rows = items.select("item", "pairs", "size", F.explode(_windows(F.col("h"), F.col("size"))).alias("x"))
-    plain = F.size(F.filter(F.slice("pairs", F.col("x.p") + 1, F.col("size")), lambda y: ~_placed(y)))
-    rows = rows.select("item", "size", F.col("x.p").alias("p"), F.col("x.w").alias("w"), (plain * 2 >= F.col("size")).alias("usable"))
+    """(item, size, p, w, of): the windows of every item, with names as placeholders and as plain words; size is a window's length."""
+    items = benchmark.select(F.col(id_col).alias("item"), marked(F.col(text_col)).alias("s")).select("item", words_of(F.col("s")).alias("pairs"), words_of(F.col("s"), False).alias("bare")).filter(F.size("pairs") > 0)
+    items = items.withColumn("size", F.least(F.lit(width), F.size("pairs")))
+    both = F.arrays_zip(_windows(_hashes(F.col("pairs")), F.col("size")).alias("x"), _windows(_hashes(F.col("bare")), F.col("size")).alias("y"))
+    rows = items.select("item", "pairs", "size", F.explode(both).alias("z"))
+    plain = F.size(F.filter(F.slice("pairs", F.col("z.x.p") + 1, F.col("size")), lambda y: ~_placed(y)))
+    rows = rows.select("item", "size", F.col("z.x.p").alias("p"), F.array_distinct(F.array("z.x.w", "z.y.w")).alias("ws"), (plain * 2 >= F.col("size")).alias("usable"))
     best = rows.groupBy(F.col("item").alias("__i"), F.col("size").alias("__s")).agg(F.max("usable").alias("any"), F.count_if("usable").alias("good"), F.count("*").alias("all"))
     kept = rows.join(best, F.col("item").eqNullSafe(F.col("__i")) & (F.col("size") == F.col("__s"))).filter(F.col("usable") | ~F.col("any"))
-    return kept.select("item", "size", "p", "w", F.when(F.col("any"), F.col("good")).otherwise(F.col("all")).alias("of"))
+    return kept.select("item", "size", "p", F.explode("ws").alias("w"), F.when(F.col("any"), F.col("good")).otherwise(F.col("all")).alias("of"))
 
 
 def fitting_windows(seen: DataFrame) -> DataFrame:
@@ -119,8 +135,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_cover:
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most `width` numbers
     small = n <= MOST_BROADCAST
     digest = F.xxhash64(F.col(text_col)).alias("t")
-    hashed = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("d"), digest, _hashes(template(F.col(text_col))).alias("h"))
-    every = F.flatten(F.array(*[_sized(F.col("h"), z) for z in sizes or [width]]))
+    hashed = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("d"), digest, marked(F.col(text_col)).alias("s"))
+    hashed = hashed.select("d", "t", _hashes(words_of(F.col("s"))).alias("h"), F.when(shouted(F.col("s")), _hashes(words_of(F.col("s"), False))).alias("bare"))
+    every = F.flatten(F.array(*[_sized(F.col(h), z) for z in sizes or [width] for h in ("h", "bare")]))
     each = hashed.select("d", "t", F.explode(every).alias("x")).select("d", "t", F.col("x.z").alias("z"), F.col("x.p").alias("at"), F.col("x.w").alias("w"))
     b = bench.select("item", F.col("size"), "p", F.col("w").alias("__w"), "of")
     hits = each.join(F.broadcast(b) if small else b, (F.col("w") == F.col("__w")) & (F.col("z") == F.col("size"))).select("d", "t", "item", "of", "size", "p", (F.col("at") - F.col("p")).alias("shift"))
@@ -144,5 +161,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return docs.join(F.broadcast(bad) if few else bad, docs[id_col] == bad["__bad"], "left_anti")
 
 
+@settled
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))

@@ -5,7 +5,8 @@ everywhere but in the largest document id that holds them, and what stays is put
 order. Defined cases: null or empty text is one empty line; a key shorter than `min_chars` code points
 never counts; a repeated line in one document counts once but loses every occurrence; documents that
 lose all lines keep an empty text; rows that repeat a doc_id are one document for counts and are each
-rewritten; a null doc_id counts as no document and keeps its lines; other columns pass through.
+rewritten; a null doc_id counts as no document and keeps its lines; other columns pass through, but
+for __n_lines and __n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import LOWER, UPPER, durable, join_by_weight, read
+from ._spark import LOWER, UPPER, durable, join_by_weight, read, settled
 
 
 def _keys(lines: Column, min_chars: int) -> Column:
@@ -34,25 +35,30 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     once by id, for putting lines back. Digests held by a large share of documents are matched by a
     broadcast of at most 5000 rows, so no task gets all documents of one line.
     """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    held = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__d"), F.explode(F.array_distinct(F.filter(_keys(lines, min_chars), lambda k: k.isNotNull()))).alias("__h"))
+    names = [c for c in docs.columns if c.lower() not in ("__n_lines", "__n_dropped")]
+    own = [c for c in names if c not in (id_col, text_col)]
+    # all other columns travel as one value, so that no name can clash with those made here
+    docs = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__text"), *([F.struct(*[F.col(f"`{c}`") for c in own]).alias("__own")] if own else []))
+    lines = F.split(F.coalesce(F.col("__text"), F.lit("")), "\n", -1)
+    held = docs.filter("__d IS NOT NULL").select("__d", F.explode(F.array_distinct(F.filter(_keys(lines, min_chars), lambda k: k.isNotNull()))).alias("__h"))
     held = durable(held, "lines")
-    repeated = docs.groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
+    repeated = docs.groupBy("__d").count().filter("count > 1").limit(1).count() > 0
     pairs = held.distinct() if repeated else held
     counts = pairs.groupBy("__h").agg(F.count("*").alias("n"), F.max("__d").alias("keeper")).filter(F.col("n") >= min_docs)
     counts = durable(counts, "line-counts")
     going = join_by_weight(held, counts, "__h", "n", "inner").filter(F.col("__d") != F.col("keeper"))
     per_doc = going.groupBy(F.col("__d").alias("__id")).agg(F.collect_set("__h").alias("__drop"))
     # a null id has nothing to join, so it stays out of the shuffle by id
-    found = docs.filter(F.col(id_col).isNotNull()).join(per_doc, F.col(id_col) == F.col("__id"), "left")
-    found = found.unionByName(docs.filter(F.col(id_col).isNull()), allowMissingColumns=True)
+    found = docs.filter("__d IS NOT NULL").join(per_doc, F.col("__d") == F.col("__id"), "left")
+    found = found.unionByName(docs.filter("__d IS NULL"), allowMissingColumns=True)
     tagged = F.arrays_zip(lines.alias("line"), _keys(lines, min_chars).alias("key"))
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.transform(F.filter(tagged, lambda x: x["key"].isNull() | ~F.array_contains(F.col("__drop"), x["key"])), lambda x: x["line"]))
     out = found.withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__kept", kept)
-    out = out.withColumn("__n_dropped", F.col("__n_lines") - F.size("__kept")).withColumn(text_col, F.array_join("__kept", "\n"))
-    return out.select(*docs.columns, "__n_lines", "__n_dropped")
+    made = {id_col: F.col("__d"), text_col: F.array_join("__kept", "\n")}
+    return out.select(*[made.get(c, F.col(f"__own.`{c}`")).alias(c) for c in names], "__n_lines", (F.col("__n_lines") - F.size("__kept")).alias("__n_dropped"))
 
 
+@settled
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

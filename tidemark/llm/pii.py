@@ -6,7 +6,7 @@ are email, ip, card and phone, each the leftmost non-overlapping matches of its
 url (only those that carry user information), iban, ssn and account (each within REACH of a cue of any case,
 or of the one before; ibans and ssns validated).
 Defined cases: null or empty text has no spans; positions are code points, end exclusive; repeated rows
-are judged alike; other columns pass through. Every parser is linear in the text.
+are judged alike; other columns pass through, but for __spans, which is replaced. Every parser is linear in the text.
 """
 
 from __future__ import annotations

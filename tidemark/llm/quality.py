@@ -6,7 +6,7 @@ often each labeller is right, without any label. The posterior of each pattern l
 (at most `sample` documents, those of the smallest hashes of doc_id and text), on which a linear scorer over hashed token features is trained;
 it scores every document. Defined cases: null or empty text gets no vote but those that an empty text
 earns and scores by the intercept; an empty table gives an empty table; repeated rows count and score
-alike; other columns pass through.
+alike; a null doc_id is sampled by its text; other columns pass through, but for __score, which is replaced.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ many, chosen by a hash of doc_id; the weights of the loss restore the share of t
 labels, times `miss_cost` for what a missed one costs against a clean one. Scoring covers every row. Defined cases: null or empty text, or one without words, scores as a
 bag of one empty sentence; a document labelled twice is toxic if any label says so; labels of no document are
 ignored; without labels every text gets the prior of an untrained model; repeated rows score alike; other
-columns pass through; a null doc_id teaches nothing and counts as not held out.
+columns pass through, but for __score and __spans, which are replaced; a null doc_id teaches nothing and counts as not held out.
 """
 
 from __future__ import annotations
@@ -105,7 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, miss_cost: flo
     all_of = {r["y"]: r["n"] for r in one.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     halves = [one.filter((F.col("y") > 0) == side).orderBy(F.xxhash64(F.lit(3), F.col(id_col)), id_col).limit(sample // 2) for side in (True, False)]
     picked = halves[0].unionByName(halves[1]).select(F.col(id_col).alias("__id"), "y")
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).groupBy("__id").agg(F.max("y").alias("y"), F.min_by(text_col, F.col(text_col)).alias("t")).toArrow().sort_by("__id")
+    texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("t"))
+    rows = texts.join(F.broadcast(picked), F.col("__d") == F.col("__id")).groupBy("__id").agg(F.max("y").alias("y"), F.min_by("t", "t").alias("t")).toArrow().sort_by("__id")
     y = (rows.column("y").to_numpy() > 0).astype(float)
     toxic = max(y.sum(), 1)
     weight = np.where(y > 0, miss_cost * all_of.get(True, 0) / toxic, all_of.get(False, 0) / max(len(y) - toxic, 1))

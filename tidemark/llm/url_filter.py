@@ -2,7 +2,7 @@
 
 Rules, features and scores are DataFrame functions, one pass without a shuffle. The regression is fitted on a small labelled URL table by
 full-batch gradient steps. Defined cases: a null url, or one without "://", has empty host and path, matches no rule
-and is judged by the model's intercept; of rules with the same host and path the first one listed holds;
+and is judged by the model's intercept, which allows it; of rules with the same host and path the first one listed holds;
 repeated pages are judged alike; very long urls are read whole; an empty table gives an empty table; columns of
 pages that bear the name of a new column are replaced, all others pass through.
 """
@@ -30,33 +30,49 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 
-#: The small labelled table: words that hosts of unwanted kinds are made of, and common words of other hosts.
+#: The small labelled table: words that unwanted hosts are made of, by kind, and words of ordinary hosts.
 UNWANTED = {
-    "gambling": "casino poker slots bets betting roulette jackpot lottery bingo blackjack",
-    "drugs": "pills pharmacy meds viagra cialis tablets",
-    "adult": "adult porn xxx sex cams escorts nude",
-    "spam": "spam linkfarm backlinks seofarm clickfarm doorway",
-    "ads": "ads adserver banner popup popunder tracker track tracking clicks",
-    "fraud": "payday loans replica warez crack keygen torrent phishing hacked",
+    "gambling": "betting gambling poker roulette jackpot slots lotto bingo blackjack wager bookmaker baccarat craps sportsbook",
+    "drugs": "viagra cialis levitra tramadol xanax pharmacy steroids meds kamagra phentermine oxycodone",
+    "sex": "porn xxx sex escorts camgirls nude milf hentai erotic hookup fetish strip",
+    "junk": "backlinks doorway autoblog clickbait bulkmail popunder banners affiliates pixel doubleclick sponsored impressions adverts",
+    "fraud": "payday loans replica warez crack keygen torrents phishing giveaway forex doubler hacked",
 }
-TAILS = "online club shop zone world live best top cheap free win royal easy bonus deals hub max pro".split()
+TAILS = "online club shop zone world live best top royal easy bonus deals hub max pro vip".split()
 WANTED = """
-library garden news university museum wiki weather kitchen travel journal bikes townhall school theater hospital archive station
-music photo law stories birds maps hiking chess poems thread nation mother another weather street station letter science history
-health nature forest river mountain bridge village market farmers baker reading writing teacher student physics chemistry biology
-geology mathematics statistics language grammar dictionary translation culture heritage tradition painting sculpture cinema film
-orchestra choir dance sports football tennis running swimming sailing rowing cycling cooking recipes bread cheese vegetables fruit
-house home family children parents friends community council government parliament ministry court police rescue railway airport
-harbour shipping transport engineering software compiler database network protocol security research institute academy college
+garden news museum wiki weather kitchen travel journal bikes school theater hospital archive station music photo law stories birds
+maps hiking chess poems street letter science history health nature forest river mountain bridge village market baker reading
+writing teacher student physics chemistry biology geology mathematics statistics language grammar dictionary translation culture
+heritage painting sculpture cinema film orchestra choir dance sports football tennis running swimming sailing rowing cycling cooking
+recipes bread cheese vegetables fruit house home family children parents friends community council parliament ministry court police
+rescue railway airport harbour shipping transport engineering software compiler database network protocol security research
+institute academy college bank insurance furniture clothing shoes jewelry hardware electronics camera laptop phone garage motors
+energy solar water paper print publisher magazine radio television podcast gallery design studio architect builder carpenter
+electric dental clinic nursing pets horses dogs cats fishing camping climbing skiing hotel cafe restaurant brewery winery coffee
+tea chocolate pizza noodle festival wedding toys games puzzles crafts knitting quilt woodwork pottery astronomy planet ocean island
+coast valley county city town metro union society alliance foundation charity church temple daily weekly times post herald tribune
+press review forum blog notes docs guide handbook manual tutorial course lecture library code git cloud server mail search map
+corner center modern person perfect portal report orange north western southern eastern winter summer spring autumn concert element
+open source project data science build release version driver memory process thread window linux unix parser editor terminal
+country region district province capital embassy consulate passport visa customs border harbor pilot captain sailor soldier veteran
+lawyer notary accountant auditor broker trader farmer fisher miner painter plumber tailor butcher florist gardener optician dentist
 """.split()
-AROUND = [("http://www.", ".example.com", "/en/{}"), ("https://blog.", ".example.net", "/de/{}/"), ("http://m.", ".example.org", "/fr/{}.html"), ("https://", ".example.com", "/es/{}?page=2"), ("http://", ".example.net", "/en/{}#top")]
+WANTED_ENDS = [".com/", ".org/about", ".edu/courses/intro-101", ".net/articles/2019/07/a-long-walk", ".co.uk/news/story?id=4", ".de/", ".fr/contact.html", ".io/docs/start#install", ".gov/reports/2020.pdf", ".info/wiki/Main_Page", ".top/blog", ".xyz/", ".shop/", ".org/", ".net/", ".info/", ".biz/", ".ru/2/", ".org/en-GB/", ".co.uk/"]
+UNWANTED_ENDS = [".com/", ".net/join?aff=7", ".top/", ".xyz/promo/bonus", ".biz/signup?ref=12", ".info/", ".org/", ".ru/go/offer", ".de/", ".co.uk/", ".shop/deal"]
 
 
-def labelled_hosts() -> list[tuple[str, str, int]]:
-    """(kind, host word, label): each unwanted word with TAILS on either side, each common word alone and with another."""
-    bad = [(kind, pair, 1) for kind, words in UNWANTED.items() for i, w in enumerate(words.split()) for k in (0, 3, 7, 13) for t in [TAILS[(5 * i + k) % len(TAILS)]] for pair in (f"{w}-{t}", f"{t}-{w}")]
-    good = [("other", w, 0) for w in WANTED] + [("other", f"{w}-{v}", 0) for w, v in zip(WANTED, WANTED[40:] + WANTED[:40], strict=True)]
-    return bad + good + [("other", f"{t}-{WANTED[6 * i]}", 0) for i, t in enumerate(TAILS)] + [("other", f"{WANTED[6 * i + 3]}-{t}", 0) for i, t in enumerate(TAILS)]
+def labelled_hosts() -> list[tuple[tuple[str, ...], str, int]]:
+    """(the words it is made of, host without its end, label), in varied patterns; ordinary hosts hold the same tails."""
+    rows: list[tuple[tuple[str, ...], str, int]] = []
+    for words in UNWANTED.values():
+        for i, w in enumerate(words.split()):
+            t, u = TAILS[(3 * i + 1) % len(TAILS)], TAILS[(5 * i + 4) % len(TAILS)]
+            rows += [((w,), h, 1) for h in (f"www.{w}{t}", f"{u}-{w}", f"{w}{24 * (i + 1)}", f"my{w}.{t}site")]
+    for i, w in enumerate(WANTED):
+        v, t = WANTED[(7 * i + 11) % len(WANTED)], TAILS[i % len(TAILS)]
+        rows += [((w,), h, 0) for h in ((f"www.{w}", f"{w}{i}") if i % 2 else (f"the{w}", f"en.{w}.{w[:2]}{w[-3:]}"))]
+        rows += [((w, v), h, 0) for h in (f"{w}-{v}", f"www.{v}{w}")] + [((w,), f"{w}-{t}" if i % 3 else f"{t}{w}", 0)]
+    return rows
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -89,8 +105,9 @@ def _margin(feats: tuple[Column, Column], weights: list[float], bias: float) ->
     return parts[0] + parts[1] + F.lit(bias)
 
 
-def train(labelled: DataFrame, steps: int = 600, rate: float = 3.0, decay: float = 1e-5) -> tuple[list[float], float]:
-    """Fit weights and intercept on (url, label 0 or 1), a table of at most MOST_LABELLED rows by contract.
+def train(labelled: DataFrame, steps: int = 600, rate: float = 3.0, decay: float = 1e-4, prior: float = 0.2) -> tuple[list[float], float]:
+    """Fit weights and intercept on (url, label 0 or 1), a table of at most MOST_LABELLED rows by contract. prior: how much unwanted urls
+    weigh in all; below a half, a url that says nothing is allowed.
 
     Its buckets come from the same DataFrame functions as in scoring; the gradient steps over them are
     plain matrix products on the driver, as every step as a job would compile its own plan.
@@ -104,7 +121,7 @@ def train(labelled: DataFrame, steps: int = 600, rate: float = 3.0, decay: float
     size = np.array([len(r[c]) for r in rows for c in "hp"])
     x, y = np.zeros((len(rows), len(used))), np.array([float(r["label"]) for r in rows])
     np.add.at(x, (np.repeat(np.repeat(np.arange(len(rows)), 2), size), at), np.repeat(1 / np.sqrt(np.maximum(size, 1)), size))
-    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    share = np.where(y > 0, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1))
     w, bias = np.zeros(len(used)), 0.0
     last, last_bias = w, bias
     for t in range(steps):  # Nesterov's steps; rate is below 2 over the curvature, which is at most 1/2
@@ -118,10 +135,10 @@ def train(labelled: DataFrame, steps: int = 600, rate: float = 3.0, decay: float
 
 
 def labelled_urls(spark: SparkSession, without: tuple[str, ...] = ()) -> DataFrame:
-    """(url, label). without: hosts to leave out, for tests on hosts that training has not seen."""
-    hosts = [(w, y) for _, w, y in labelled_hosts() if w not in without]
-    each = [(w, y, AROUND[(j + k) % 5]) for label in (0, 1) for j, (w, y) in enumerate(h for h in hosts if h[1] == label) for k in (0, 2)]
-    rows = ", ".join(f"('{a}{w}{b}{p.format(100)}', {y})" for w, y, (a, b, p) in each)
+    """(url, label), with a url that says nothing among the ordinary ones. without: words whose hosts are left out, for tests on words that training has not seen."""
+    kept = [(h, y) for words, h, y in labelled_hosts() if not set(words) & set(without)]
+    each = [("http" + "s" * (i % 2) + "://" + h + (UNWANTED_ENDS[i % len(UNWANTED_ENDS)] if y else WANTED_ENDS[i % len(WANTED_ENDS)]), y) for i, (h, y) in enumerate(kept)]
+    rows = ", ".join(f"('{u}', {y})" for u, y in [*each, ("", 0)])
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(url, label)")
 
 
