@@ -3,7 +3,7 @@
 toxicity rejects documents, line dedup rewrites texts, the n-gram join keeps the smallest id of each
 group of near copies, decontamination drops documents that hold benchmark items, mixing repeats what is
 left to target weights. STAGES is the order; each stage takes (spark, docs, sf_dir) and returns the
-columns of docs (mixing adds `copy`). run() stores each stage's result in the shared folder.
+columns of docs (mixing adds `copy`). run() stores each stage's result in the shared folder and deletes what the stage stored on the way.
 
 Defined cases: null and empty texts pass every stage (they are scored by the prior of the toxicity
 model); the join and decontamination decide by row, so a null doc_id or one that is shared is judged by its
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, line_dedup, mixing, ngram_join, toxicity
-from tidemark.llm._spark import durable, read, release
+from tidemark.llm._spark import durable, read, release, settled
 
 REJECT_AT = 0.3
 MOST_BROADCAST = 400_000
@@ -26,7 +26,8 @@ MOST_BROADCAST = 400_000
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, model, docs.columns).filter(F.col("__score") < REJECT_AT).select(*docs.columns)
+    rows = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("__doc"))
+    return toxicity.toxicity(rows, model, ["__doc"]).filter(F.col("__score") < REJECT_AT).select("__doc.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,11 +80,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read(spark, sf_dir, "documents"), None
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = durable(docs, name)
-            if before is not None:
-                release(before)
-            before = docs
+    for i, (_, stage) in enumerate(STAGES):
+        last = i + 1 == len(STAGES)
+        docs = (stage if last else settled(stage))(spark, docs, sf_dir)
+        if before is not None and not last:
+            release(before)
+        before = docs
     return docs
