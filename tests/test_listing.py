@@ -68,3 +68,14 @@ def test_first_candidate_and_unlisted(spark):
     found = spark.createDataFrame([("y", "n", 2)], "code string, name string, n long")
     mapping = spark.createDataFrame([("y", "n"), ("q", "m")], "code string, name string")
     assert listing.add_unlisted(found, mapping, "code", "name").count() == 2 and listing.add_unlisted(found, mapping, "code", "name", "KOSPI").count() == 1
+
+
+def test_page_counts_of_repeated_rows(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 1, 5), ("a", 2, 5), ("b", 2, 5), ("b", 2, 6), (None, 2, 7)], "acpt_no string, page int, id int")
+    assert sorted(map(tuple, listing.page_counts(rows).collect())) == [(1, 2, 1, 1), (2, 4, 2, 2)]
+
+
+def test_change_matrix_of_many_versions(spark):
+    rows = spark.createDataFrame([(1, "x", v, v * 10) for v in (12, 3, 1, 7, 5)] + [(1, "x", 3, 99), (2, "y", 1, None)], "family int, field string, version int, value int")
+    got = {(r.family, r.field): [tuple(v) for v in r.versions] for r in listing.change_matrix(rows, "family", "field", "version", "value").collect()}
+    assert got == {(1, "x"): [(1, 10), (3, 99), (5, 50), (7, 70), (12, 120)], (2, "y"): [(1, None)]}

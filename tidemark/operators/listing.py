@@ -72,12 +72,15 @@ def add_unlisted(found: DataFrame, mapping: DataFrame, code: str, name: str, mar
     return found.unionByName(more, allowMissingColumns=True)
 
 
-def page_counts(rows: DataFrame, key: str = "acpt_no", page: str = "page", order: str = "id") -> DataFrame:
-    """(page, source, written, duplicates): rows of each page, and how many of them a page before had."""
-    first = rows.groupBy(key).agg(F.min(F.struct(page, order)).alias("f"))
-    hit = rows.join(first.select(F.col(key).alias("__k"), "f"), F.col(key) == F.col("__k"))
-    new = F.count_if((F.col(f"f.{page}") == F.col(page)) & (F.col(f"f.{order}") == F.col(order)))
-    return hit.groupBy(page).agg(F.count("*").alias("source"), new.alias("written"), (F.count("*") - new).alias("duplicates"))
+def page_counts(rows: DataFrame, key: str = "acpt_no", page: str = "page") -> DataFrame:
+    """(page, source, written, duplicates): rows of each page, how many keys it is the first to have, and the rows left over.
+
+    Rows that repeat a key on one page are written once. Rows are summed by key and page first, so a hot key is a row a page.
+    """
+    each = rows.groupBy(key, page).agg(F.count("*").alias("n"))
+    first = F.col(page) == F.min(page).over(Window.partitionBy(key))
+    counted = each.select(page, "n", first.cast("long").alias("new")).groupBy(page)
+    return counted.agg(F.sum("n").alias("source"), F.sum("new").alias("written"), (F.sum("n") - F.sum("new")).alias("duplicates"))
 
 
 def ordered_union(rows: DataFrame, key: str, items: str, order: str) -> DataFrame:
@@ -94,9 +97,10 @@ def page_of(rows: DataFrame, order: list[str], page: int, size: int) -> DataFram
     return seen.filter(F.col("__r").between((page - 1) * size + 1, page * size)).drop("__r")
 
 
-def change_matrix(long: DataFrame, family: str, field: str, version: str, value: str, versions: int) -> DataFrame:
-    """(family, field, v1 ... vN): a row a field, a column a version."""
-    return long.groupBy(family, field).agg(*[F.max(F.when(F.col(version) == i, F.col(value))).alias(f"v{i}") for i in range(1, versions + 1)])
+def change_matrix(long: DataFrame, family: str, field: str, version: str, value: str) -> DataFrame:
+    """(family, field, versions): for each field its (version, value) in order of versions, however many there are."""
+    cells = long.groupBy(family, field, version).agg(F.max(value).alias(value))
+    return cells.groupBy(family, field).agg(F.array_sort(F.collect_list(F.struct(F.col(version).alias("version"), F.col(value).alias("value")))).alias("versions"))
 
 
 def family_members(docs: DataFrame, records: DataFrame, family: str = "family", doc: str = "doc_no") -> DataFrame:

@@ -169,11 +169,12 @@ def timeline_page(spark, d):
     return listing.page_of(rows, ["at", "late"], 2, 20).select("id", "has_more")
 
 
-@query("""SELECT l_orderkey AS family, f AS field, max(CASE WHEN l_linenumber = 1 THEN v END) AS v1, max(CASE WHEN l_linenumber = 2 THEN v END) AS v2, max(CASE WHEN l_linenumber = 3 THEN v END) AS v3
-  FROM (SELECT l_orderkey, l_linenumber, 'quantity' AS f, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem) GROUP BY ALL""")
+@query("""WITH x AS (SELECT l_orderkey AS family, f AS field, l_linenumber AS n, max(v) AS v FROM (SELECT l_orderkey, l_linenumber, 'quantity' AS f, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem) GROUP BY ALL)
+  SELECT family, field, string_agg(n || '=' || v, '|' ORDER BY n) AS versions FROM x GROUP BY ALL""")
 def change_matrix(spark, d):
     l = S.table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_tax"]).withColumnsRenamed({"l_quantity": "quantity", "l_tax": "tax"})  # noqa: E741
-    return listing.change_matrix(l.unpivot(["l_orderkey", "l_linenumber"], ["quantity", "tax"], "field", "v").withColumnRenamed("l_orderkey", "family"), "family", "field", "l_linenumber", "v", 3)
+    found = listing.change_matrix(l.unpivot(["l_orderkey", "l_linenumber"], ["quantity", "tax"], "field", "v").withColumnRenamed("l_orderkey", "family"), "family", "field", "l_linenumber", "v")
+    return found.withColumn("versions", F.array_join(F.transform("versions", lambda x: F.concat(x["version"], F.lit("="), x["value"])), "|"))
 
 
 @query("SELECT code, date, (row_number() OVER (PARTITION BY code ORDER BY date) - 1)::INT AS day_index FROM (SELECT DISTINCT event_type AS code, ts::DATE AS date FROM events)")
