@@ -155,3 +155,32 @@ def relation_edges(relations: DataFrame, refs: DataFrame) -> DataFrame:
     )
     start = F.when(r.isin(*NO_START), None).when(r.isin(*FROM_MEETING), F.col("meeting_date")).otherwise(F.col("event_date"))
     return both.select("acpt_no", "source", "target", F.upper("relation").alias("relation"), start.alias("start_date"), F.when(r.isin(*ENDED), F.col("meeting_date")).alias("end_date"), active.alias("is_active"))
+
+
+def meeting_graph(meetings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of meetings that count, in the columns of issuance_graph: company HELD meeting."""
+    m = meeting_rows(meetings).withColumn("code", K.company_code(F.col("company_id")))
+    company, meeting = F.concat(F.lit("company_"), F.col("code")), F.concat(F.lit("shareholder_meeting_"), F.col("acpt_no"))
+    none = F.lit(None).cast("double")
+    firms = m.groupBy(company.alias("id")).agg(F.min_by("company_name", "acpt_no").alias("label")).select("id", "label", F.lit("Company").alias("type"), none.alias("amount"))
+    held = m.groupBy(meeting.alias("id")).agg(F.min("title").alias("label")).select("id", "label", F.lit("ShareholderMeeting").alias("type"), none.alias("amount"))
+    edges = m.select(F.concat_ws(":", "acpt_no", F.lit("HELD")).alias("id"), company.alias("source"), meeting.alias("target"), F.lit("HELD").alias("relation"), none.alias("weight"), F.col("meeting_date").alias("start_date"), F.lit("주주총회").alias("document_type"), "acpt_no")
+    return firms.unionByName(held), edges
+
+
+#: Types whose last reading holds where several families tell of one node; of all others the first holds.
+LAST_HOLDS = ("IssuanceEvent",)
+
+
+def one_graph(families: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """The graphs of several record families, in their order of reading, as one: nodes of one id become one, edges keep their family.
+
+    One partial aggregation by node id; an edge's id gets the number of its family in front, so that none can meet.
+    """
+    told = reduce(DataFrame.unionByName, [n.select("id", "label", "type", F.col("amount").cast("double").alias("amount"), F.lit(i).alias("family")) for i, (n, _) in enumerate(families)])
+    value = F.struct("label", "type", "amount")
+    last = F.col("type").isin(*LAST_HOLDS)
+    kept = told.groupBy("id").agg(F.min_by(F.when(~last, value), F.when(~last, F.col("family"))).alias("first"), F.max_by(F.when(last, value), F.when(last, F.col("family"))).alias("last"), F.count("*").alias("families"))
+    nodes = kept.select("id", F.coalesce("first", "last").alias("n"), "families").select("id", "n.*", "families")
+    edges = reduce(DataFrame.unionByName, [e.withColumn("id", F.concat(F.lit(f"{i}:"), F.col("id"))) for i, (_, e) in enumerate(families)])
+    return nodes, edges
