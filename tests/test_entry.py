@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tidemark import queries, queries_listing, queries_meetings, queries_records  # noqa: F401
+from tidemark import queries, queries_listing, queries_lookups, queries_meetings, queries_records  # noqa: F401
 from tests.conftest import SF
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -218,3 +219,88 @@ def visible(nodes: DataFrame, edges: DataFrame, node_where, edge_where, hide_iso
         used = kept.select(F.explode(F.array("source", "target")).alias("id")).distinct()
         shown = shown.join(used, "id", "left_semi")
     return shown, kept
+
+
+@dataclass(frozen=True)
+class Filters:
+    """What a viewer shows. Empty lists, zeros and "all" are no criteria."""
+
+    types: tuple[str, ...] = ()
+    groups: tuple[str, ...] = ()
+    tags: tuple[str, ...] = ()
+    min_degree: int = 0
+    relations: tuple[str, ...] = ()
+    categories: tuple[str, ...] = ()
+    min_weight: float = 0
+    direction: str = "all"  # or directed, undirected
+    any_of: bool = False  # one criterion is enough
+    hide_isolated: bool = False
+
+    def __post_init__(self) -> None:
+        if self.direction not in ("all", "directed", "undirected"):
+            raise ValueError(f"unknown direction {self.direction!r}")
+
+    def _joined(self, checks: list[Column]) -> Column:
+        return reduce((lambda a, b: a | b) if self.any_of else (lambda a, b: a & b), checks) if checks else F.lit(True)
+
+    def nodes(self) -> Column:
+        """Over (type, group, tags, degree)."""
+        checks = []
+        if self.types:
+            checks.append(F.col("type").isin(*self.types))
+        if self.groups:
+            checks.append(F.coalesce("group", F.lit("")).isin(*self.groups))
+        if self.tags:
+            checks.append(F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")), F.array(*[F.lit(t) for t in self.tags])))
+        if self.min_degree > 0:
+            checks.append(F.col("degree") >= self.min_degree)
+        return F.coalesce(self._joined([F.coalesce(c, F.lit(False)) for c in checks]), F.lit(False))
+
+    def edges(self) -> Column:
+        """Over (relation, category, weight, directed)."""
+        checks = []
+        if self.relations:
+            checks.append(F.col("relation").isin(*self.relations))
+        if self.categories:
+            checks.append(F.col("category").isin(*self.categories))
+        if self.min_weight > 0:
+            checks.append(F.col("weight") >= self.min_weight)
+        if self.direction != "all":
+            checks.append(F.col("directed") == F.lit(self.direction == "directed"))
+        return self._joined([F.coalesce(c, F.lit(False)) for c in checks])
+
+
+def _holds(words: str, *texts: Column, properties: Column) -> Column:
+    named = F.transform(F.map_entries(F.coalesce(properties, F.create_map().cast("map<string,string>"))), lambda p: F.concat_ws(":", p["key"], F.coalesce(p["value"], F.lit(""))))
+    inside = lambda c: F.contains(F.lower(c), F.lit(words))
+    return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(inside(t), F.lit(False)) for t in texts]) | F.exists(named, inside), F.lit(False))
+
+
+def visible_subgraph(nodes: DataFrame, edges: DataFrame, filters: Filters | None = None, search: str = "", hidden_nodes: DataFrame | None = None, hidden_edges: DataFrame | None = None, root: str | None = None, hops: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What a viewer shows of nodes(id, label, type, group, tags, properties) and edges(id, source, target, relation, category, weight, directed, properties).
+
+    Nodes must pass the criteria (degrees are those of the whole graph), hold the search words in any text or property, lie within `hops` of root if one
+    is given, and not be hidden. Edges need both ends, must pass their own criteria and not be hidden; the search asks nothing more of an edge whose ends
+    are shown. Then, with hide_isolated, nodes without a shown edge go. Node sets meet edges in semi-joins by id.
+    """
+    f = filters or Filters()
+    shown = nodes
+    if f.min_degree > 0:
+        shown = shown.join(degrees(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    shown = shown.filter(f.nodes())
+    words = search.strip().lower()
+    if words:
+        shown = shown.filter(_holds(words, F.col("id"), F.col("label"), F.col("type"), F.col("group"), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "\n"), properties=F.col("properties")))
+    if root is not None and hops > 0:
+        start = nodes.sparkSession.range(1).select(F.lit(root).alias("node"))
+        shown = shown.join(neighborhood(edges, start, hops).select(F.col("node").alias("id")), "id", "left_semi")
+    if hidden_nodes is not None:
+        shown = shown.join(hidden_nodes.select("id"), "id", "left_anti")
+    kept = edges.filter(f.edges())
+    if hidden_edges is not None:
+        kept = kept.join(hidden_edges.select("id"), "id", "left_anti")
+    for end in ("source", "target"):
+        kept = kept.join(shown.select(F.col("id").alias(end)), end, "left_semi")
+    if f.hide_isolated:
+        shown = shown.join(kept.select(F.explode(F.array("source", "target")).alias("id")).distinct(), "id", "left_semi")
+    return shown.select(*nodes.columns), kept.select(*edges.columns)

@@ -238,3 +238,25 @@ def document_paths(html: Column) -> Column:
 def fingerprint(html: Column) -> Column:
     """(sha256, size) of a page's bytes."""
     return F.struct(F.sha2(html.cast("binary"), 256).alias("sha256"), F.octet_length(html).alias("size"))
+
+
+def choose_sections(found: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
+    """(id, status, rule, chosen, content) of documents whose sections (id, index, title, html) a rule tells which to keep.
+
+    rules: (rule, signature, toc_ids). A signature is a whole one as of signatures(), or, with "*" behind it, the headings one begins with; of the rules
+    that fit a document the smallest holds. content joins the html of the kept sections in order by line breaks. Without a rule the status is
+    missing_selection. Every beginning of every distinct signature meets the rules by equality, so rules may be many.
+    """
+    part = F.concat(F.lit("toc_"), F.col("index"), F.lit(" "), F.col("title"))
+    kept = F.struct("index", part.alias("t"), F.coalesce("html", F.lit("")).alias("html"))
+    docs = found.filter("error IS NULL").groupBy(id_col).agg(F.array_sort(F.collect_list(kept)).alias("s")).withColumn("parts", F.transform("s", lambda x: x["t"]))
+    begun = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.concat_ws(" ", F.slice("parts", 1, n)))
+    kinds = docs.select("parts").distinct().select("parts", F.posexplode(begun).alias("n", "start"))
+    open_ = F.col("signature").endswith("*")
+    asked = rules.select("rule", "toc_ids", open_.alias("open"), F.when(open_, F.rtrim(F.expr("left(signature, length(signature) - 1)"))).otherwise(F.col("signature")).alias("start"))
+    fits = kinds.join(asked, "start").filter(F.col("open") | (F.col("n") == F.size("parts")))
+    best = fits.groupBy("parts").agg(F.min(F.struct("rule", "toc_ids")).alias("r")).select(F.col("parts").alias("__p"), "r.*")
+    out = docs.join(best, F.col("parts") == F.col("__p"), "left")
+    chosen = F.filter("s", lambda x: F.array_contains("toc_ids", F.concat(F.lit("toc_"), x["index"])))
+    known = F.col("rule").isNotNull()
+    return out.select(id_col, F.when(known, "ok").otherwise("missing_selection").alias("status"), "rule", F.when(known, F.size(chosen)).alias("chosen"), F.when(known, F.array_join(F.transform(chosen, lambda x: x["html"]), "\n")).alias("content"))
