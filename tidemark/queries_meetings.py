@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import build, meetings, rights
+from .operators import build, meeting_tables, meetings, rights
 from .queries import query
 from .queries_records import _orders, _text
 from .sources import html_tables
@@ -175,3 +175,65 @@ def families_graph(spark, d):
     held = o.select(F.col("id").alias("acpt_no"), F.col("cust").alias("company_id"), F.col("c_name").alias("company_name"), F.to_date("o_orderdate").alias("meeting_date"), F.col("o_orderpriority").alias("title"), F.lit(False).alias("has_later_correction"), F.lit(True).alias("parsed"))
     nodes, _ = build.one_graph([rights_graph, bond_graph, build.meeting_graph(held)])
     return nodes.groupBy("type").agg(F.count("*").alias("nodes"))
+
+
+# meetings out of tables ---------------------------------------------------------------------------------
+
+
+def _meeting_rows(spark, d):
+    """Orders as pages of meetings: corrections, agendas, an election, a change of purpose and the date."""
+    o, k = _orders(spark, d), F.col("o_orderkey")
+    html = _text(
+        """<table><tr><th>정정항목</th><th>정정전</th><th>정정후</th></tr><tr><td>3. 기타 투자판단에 참고할 사항</td><td>-</td><td>after {id}</td></tr><tr><td>일시</td><td>-</td><td>1999-01-01</td></tr></table>"""
+        """<table><tr><th>번호</th><th>결의구분</th><th>회의 목적사항</th><th>가결여부</th></tr><tr><td>1</td><td>보통</td><td>{name}</td><td>{said}</td></tr><tr><td>2</td><td>특별</td><td>{other}</td><td>{also}</td></tr></table>"""
+        """<span>{section}</span><table><tr><th>성명</th><th>임기</th></tr><tr><td>{name} (상근)</td><td>{term}</td></tr><tr><td>미정</td><td>1</td></tr></table>"""
+        """<span>사업목적 변경 세부내역</span><table><tr><th>구분</th><th colspan="2">내용</th><th>이유</th></tr><tr><td>{change}</td><td>{id}</td><td>b</td><td>{status}</td></tr></table><table><tr><td>1. 주주총회일자(시간)</td><td>{day} 09:00</td></tr></table>""",
+        id=F.col("id"), name=F.col("c_name"), said=F.when(k % 3 == 0, "원안대로 승인").otherwise("부결"), other=F.when(k % 5 == 0, "미정").otherwise(F.col("o_orderpriority")), also=F.when(k % 2 == 0, "안건 철회").otherwise("가결"), term=(k % 4).cast("string"),
+        section=F.element_at(F.array(*[F.lit(s) for s in meeting_tables.ELECTIONS]), (k % 4 + 1).cast("int")), change=F.when(k % 2 == 0, "사업목적 변경").otherwise("사업목적 추가"), status=F.col("o_orderstatus"), day=F.when(k % 7 == 0, "2024-02-31").otherwise(F.substring("stamp", 1, 10)),
+    )
+    return html_tables.explode_titled(o.select(F.col("o_orderkey").alias("id"), html.alias("html")), "id", "html", meeting_tables.SECTIONS)
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, '1' AS number, c_name AS title, CASE WHEN o_orderkey % 3 = 0 THEN '원안대로 승인' ELSE '부결' END AS said FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT o_orderkey, '2', o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN '안건 철회' ELSE '가결' END FROM orders WHERE o_orderkey % 5 > 0)
+  SELECT id, 'agenda:' || (row_number() OVER (PARTITION BY id ORDER BY number) - 1) AS agenda_ref, number, title, CASE said WHEN '원안대로 승인' THEN 'passed' WHEN '부결' THEN 'rejected' WHEN '가결' THEN 'passed' ELSE 'withdrawn' END AS status FROM a""")
+def structured_agendas(spark, d):
+    return meeting_tables.structured_agendas(_meeting_rows(spark, d), "id").select("id", "agenda_ref", "number", "title", "status")
+
+
+@query("""SELECT o_orderkey AS id, ['director', 'outside_director', 'auditor', 'audit_committee_member'][(o_orderkey % 4 + 1)::INT] AS office, c_name AS name, '상근' AS employment_mode, (o_orderkey % 4)::VARCHAR AS term FROM orders JOIN customer ON o_custkey = c_custkey""")
+def meeting_elections(spark, d):
+    return meeting_tables.elections(_meeting_rows(spark, d), "id").select("id", "office", "name", "employment_mode", "term")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || '>b' ELSE o_orderkey::VARCHAR END AS change, o_orderstatus AS reason, 'after ' || o_orderkey AS note FROM orders""")
+def meeting_facts(spark, d):
+    """The date, the change of purpose and the note of the correction of each meeting."""
+    rows = _meeting_rows(spark, d)
+    phases = S.table(spark, d, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("id"), F.lit("result").alias("phase"))
+    day = meeting_tables.meeting_date(rows, phases, "id").select("id", F.date_format("meeting_date", "yyyy-MM-dd").alias("day"))
+    change = meeting_tables.purpose_changes(rows, "id").select("id", F.coalesce("content", F.concat("before", F.lit(">"), "after")).alias("change"), "reason")
+    return day.join(change, "id").join(meeting_tables.correction_notes(rows, "id").select("id", F.col("text").alias("note")), "id")
+
+
+_SPAN_SQL = """t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, k, regexp_extract_all(t, p) AS m, string_split_regex(t, p) AS s FROM t, (VALUES ('word', '[a-z]+ing'), ('number', '[0-9]+'), ('stop', '[.!?]'), ('comma', ',')) v(k, p)),
+  e AS (SELECT doc_id, k, i, m[i] AS text, (length(array_to_string(s[1:i], '')) + length(array_to_string(m[1:i - 1], '')))::BIGINT AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)),
+  a AS (SELECT *, last_value(CASE WHEN k IN ('stop', 'comma') THEN start END IGNORE NULLS) OVER w AS before, last_value(CASE WHEN k IN ('stop', 'comma') THEN k END IGNORE NULLS) OVER w AS relation FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"""WITH {_SPAN_SQL} SELECT doc_id, k AS kind, CASE WHEN start - before <= 60 THEN relation END AS relation, count(*) AS n, sum(start)::BIGINT AS starts, sum(CASE WHEN start - before <= 60 THEN before END)::BIGINT AS anchors FROM a WHERE k IN ('word', 'number') GROUP BY ALL""")
+def anchored_spans(spark, d):
+    """Words and numbers of every document with the mark before them, summed by document, kind and mark."""
+    docs = S.table(spark, d, "documents", ["doc_id", "text"])
+    got = meeting_tables.anchored_spans(docs, "doc_id", "text", {"word": "[a-z]+ing", "number": "[0-9]+"}, {"stop": "[.!?]", "comma": ","}, 60)
+    return got.groupBy("doc_id", "kind", "relation").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("starts"), F.sum(F.col("anchor_start").cast("long")).alias("anchors"))
+
+
+@query("""WITH p AS (SELECT page_id AS id, regexp_extract_all(html, '<ul>.*?</ul>', 0, 's') AS lists FROM pages) SELECT id, len(lists)::INT AS tables, list_sum(list_transform(lists, lambda x: (length(x) - length(replace(x, '<li>', ''))) // 4))::BIGINT AS cells, 0 AS errors FROM p WHERE len(lists) > 0""")
+def page_lists(spark, d):
+    """The lists of every page, put as tables to the reader of HTML: how many, their cells, and how many pages it can't read."""
+    p = S.table(spark, d, "pages", ["page_id", "html"])
+    html = F.col("html")
+    for old, new in {"<ul>": "<table>", "</ul>": "</table>", "<li>": "<tr><td>", "</li>": "</td></tr>"}.items():
+        html = F.replace(html, F.lit(old), F.lit(new))
+    rows = html_tables.explode_titled(p.select(F.col("page_id").alias("id"), html.alias("html")), "id", "html", meeting_tables.SECTIONS)
+    return rows.groupBy("id").agg(F.count_distinct("table").cast("int").alias("tables"), F.sum(F.size("cells")).cast("long").alias("cells"), F.count("error").cast("int").alias("errors"))

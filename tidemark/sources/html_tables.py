@@ -129,3 +129,92 @@ def explode_tables(docs: DataFrame, id_col: str, html_col: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[id_col, "table", "row", "cells", "error"]).astype({"table": "Int32", "row": "Int32"})
 
     return docs.select(id_col, html_col).mapInPandas(run, f"{id_col} {kind}, table int, row int, cells array<string>, error string")
+
+
+SLICE_BYTES = 4 << 20
+
+#: Heads of a table of corrections.
+CORRECTION_HEADS = frozenset(("정정항목", "정정전", "정정후"))
+
+
+def compact(text: str) -> str:
+    return "".join(c for c in text if not c.isspace() and c not in "[]【】「」")
+
+
+class _Titled(_Tables):
+    """Tables in document order with the title that stands before each: the text of a span outside of cells, if it is one of `titles` and the first
+    such span of the page. A table inside a table knows the one around it."""
+
+    def __init__(self, titles: frozenset[str]) -> None:
+        super().__init__()
+        self.titles = titles
+        self.found: list[dict] = []
+        self._stack: list[int] = []
+        self._span: list[str] | None = None
+        self._seen: set[str] = set()
+        self._title: str | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        super().handle_starttag(tag, attrs)
+        if tag == "table":
+            self.found.append({"title": self._title, "around": self._stack[-1] if self._stack else None, "rows": []})
+            self._stack.append(len(self.found) - 1)
+            self._title = None
+        elif tag == "span":
+            self._span = []
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "table" and self._open:
+            self.found[self._stack.pop()]["rows"] = [[tuple(c) for c in row] for row in self._open[-1]]
+        elif tag == "span" and self._span is not None:
+            text, self._span = " ".join("".join(self._span).split()), None
+            if text in self.titles:
+                outside = not any(self._cell)
+                self._title = text if outside and text not in self._seen else None
+                self._seen.add(text)
+        super().handle_endtag(tag)
+
+    def handle_data(self, data: str) -> None:
+        if self._span is not None:
+            self._span.append(data)
+        super().handle_data(data)
+
+
+def titled_tables(html: str | None, titles: frozenset[str]) -> list[dict]:
+    """Every table in document order: title, grid, whether its first row has spans, whether it (or one around it) is a table of corrections."""
+    parser = _Titled(titles)
+    parser.feed(html or "")
+    parser.close()
+    for t in parser.found:
+        t["grid"] = expand(t["rows"])
+        t["spanned"] = any(down > 1 or across > 1 for _, down, across in next(iter(t["rows"]), []))
+        t["corrects"] = any({compact(c) for c in row} >= CORRECTION_HEADS for row in t["grid"])
+        if t["around"] is not None:
+            t["corrects"] = t["corrects"] or parser.found[t["around"]]["corrects"] or any({compact(" ".join(c[0].split())) for c in row} >= CORRECTION_HEADS for row in parser.found[t["around"]]["rows"])
+    return parser.found
+
+
+def explode_titled(docs: DataFrame, id_col: str, html_col: str, titles: tuple[str, ...]) -> DataFrame:
+    """(id, table, row, cells, title, spanned, corrects, error): one row a table row, tables numbered in document order.
+
+    Pages are read in Arrow batches and given back in slices of about SLICE_BYTES of HTML, so a batch of long pages is never held as rows at once.
+    """
+    kind, wanted = dict(docs.dtypes)[id_col], frozenset(titles)
+    names = [id_col, "table", "row", "cells", "title", "spanned", "corrects", "error"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give = lambda out: pd.DataFrame(out, columns=names).astype({"table": "Int32", "row": "Int32", "spanned": "boolean", "corrects": "boolean"})
+        for batch in batches:
+            out, size = [], 0
+            for ident, html in zip(batch[id_col], batch[html_col], strict=True):
+                try:
+                    out += [(ident, i, r, cells, t["title"], t["spanned"], t["corrects"], None) for i, t in enumerate(titled_tables(html, wanted)) for r, cells in enumerate(t["grid"])]
+                except ValueError as e:
+                    out.append((ident, None, None, None, None, None, None, str(e)))
+                size += len(html or "")
+                if size >= SLICE_BYTES:
+                    yield give(out)
+                    out, size = [], 0
+            yield give(out)
+
+    return docs.select(id_col, html_col).mapInPandas(run, f"`{id_col}` {kind}, table int, row int, cells array<string>, title string, spanned boolean, corrects boolean, error string")
