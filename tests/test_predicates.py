@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,17 @@ def test_text_queries_keep_every_document(spark, tmp_path):
     assert {r.doc_id: r.n_ints for r in queries.QUERIES["parse_ints_dates"](spark, str(tmp_path)).collect()} == {i: len(grouped_ints(t)) for i, t in rows}
     ints = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", T.parse_ints(F.col("text")).alias("x")).collect()
     assert {r.doc_id: r.x for r in ints} == {i: [v if v < 2**63 else None for v in grouped_ints(t)] for i, t in rows}
+
+
+def test_sql_of_hard_texts(spark, tmp_path):
+    """The SQL of both queries over whole texts agrees on nested, stray and unclosed parentheses and on broken numbers too."""
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("()ab ") for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    texts += ["".join(rnd.choice(["1", "23", ",", ", ", " ", "-", "456", "x", ".", "789"]) for _ in range(rnd.randint(0, 9))) for _ in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("clean_search_titles", "parse_ints_dates"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        rel = con.sql(queries.ORACLES[name]).select(", ".join(df.columns))
+        assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, rel.fetchall()))

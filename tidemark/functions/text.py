@@ -30,25 +30,27 @@ def clean_search(c: Column) -> Column:
     """Drops parenthesised text, nested levels included.
 
     A stray ) goes alone, ) right behind a closed group go with it. A ( that is never closed drops all up
-    to the last ) behind it, or to the end if there is none. One fold over the characters keeps the depth,
-    what is outside, and what stood behind the last ) of a group still open.
+    to the last ) behind it, or to the end if there is none. One fold over the pieces between parentheses keeps the depth,
+    what is outside, and what stood behind the last ) of a group still open; its steps are as many as the parentheses.
     """
-    empty = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"), F.lit("").alias("out"), F.lit("").alias("after"))
-
-    def step(s: Column, ch: Column) -> Column:
-        d = s["depth"]
-        opened, shut = ch == "(", ch == ")"
-        depth = F.when(opened, d + 1).when(shut & (d > 0), d - 1).otherwise(d)
-        closed = F.when(opened & (d == 0), F.lit(False)).when(shut & (d > 0), F.lit(True)).otherwise(s["closed"])
-        out = F.when((d == 0) & ~opened & ~shut, F.concat(s["out"], ch)).otherwise(s["out"])
-        after = F.when(d == 0, F.lit("")).when(shut, F.lit("")).otherwise(F.concat(s["after"], ch))
+    pieces = F.split(c, "[()]", -1)
+    steps = F.arrays_zip(F.regexp_extract_all(c, F.lit("([()])"), F.lit(1)).alias("mark"), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("piece"))
+    first = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"), F.get(pieces, 0).alias("out"), F.lit("").alias("after"))
+
+    def step(s: Column, x: Column) -> Column:
+        d, piece = s["depth"], x["piece"]
+        opened = x["mark"] == "("
+        depth = F.when(opened, d + 1).otherwise(F.greatest(d - 1, F.lit(0)))
+        closed = F.when(opened & (d == 0), F.lit(False)).when(~opened & (d > 0), F.lit(True)).otherwise(s["closed"])
+        out = F.when(depth == 0, F.concat(s["out"], piece)).otherwise(s["out"])
+        after = F.when(depth == 0, F.lit("")).when(~opened | (d == 0), piece).otherwise(F.concat(s["after"], F.lit("("), piece))
         return F.struct(depth.alias("depth"), closed.alias("closed"), out.alias("out"), after.alias("after"))
 
     def rest(s: Column) -> Column:
         # what followed the last ) of an open group is read again as plain text; a ( in it opens without end
         return F.when((s["depth"] > 0) & s["closed"], F.concat(s["out"], F.substring_index(s["after"], "(", 1))).otherwise(s["out"])
 
-    folded = F.aggregate(F.split(c, ""), empty, step, rest)
+    folded = F.aggregate(steps, first, step, rest)
     return F.when(c.contains("(") | c.contains(")"), folded).otherwise(c)
 
 

@@ -86,8 +86,12 @@ def keyword_groups(spark, d):
     return facets.group_counts(S.order_disclosures(spark, d).select("title"), P.classify(F.col("title"), groups))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\([^()]*\)+', '', 'g'), '\s+', ' ', 'g')) AS cleaned
-  FROM documents WHERE regexp_matches(text, '^[^()]*(\([^()]*\)[^()]*)*$')""")
+@query(r"""WITH d AS (SELECT doc_id, text, text LIKE '%(%' OR text LIKE '%)%' AS par FROM documents), c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM d WHERE par),
+  s AS (SELECT *, sum(CASE ch WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS s FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)), e AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY i)) AS depth FROM s),
+  o AS (SELECT doc_id, max(i) FILTER (WHERE ch = '(' AND depth = 1) AS opened, arg_max(depth, i) > 0 AS open FROM e GROUP BY 1), p AS (SELECT e.doc_id, max(i) AS shut FROM e JOIN o ON o.doc_id = e.doc_id WHERE open AND ch = ')' AND i > opened GROUP BY 1),
+  q AS (SELECT p.doc_id, shut, coalesce(min(i), 1000000000) AS again FROM p LEFT JOIN e ON e.doc_id = p.doc_id AND ch = '(' AND i > shut GROUP BY ALL),
+  k AS (SELECT e.doc_id, string_agg(ch, '' ORDER BY i) FILTER (WHERE ch NOT IN ('(', ')') AND (depth = 0 OR i > shut AND i < again)) AS kept FROM e LEFT JOIN q ON q.doc_id = e.doc_id GROUP BY 1)
+  SELECT d.doc_id, trim(regexp_replace(CASE WHEN par THEN coalesce(kept, '') ELSE text END, '\s+', ' ', 'g')) AS cleaned FROM d LEFT JOIN k ON k.doc_id = d.doc_id""")
 def clean_search_titles(spark, d):
     return S.table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", T.collapse_spaces(T.clean_search(F.col("text"))).alias("cleaned"))
 
@@ -551,8 +555,8 @@ def graph_validation(spark, d):
 # scalar functions ---------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '-?[0-9][0-9,]*'))::INT AS n_ints, TRY_CAST(nullif(regexp_extract(replace(text, ',', ''), '-?[0-9]+\.?[0-9]*'), '') AS DOUBLE) AS first_number FROM documents
-  WHERE NOT regexp_matches(text, '[0-9],\s+[0-9]{3}([^0-9]|$)')""")
+@query(r"""SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '-?[0-9][0-9,\s]*[0-9]|-?[0-9]'), lambda r: CASE WHEN regexp_matches(regexp_replace(r, '\s', '', 'g'), '^-?[0-9]{1,3}(,[0-9]{3})+$') THEN 1 ELSE len(regexp_extract_all(r, '-?[0-9][0-9,]*')) END)), CASE WHEN text IS NOT NULL THEN 0 END)::INT AS n_ints,
+  TRY_CAST(nullif(regexp_extract(replace(text, ',', ''), '-?[0-9]+\.?[0-9]*'), '') AS DOUBLE) AS first_number FROM documents""")
 def parse_ints_dates(spark, d):
     t = F.col("text")
     return S.table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.size(T.parse_ints(t)).alias("n_ints"), T.find_number(t).alias("first_number"))

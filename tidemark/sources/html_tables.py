@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+SLICE_BYTES = 4 << 20
+
+
 class _Tables(HTMLParser):
     """Cells (text, rowspan, colspan) of every table, nested tables apart from the ones around them."""
 
@@ -119,20 +122,22 @@ def explode_tables(docs: DataFrame, id_col: str, html_col: str) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give = lambda out: pd.DataFrame(out, columns=[id_col, "table", "row", "cells", "error"]).astype({"table": "Int32", "row": "Int32"})
         for batch in batches:
-            out = []
+            out, size = [], 0
             for ident, html in zip(batch[id_col], batch[html_col], strict=True):
                 try:
                     out += [(ident, t, r, cells, None) for t, grid in enumerate(tables(html)) for r, cells in enumerate(grid)]
                 except ValueError as e:
                     out.append((ident, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=[id_col, "table", "row", "cells", "error"]).astype({"table": "Int32", "row": "Int32"})
+                size += len(html or "")
+                if size >= SLICE_BYTES:
+                    yield give(out)
+                    out, size = [], 0
+            yield give(out)
 
     return docs.select(id_col, html_col).mapInPandas(run, f"{id_col} {kind}, table int, row int, cells array<string>, error string")
 
-
-SLICE_BYTES = 4 << 20
-
 #: Heads of a table of corrections.
 CORRECTION_HEADS = frozenset(("정정항목", "정정전", "정정후"))
 

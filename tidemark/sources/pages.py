@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import html_tables
+
 #: What the listing table, its marks and the empty choices of the viewer are called.
 LISTING_WORDS = ("회사명", "공시제목")
 CORRECTED_LATER = "해당보고서 이후에 정정된 보고서 있음"
@@ -200,18 +202,23 @@ SECTIONS = "index int, title string, html string"
 
 
 def read_pages(docs: DataFrame, id_col: str, html_col: str, reader: Callable[[str], list[tuple]], schema: str) -> DataFrame:
-    """(id, the reader's columns, error) by Arrow batches; a null page reads as an empty one."""
+    """(id, the reader's columns, error) by Arrow batches, given back in slices by bytes of HTML; a null page reads as an empty one."""
     kind = dict(docs.dtypes)[id_col]
     names = [id_col, *[f.split()[0] for f in re.split(r",\s*(?![^<]*>)", schema)], "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
+            size = 0
             for ident, page in zip(batch[id_col], batch[html_col], strict=True):
                 try:
                     out += [(ident, *row, None) for row in reader(page or "")]
                 except ValueError as e:
                     out.append((ident, *[None] * (len(names) - 2), str(e)))
+                size += len(page or "")
+                if size >= html_tables.SLICE_BYTES:
+                    yield pd.DataFrame(out, columns=names, dtype=object)
+                    out, size = [], 0
             yield pd.DataFrame(out, columns=names, dtype=object)
 
     return docs.select(id_col, html_col).mapInPandas(run, f"`{id_col}` {kind}, {schema}, error string")
