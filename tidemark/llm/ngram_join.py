@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import SPACES, Chunk, chunks, mix
-from ._spark import components, durable, join_by_weight, read, release
+from ._spark import components, durable, join_by_weight, read, release, settled
 
 SMALL = 6
 MATCHES = 4
@@ -311,5 +311,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     return found.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("__first", F.col(id_col)).alias("component_id"))
 
 
+@settled
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -11,7 +11,8 @@ Defined cases: a vector that is null or holds null or non-finite components take
 candidate; an empty vector scores 0; vectors of different lengths are compared as if padded with zeros;
 ties go to the smaller id; rows with the query's own id are not its candidates; a repeated query id is
 one query (its smallest vector), repeated candidates are candidates each; a null id takes no part;
-fewer than k candidates: all of them; other columns are ignored.
+fewer than k candidates: all of them; a score that no long can hold is given as the largest or smallest long, after
+ranking by its true value; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import durable, read
+from ._spark import durable, read, settled
 
 LEAF = 48
 BATCH = 4096
@@ -217,6 +218,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+@settled
 def op7_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(rows, rows.filter("vec_id % 50 = 0"))
