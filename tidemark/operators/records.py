@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -36,39 +36,51 @@ def logical_rows(grid: DataFrame) -> DataFrame:
 def bond_fields(grid: DataFrame, titles: DataFrame, id_col: str) -> DataFrame:
     """One record a bond document that has a main table: its fields, and in `status` by field whether it was found.
 
-    grid: rows of all tables of the documents (id, table, row, cells); titles: (id, title). Partial aggregation picks the
-    first row of each label in one pass; no document's rows meet anywhere but in its aggregate.
+    grid: rows of all tables of the documents (id, table, row, cells); titles: (id, title). The grid is read and shuffled once, by document: windows over its
+    tables find the main one and that of investors, and one aggregation picks the first row of each label.
     """
-    rows = logical_rows(grid)
-    seen = rows.groupBy(id_col, "table").agg(*[F.bool_or(_has(F.col("line"), w)).alias(f"w{i}") for i, w in enumerate(MAIN_TABLE)])
-    main = seen.filter("w0 AND w1 AND w2").groupBy(id_col).agg(F.min("table").alias("table"))
+    in_table, in_doc = Window.partitionBy(id_col, "table"), Window.partitionBy(id_col)
     line, last = F.col("line"), F.element_at("line", -1)
     label = lambda n: T.normalize_label(F.get(line, n - 1))
     bare = lambda w: w.replace(" ", "")
+    rows = logical_rows(grid).repartition(id_col)
+    main = reduce(lambda x, y: x & y, [F.max(_has(line, w)).over(in_table) for w in MAIN_TABLE])
+    rows = rows.withColumns({"__is_main": main, "__head": F.min_by(F.struct("row", "cells", "line"), "row").over(in_table)})
+    place = lambda w: F.array_position(F.transform("__head.cells", lambda c: c.contains(w) | F.replace(c, F.lit(" "), F.lit("")).contains(bare(w))), True).cast("int")
+    heads = reduce(lambda x, y: x & y, [_has(F.col("__head.line"), w) for w in INVESTOR_HEADERS])
+    rows = rows.withColumns({"__n": F.when(heads, place(INVESTOR_HEADERS[0])), "__m": F.when(heads, place(INVESTOR_HEADERS[1]))})
+    asks = F.when((F.col("__n") > 0) & (F.col("__m") > 0) & (F.col("__n") != F.col("__m")), F.struct("table", F.col("__head.row").alias("row"), F.col("__n").alias("n"), F.col("__m").alias("a")))
+    rows = rows.withColumns({"__asks": F.min(asks).over(in_doc), "__table": F.min(F.when(F.col("__is_main"), F.col("table"))).over(in_doc)})
+    rows = rows.filter((F.col("table") == F.col("__table")) | (F.col("__table").isNotNull() & (F.col("table") == F.col("__asks.table"))))
+    here = F.col("table") == F.col("__table")
 
     def first(cell: int, words: tuple[str, ...], prefix: bool = False, also: Column | None = None, longer: int | None = None, value: Column = last) -> Column:
         """value of the first row whose cell is (or starts with) the first of the words that any row has; null if it is too short."""
         rank = F.coalesce(*[F.when(label(cell).startswith(bare(w)) if prefix else label(cell) == bare(w), F.lit(i)) for i, w in enumerate(words)])
-        at = F.when(rank.isNotNull() if also is None else rank.isNotNull() & also, F.struct(rank.alias("rank"), F.col("row")))
-        return F.min_by(F.struct(F.when(F.size(line) > (cell if longer is None else longer), value).alias("v")), at)["v"]
+        fits = here & rank.isNotNull() if also is None else here & rank.isNotNull() & also
+        return F.min_by(F.struct(F.when(F.size(line) > (cell if longer is None else longer), value).alias("v")), F.when(fits, F.struct(rank.alias("rank"), F.col("row"))))["v"]
 
     purpose = F.struct(F.col("row"), T.purpose_label(F.get(line, 1)).alias("label"), F.when(F.size(line) > 2, T.parse_int(last, True)).alias("amount"))
-    got = rows.join(main, [id_col, "table"], "left_semi").groupBy(id_col).agg(
+    name, paid_in = F.coalesce(F.get("cells", F.col("__asks.n") - 1), F.lit("")), T.parse_int(F.get("cells", F.col("__asks.a") - 1), True)
+    investor = F.when((F.col("table") == F.col("__asks.table")) & (F.col("row") > F.col("__asks.row")) & ~name.isin(*NO_INVESTOR) & paid_in.isNotNull(), F.struct("row", name.alias("name"), paid_in.alias("amount")))
+    got = rows.groupBy(id_col).agg(
         first(2, ("회차",), value=F.get(line, 2)).alias("round"),
         first(2, EXERCISE_TARGET, prefix=True).alias("target"),
-        F.coalesce(F.bool_or(label(2) == "원화기준(원)"), F.lit(False)).alias("__won"),
+        F.coalesce(F.bool_or(here & (label(2) == "원화기준(원)")), F.lit(False)).alias("__won"),
         first(2, ("원화기준 (원)",)).alias("__a"),
         first(1, ("사채의 권면",), prefix=True).alias("__b"),
-        F.array_sort(F.collect_list(F.when(label(1) == "자금조달의목적", purpose))).alias("__purposes"),
+        F.array_sort(F.collect_list(F.when(here & (label(1) == "자금조달의목적"), purpose))).alias("__purposes"),
         first(2, tuple(f"{w} (원/주)" for w in EXERCISE_PRICE)).alias("__price"),
         first(1, ("납입일",)).alias("payment_date"),
         first(1, ("사채만기일", "사채만기")).alias("maturity_date"),
         first(1, ("사채발행방법",)).alias("method"),
         first(2, EXERCISE_PERIOD, also=label(3) == "시작일", longer=3).alias("exercise_start"),
         first(2, EXERCISE_PERIOD, also=label(3) == "종료일", longer=3).alias("exercise_end"),
+        F.transform(F.array_sort(F.collect_list(investor)), lambda i: F.struct(i["name"].alias("name"), i["amount"].alias("amount"))).alias("__people"),
     )
     paid = F.filter("__purposes", lambda p: p["label"].isNotNull() & (p["amount"] != 0))
-    got = got.join(titles.select(id_col, "title"), id_col, "left").join(investors(rows, id_col), id_col, "left").withColumns(
+    got = got.withColumn("investors", F.when(F.size("__people") > 0, F.col("__people")))
+    got = got.join(titles.select(id_col, "title"), id_col, "left").withColumns(
         {
             "type": T.bond_type(F.coalesce("title", F.lit(""))),
             "amount": T.parse_int(F.when(F.col("__won"), F.col("__a")).otherwise(F.col("__b")), True),
@@ -85,18 +97,6 @@ def bond_fields(grid: DataFrame, titles: DataFrame, id_col: str) -> DataFrame:
     return got.select(id_col, "title", "round", "type", "target", "amount", "purposes", "exercise_price", "payment_date", "maturity_date", "method", "exercise_start", "exercise_end", "investors", "status")
 
 
-def investors(rows: DataFrame, id_col: str) -> DataFrame:
-    """(id, investors) out of the first table whose first row heads a column of names and another one of amounts."""
-    head = rows.groupBy(id_col, "table").agg(F.min_by(F.struct("row", "cells", "line"), "row").alias("h")).filter(reduce(lambda a, b: a & b, [_has(F.col("h.line"), w) for w in INVESTOR_HEADERS]))
-    at = lambda w: F.array_position(F.transform("h.cells", lambda c: c.contains(w) | F.replace(c, F.lit(" "), F.lit("")).contains(w.replace(" ", ""))), True)
-    head = head.select(id_col, "table", F.col("h.row").alias("top"), at(INVESTOR_HEADERS[0]).alias("n"), at(INVESTOR_HEADERS[1]).alias("a")).filter("n > 0 AND a > 0 AND n <> a")
-    head = head.groupBy(id_col).agg(F.min(F.struct("table", "top", "n", "a")).alias("h")).select(id_col, F.col("h.table").alias("table"), "h.top", "h.n", "h.a")
-    hit = rows.join(head, [id_col, "table"]).filter("row > top")
-    name, amount = F.coalesce(F.get("cells", F.col("n") - 1), F.lit("")), T.parse_int(F.get("cells", F.col("a") - 1), True)
-    one = hit.select(id_col, F.struct("row", name.alias("name"), amount.alias("amount")).alias("i")).filter(~F.col("i.name").isin(*NO_INVESTOR) & F.col("i.amount").isNotNull())
-    return one.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list("i")), lambda i: F.struct(i["name"].alias("name"), i["amount"].alias("amount"))).alias("investors"))
-
-
 def total(items: str | Column) -> Column:
     """Sum of the amounts of (label, amount) items; 0 for none."""
     return F.aggregate(F.coalesce(F.transform(items, lambda x: F.coalesce(x["amount"].cast("long"), F.lit(0).cast("long"))), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + x)
