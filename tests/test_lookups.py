@@ -167,3 +167,16 @@ def test_json_sources(spark, tmp_path):
         json_files.category_disclosures(spark, path("good", "bad"), "1", "2024-01-01", "2024-12-31")
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         json_files.read_objects(spark, path("missing"), json_files.CATEGORY).count()
+
+
+def test_merged_companies_and_unions(spark):
+    rows = spark.createDataFrame([("a", "", "1", None, ["x"], "9", 1), ("b", "B", None, "K", ["y"], "9", 2), ("a", "A", "2", "M", ["z", "x"], "8", 3), ("c", "C", "", "", None, "7", 4)], "company_key string, company_name string, company_id string, market string, badges array<string>, acpt_no string, position int")
+    got, counts = lookups.merge_companies(rows)
+    assert {tuple(r) for r in got.select("company_key", "company_name", "company_id", "market", "disclosures", "badges").collect()} == {("a", "A", "1", "M", 2, "x, z"), ("c", "C", None, None, 1, "")}
+    assert tuple(counts.first()) == (3, 1)
+    with pytest.raises(Exception, match="acpt_no is required"):
+        lookups.merge_companies(rows.withColumn("acpt_no", F.lit(" ")))[0].collect()
+    a = spark.createDataFrame([("k", 1, "a"), ("j", 2, "a"), (None, 3, "a")], "key string, n int, src string")
+    b = spark.createDataFrame([("k", 0, "b"), ("k", -1, "b")], "key string, n int, src string")
+    assert sorted(map(str, map(tuple, lookups.union_keep_last([a, b], "key", ["n"]).collect()))) == ["('j', 2, 'a')", "('k', 0, 'b')", "(None, 3, 'a')"]
+    assert (lookups.resume_at(10, 10, 4), lookups.resume_at(11, 10, 4), lookups.resume_at(11, None, 4)) == (4, 0, 4)

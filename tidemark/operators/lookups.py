@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -135,3 +135,50 @@ def numeric_signature(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("path", "what", "number")))
     shape = F.array_join(F.transform("all", lambda x: F.concat(F.to_json(x["path"]), F.lit("="), x["what"])), ";")
     return every.groupBy("__id").agg(ordered.alias("all")).select(F.col("__id").alias(id_col), shape.alias("shape"), F.transform(F.filter("all", lambda x: x["number"].isNotNull()), lambda x: x["number"]).alias("numbers"))
+
+
+def merge_companies(rows: DataFrame, position: str = "position") -> tuple[DataFrame, DataFrame]:
+    """(companies, counts): records of companies merged by key, each disclosure counted once over all of them.
+
+    rows: (company_key, company_name, company_id, market, badges, acpt_no, position), one row a disclosure, in order of reading. Of a number that comes twice the first row
+    keeps it, whatever its company; a row without a number is an error. A company whose disclosures others had first is not listed. Name, code and market are the
+    first that are not blank among its rows; badges are listed once, in order. counts: (kept, duplicates). Firsts by number are one partial aggregation.
+    """
+    number = F.trim(F.coalesce("acpt_no", F.lit("")))
+    checked = rows.withColumn("acpt_no", F.when(number == "", F.raise_error(F.lit("acpt_no is required for classification records")).cast("string")).otherwise(number))
+    first = checked.groupBy("acpt_no").agg(F.min_by("company_key", F.col(position)).alias("company_key"), F.count("*").alias("n"))
+    kept = first.groupBy("company_key").agg(F.count("*").alias("disclosures"))
+    filled = lambda c: F.min_by(F.when(~_blank(F.col(c)), F.col(c)), F.when(~_blank(F.col(c)), F.col(position))).alias(c)
+    named = rows.groupBy("company_key").agg(filled("company_name"), filled("company_id"), filled("market"))
+    badges = listing.ordered_union(rows.filter("badges IS NOT NULL"), "company_key", "badges", position)
+    companies = named.join(kept, "company_key").join(badges, "company_key", "left").withColumn("badges", F.coalesce("badges", F.lit("")))
+    return companies, first.agg(F.count("*").alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+
+
+def union_keep_last(frames: list[DataFrame], key: str, order: list[str]) -> DataFrame:
+    """The frames one below the other; of each key the last row of the last frame that has it stays, in the place of that row. Rows without a key all stay."""
+    told = [f.withColumn("__frame", F.lit(i)) for i, f in enumerate(frames)]
+    every = told[0]
+    for f in told[1:]:
+        every = every.unionByName(f, allowMissingColumns=True)
+    columns = [c for c in every.columns if c != "__frame"]
+    place = F.struct("__frame", *order)
+    last = every.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), place).alias("__r")).select("__r.*")
+    return last.unionByName(every.filter(F.col(key).isNull()).drop("__frame"))
+
+
+def panel_summary(rows: DataFrame, by: str, group: str, k: int = 5) -> DataFrame:
+    """(by, disclosures, after_close, first, last, top): counts, the range of trading days, and the k groups with most rows, ties by name.
+
+    rows: (by, group, trade_day, event_date). Groups are counted before any are ranked, so the window holds a row a group.
+    """
+    counts = rows.groupBy(by, group).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), group))
+    top = counts.withColumn("__r", rank).filter(F.col("__r") <= k).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.concat(F.col(group), F.lit(":"), F.col("n")).alias("t")))), lambda x: x["t"]), ", ").alias("top"))
+    base = rows.groupBy(by).agg(F.count("*").alias("disclosures"), F.count_if(F.col("trade_day") > F.col("event_date")).alias("after_close"), F.min("trade_day").alias("first"), F.max("trade_day").alias("last"))
+    return base.join(top, by)
+
+
+def resume_at(total: int, expected: int | None, offset: int) -> int:
+    """Where a scan goes on: behind the offset, or at 0 if the source no longer counts what it did."""
+    return 0 if expected is not None and total != expected else offset

@@ -139,3 +139,52 @@ def json_category_disclosures(spark, d):
     by = rows.groupBy("title", F.pmod(F.xxhash64("acpt_no"), F.lit(16)).alias("piece")).agg(F.to_json(F.struct(F.collect_list(item).alias("disclosures"))).alias("value"))
     by.select("value").repartition(16).write.option("maxRecordsPerFile", 1).text(folder)
     return json_files.category_disclosures(spark, [folder], "10", "1990-01-01", "2030-12-31").select("acpt_no", "disclosed_date", "market")
+
+
+_READ = """r AS (SELECT l_suppkey % 40 AS k, l_partkey % 5000 AS no, l_orderkey * 10 + l_linenumber AS pos, l_returnflag AS badge, l_orderkey % 3 = 0 AS gap FROM lineitem),
+  u AS (SELECT k, no, pos, min(badge) AS badge, bool_and(gap) AS gap FROM r GROUP BY ALL)"""
+
+
+def _read_rows(spark, d):
+    l = S.table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag"])  # noqa: E741
+    rows = l.groupBy((F.col("l_suppkey") % 40).alias("k"), (F.col("l_partkey") % 5000).alias("no"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")).agg(F.min("l_returnflag").alias("badge"), F.bool_and(F.col("l_orderkey") % 3 == 0).alias("gap"))
+    return rows.select(F.concat(F.lit("c"), "k").alias("company_key"), F.when(~F.col("gap"), F.concat(F.lit("n"), F.col("no") % 7)).alias("company_name"), F.lit("").alias("company_id"), F.when(~F.col("gap"), F.col("badge")).alias("market"), F.array("badge").alias("badges"), F.col("no").cast("string").alias("acpt_no"), F.struct("pos", "k", "no").alias("position"))
+
+
+@query(f"""WITH {_READ}, f AS (SELECT no, arg_min(k, (pos, k, no)) AS k FROM u GROUP BY 1), d AS (SELECT k, count(*) AS n FROM f GROUP BY 1),
+  b AS (SELECT k, badge, min((pos, k, no)) AS o FROM u GROUP BY ALL)
+  SELECT 'c' || d.k AS company_key, (SELECT 'n' || arg_min(no, (pos, k, no)) % 7 FROM u WHERE u.k = d.k AND NOT gap) AS company_name, (SELECT arg_min(badge, (pos, k, no)) FROM u WHERE u.k = d.k AND NOT gap) AS market, n AS disclosures, (SELECT string_agg(badge, ', ' ORDER BY o) FROM b WHERE b.k = d.k) AS badges FROM d""")
+def merged_companies(spark, d):
+    return lookups.merge_companies(_read_rows(spark, d))[0].select("company_key", "company_name", "market", "disclosures", "badges")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, o_custkey % 900 AS k, 'listing' AS src, 0 AS f FROM orders UNION ALL SELECT o_orderkey, o_custkey % 900, 'category', 1 FROM orders WHERE o_orderkey % 3 = 0)
+  SELECT k, arg_max(id, (f, id)) AS id, arg_max(src, (f, id)) AS src FROM a GROUP BY k""")
+def union_keep_last(spark, d):
+    o = S.table(spark, d, "orders", ["o_orderkey", "o_custkey"]).select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 900).alias("k"))
+    return lookups.union_keep_last([o.withColumn("src", F.lit("listing")), o.filter("id % 3 = 0").withColumn("src", F.lit("category"))], "k", ["id"])
+
+
+@query("""WITH e AS (SELECT event_type AS code, user_id % 11 AS g, ts::DATE AS day, (ts + INTERVAL 8 HOUR)::DATE AS traded FROM events), c AS (SELECT code, g, count(*) AS n FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, 'g' || g) AS r FROM c)
+  SELECT e.code, count(*) AS disclosures, count(*) FILTER (WHERE traded > day) AS after_close, strftime(min(traded), '%Y-%m-%d') AS first, strftime(max(traded), '%Y-%m-%d') AS last, (SELECT string_agg('g' || g || ':' || n, ', ' ORDER BY r) FROM r WHERE r <= 5 AND r.code = e.code) AS top FROM e GROUP BY e.code""")
+def panel_top_groups(spark, d):
+    e = S.table(spark, d, "events", ["ts", "event_type", "user_id"])
+    rows = e.select(F.col("event_type").alias("code"), F.concat(F.lit("g"), F.col("user_id") % 11).alias("group"), F.to_date("ts").alias("event_date"), F.to_date(F.expr("ts + INTERVAL 8 HOURS")).alias("trade_day"))
+    got = lookups.panel_summary(rows, "code", "group")
+    return got.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first", "last")})
+
+
+@query("""WITH s AS (SELECT l_orderkey AS id, l_linenumber AS n, min(l_returnflag) AS t FROM lineitem GROUP BY ALL), g AS (SELECT id, count(*) AS c, string_agg('toc_' || n || ' ' || t, ' ' ORDER BY n) AS signature FROM s GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY id) AS r FROM g)
+  SELECT signature, count(*) AS count, min(c) AS section_count, string_agg(id, ',' ORDER BY id) FILTER (WHERE r <= 3) AS samples FROM r GROUP BY signature""")
+def section_patterns(spark, d):
+    l = S.table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag"])  # noqa: E741
+    found = l.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("index")).agg(F.min("l_returnflag").alias("title")).withColumns({"html": F.lit(""), "error": F.lit(None).cast("string")})
+    return pages.section_patterns(found, "id").withColumn("samples", F.array_join("samples", ","))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS total, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 100 END AS page, CASE WHEN o_orderkey % 3 > 0 THEN 12345 END AS pages FROM orders""")
+def paginations(spark, d):
+    o = S.table(spark, d, "orders", ["o_orderkey", "o_custkey"])
+    k = F.col("o_orderkey")
+    html = F.concat(F.lit("<p>전체 <em>"), F.format_number("o_custkey", 0), F.lit("</em> 건 : <strong>"), k % 100, F.when(k % 3 > 0, "</strong>/12,345</p>").otherwise("</strong></p>"))
+    return o.select(k.alias("id"), pages.pagination(html).alias("p")).select("id", F.col("p.total_items").alias("total"), F.col("p.current_page").alias("page"), F.col("p.total_pages").alias("pages"))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import html_tables
@@ -267,3 +267,26 @@ def choose_sections(found: DataFrame, rules: DataFrame, id_col: str) -> DataFram
     chosen = F.filter("s", lambda x: F.array_contains("toc_ids", F.concat(F.lit("toc_"), x["index"])))
     known = F.col("rule").isNotNull()
     return out.select(id_col, F.when(known, "ok").otherwise("missing_selection").alias("status"), "rule", F.when(known, F.size(chosen)).alias("chosen"), F.when(known, F.array_join(F.transform(chosen, lambda x: x["html"]), "\n")).alias("content"))
+
+
+def section_patterns(found: DataFrame, id_col: str, samples: int = 3) -> DataFrame:
+    """(signature, count, section_count, samples) of documents' sections: most frequent first, then those of fewer sections, then by signature.
+
+    samples are the smallest ids of each, cut before they are gathered, as an array.
+    """
+    size = found.filter("error IS NULL").groupBy(id_col).agg(F.count("*").alias("section_count"))
+    signed = signatures(found, id_col).join(size, id_col).filter("signature <> ''")
+    rank = F.row_number().over(Window.partitionBy("signature").orderBy(id_col))
+    first = signed.withColumn("__r", rank).filter(F.col("__r") <= samples).groupBy("signature").agg(F.array_sort(F.collect_list(id_col)).alias("samples"))
+    counted = signed.groupBy("signature").agg(F.count("*").alias("count"), F.min("section_count").alias("section_count"))
+    return counted.join(first, "signature").orderBy(F.desc("count"), "section_count", "signature")
+
+
+#: How a listing tells its total, the page and the number of pages.
+PAGINATION = r"전체\s*<em>([\d,]+)</em>\s*건\s*:\s*<strong>([\d,]+)</strong>/([\d,]+)(?=[^\d,]|$)"
+
+
+def pagination(html: Column) -> Column:
+    """(total_items, current_page, total_pages) of a listing, or null where it does not tell."""
+    part = lambda i: F.replace(F.regexp_extract(html, PAGINATION, i), F.lit(","), F.lit("")).try_cast("long")
+    return F.when(html.rlike(PAGINATION), F.struct(part(1).alias("total_items"), part(2).alias("current_page"), part(3).alias("total_pages")))
