@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from tidemark import queries
+from tidemark import queries, queries_listing, queries_lookups, queries_meetings, queries_records  # noqa: F401
 from tidemark.session import session
 
 HEADLINE = [
@@ -29,6 +29,14 @@ HEADLINE = [
     "graph_neighborhood_2hop",
     "graph_collapse_minor",
     "clean_search_titles",
+    "full_search",
+    "listing_pages",
+    "bond_records",
+    "rights_records",
+    "rights_graph_edges",
+    "legacy_agendas",
+    "anchored_spans",
+    "visible_graph_all",
 ]
 
 

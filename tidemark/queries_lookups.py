@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .operators import graph, lookups
+from .operators import graph, lookups, modes
 from .queries import query
+from .queries_meetings import _issues
 from .queries_records import _orders
 from .session import shared_folder
 from .sources import json_files, pages, stages
@@ -188,3 +189,21 @@ def paginations(spark, d):
     k = F.col("o_orderkey")
     html = F.concat(F.lit("<p>전체 <em>"), F.format_number("o_custkey", 0), F.lit("</em> 건 : <strong>"), k % 100, F.when(k % 3 > 0, "</strong>/12,345</p>").otherwise("</strong></p>"))
     return o.select(k.alias("id"), pages.pagination(html).alias("p")).select("id", F.col("p.total_items").alias("total"), F.col("p.current_page").alias("page"), F.col("p.total_pages").alias("pages"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS acpt_no, CASE WHEN o_orderkey % 3 = 0 THEN 'paid' WHEN o_orderkey % 3 = 1 THEN 'bonus' ELSE 'mixed' END AS kind, CASE WHEN o_orderkey % 3 <> 1 AND o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS tables, CASE o_orderkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 3 ELSE 13 END + CASE WHEN o_orderkey % 3 <> 1 AND o_orderkey % 4 = 0 THEN 2 ELSE 0 END AS rows FROM orders""")
+def parsed_by_mode(spark, d):
+    """Pages of rights issues parsed by their mode: the kind found, and the tables and rows of the base record."""
+    docs = _issues(spark, d).select(F.concat(F.lit("folder/"), "id", F.lit(".html")).alias("path"), "title", "html")
+    got = modes.parse(docs, "rights_issuance")
+    n = F.aggregate(F.transform("tables", lambda t: F.size(t["rows"])), F.lit(0), lambda a, x: a + x)
+    return got.select("acpt_no", F.col("fields.kind").alias("kind"), F.size("tables").alias("tables"), n.alias("rows"))
+
+
+@query("""WITH l AS (SELECT l_orderkey % 20000 AS k FROM lineitem), c AS (SELECT count(*) AS n, count(DISTINCT k) AS d FROM l) SELECT 'a number comes twice' AS rule FROM c WHERE d < n UNION ALL SELECT 'unique is not the number of rows' FROM c WHERE n <> d UNION ALL SELECT 'complete but not all inspected' FROM c WHERE n < n + 5""")
+def broken_identities(spark, d):
+    """What the counts of a result with repeated numbers break, where the source has as many rows and five are not inspected."""
+    l = S.table(spark, d, "lineitem", ["l_orderkey"]).select((F.col("l_orderkey") % 20000).cast("string").alias("acpt_no"))  # noqa: E741
+    counts = l.agg(F.count("*").alias("n"), F.count_distinct("acpt_no").alias("d")).first()
+    found = modes.count_identities(l, counts["n"] + 5, 0, counts["n"], counts["n"], counts["d"], True)
+    return found
