@@ -275,8 +275,12 @@ def _by_edit(values: list[Column]) -> Column:
     return F.element_at(F.array(*values), F.col("edit_code") + 1)
 
 
-def apply_edits(laid: DataFrame, runs: DataFrame) -> DataFrame:
-    """(conv_id, row, step, edit, role, text, cost): the edits in order, and the turn that each leaves (none for D)."""
+def apply_edits(laid: DataFrame, runs: DataFrame, together: bool = False) -> DataFrame:
+    """(conv_id, who, row, step, edit, role, text, cost): the edits in order, and the turn that each leaves (none for D).
+
+    Rows meet their edits by row, so a conversation of any length is spread; together brings each conversation into one task, by `who`, a hash of its id, so that
+    what follows needs no other shuffle.
+    """
     names = [F.lit("user"), F.lit("assistant")]
     puts, roles = [], []
     for code in range(36):
@@ -286,11 +290,15 @@ def apply_edits(laid: DataFrame, runs: DataFrame) -> DataFrame:
             state = NEXT[state]
         puts.append(F.array(*added) if added else F.array().cast("array<string>"))
         roles.append(names[int(state == ASKED)] if code % 3 == 2 else F.lit(None).cast("string"))
-    each = runs.select("first_row", F.posexplode("edits").alias("i", "edit_code")).select((F.col("first_row") + F.col("i")).alias("at"), "edit_code")
-    each = each.select("at", _by_edit(puts).alias("put"), _by_edit(roles).alias("renamed"), (F.col("edit_code") % 3).alias("letter"))
-    rows = laid.join(each, F.col("row") == F.col("at"))
+    who = F.hash("conv_id")
+    each = runs.select(who.alias("owner"), "first_row", "tail", F.size("edits").alias("n"), F.posexplode("edits").alias("i", "edit_code"))
+    ends = F.when(F.col("i") + 1 < F.col("n"), F.lit(0)).otherwise(F.col("tail"))
+    each = each.select("owner", (F.col("first_row") + F.col("i")).alias("at"), _by_edit(puts).alias("put"), _by_edit(roles).alias("renamed"), (F.col("edit_code") % 3).alias("letter"), ends.alias("ends"))
+    laid = laid.withColumn("who", who)
+    if together:
+        laid, each = laid.repartition("who"), each.repartition("owner")
+    rows = laid.join(each, (F.col("who") == F.col("owner")) & (F.col("row") == F.col("at")))
     cut = F.floor(F.col("code") / 4) == 3
-    empty = F.lit("")
     own = F.struct(
         F.lit(2).alias("step"),
         F.element_at(F.array(F.lit("D"), F.lit("K"), F.lit("R")), F.col("letter") + 1).alias("edit"),
@@ -298,18 +306,16 @@ def apply_edits(laid: DataFrame, runs: DataFrame) -> DataFrame:
         F.when(F.col("letter") > 0, F.col("text")).alias("text"),
         (F.when(F.col("letter") == 0, DELETE).otherwise(F.col("letter") - 1 + F.when(cut, CUT).otherwise(0))).cast("long").alias("cost"),
     )
-    put = lambda steps: F.transform(steps[0], lambda r, i: F.struct((i + steps[1]).alias("step"), F.lit("I").alias("edit"), r.alias("role"), empty.alias("text"), F.lit(INSERT).cast("long").alias("cost")))
-    out = rows.select("conv_id", "row", F.inline(F.concat(put((F.col("put"), 0)), F.array(own))))
-    last = F.when(F.col("tail") == 2, F.array(*names)).otherwise(F.array(names[1]))
-    ends = runs.filter("tail > 0").select("conv_id", (F.col("first_row") + F.size("edits") - 1).alias("row"), F.inline(put((last, 3))))
-    return out.unionByName(ends)
+    put = lambda roles, step: F.transform(roles, lambda r, i: F.struct((i + step).alias("step"), F.lit("I").alias("edit"), r.alias("role"), F.lit("").alias("text"), F.lit(INSERT).cast("long").alias("cost")))
+    last = F.when(F.col("ends") == 2, F.array(*names)).when(F.col("ends") == 1, F.array(names[1])).otherwise(F.array().cast("array<string>"))
+    return rows.select("conv_id", "who", "row", F.inline(F.concat(put(F.col("put"), 0), F.array(own), put(last, 3))))
 
 
-def repair(turns: DataFrame, block_bits: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repair(turns: DataFrame, block_bits: int = 12, together: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows as laid out with their faults, edits in order with the turns they leave, illegal pairs a run of rows)."""
     laid = lay_out(turns)
     runs = plan_edits(laid, block_bits)
-    return laid, apply_edits(laid, runs), runs.select("conv_id", "illegal")
+    return laid, apply_edits(laid, runs, together), runs.select("conv_id", "illegal")
 
 
 def damage(turns: DataFrame) -> DataFrame:
@@ -324,7 +330,7 @@ def damage(turns: DataFrame) -> DataFrame:
 
 def summary(turns: DataFrame, damaged: DataFrame, block_bits: int = 12) -> DataFrame:
     """The digest columns of the contract. One conversation is hashed as a whole, so only here its turns meet in one row."""
-    laid, edits, runs = repair(damaged, block_bits)
+    laid, edits, runs = repair(damaged, block_bits, together=True)
     fault = F.floor(F.col("code") / 4)
     by_turn = laid.groupBy("conv_id", "turn").agg(*[F.count_if(fault == i).alias(FAULTS[i]) for i in (1, 2, 3)])
     sums = [F.sum(c).alias(c) for c in FAULTS[1:]]
@@ -333,7 +339,7 @@ def summary(turns: DataFrame, damaged: DataFrame, block_bits: int = 12) -> DataF
     line = F.when(F.col("edit") != "D", F.concat("role", F.lit(":"), "text"))
     ordered = F.array_sort(F.collect_list(F.struct("row", "step", "edit", line.alias("line"))))
     text = F.array_join(F.filter(F.transform("all", lambda x: x["line"]), lambda x: x.isNotNull()), "\n")
-    done = edits.groupBy("conv_id").agg(ordered.alias("all"), F.sum("cost").alias("cost")).select("conv_id", "cost", F.array_join(F.transform("all", lambda x: x["edit"]), "").alias("audit"), F.sha2(text.cast("binary"), 256).alias("repaired_sha256"))
+    done = edits.groupBy("who", "conv_id").agg(ordered.alias("all"), F.sum("cost").alias("cost")).select("conv_id", "cost", F.array_join(F.transform("all", lambda x: x["edit"]), "").alias("audit"), F.sha2(text.cast("binary"), 256).alias("repaired_sha256"))
     parts = turns.select("conv_id").distinct()
     for p in (stats, done, runs.groupBy("conv_id").agg(F.sum("illegal").alias("illegal"))):
         parts = parts.unionByName(p, allowMissingColumns=True)
