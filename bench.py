@@ -32,7 +32,6 @@ HEADLINE = [
     "full_search",
     "listing_pages",
     "bond_records",
-    "rights_records",
     "rights_graph_edges",
     "legacy_agendas",
     "anchored_spans",
