@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.test_models import brute_components
-from tidemark.llm._spark import read
+from tidemark.llm._spark import read, star_round
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,26 @@ def test_empty_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         read(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_round_of_components_has_five_shuffles(spark):
+    pairs = spark.createDataFrame([(9, 1), (9, 2), (8, 9), (8, 7), (7, 2), (5, 4)], "u long, v long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = star_round(pairs)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        rows = [tuple(r) for r in new.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len([x for x in plan.split("\n") if " Exchange " in x and "Reused" not in x]) == 5
+    assert len(rows) == len(set(rows)) and all(u > v for u, v in rows) and brute_star(rows) == brute_star([(9, 1), (9, 2), (8, 9), (8, 7), (7, 2), (5, 4)])
+
+
+def brute_star(edges):
+    name = {x: x for e in edges for x in e}
+    while any(name[a] != name[b] for a, b in edges):
+        for a, b in edges:
+            name[a] = name[b] = min(name[a], name[b])
+    return name

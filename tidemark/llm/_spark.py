@@ -106,6 +106,17 @@ def join_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, how
     return done.unionByName(rest)
 
 
+def star_round(pairs: DataFrame) -> DataFrame:
+    """(u, v) with u > v after a large-star and a small-star step. Rows that both steps repeat are dropped once, at the end: each edge
+    gives one row at most, and minima need no distinct rows, so a round has five shuffles."""
+    both = pairs.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    large = both.join(least, F.col("u") == F.col("k")).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+    small = large.join(low, F.col("u") == F.col("k")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return small.filter("u <> v").distinct()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) with component the smallest node reachable, for every node of an edge.
 
@@ -125,12 +136,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == before or not now[0]:
             break
         last, before = pairs, now
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("k")).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(low, F.col("u") == F.col("k")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = small.filter("u <> v").distinct()
+        pairs = star_round(pairs)
     else:
         raise RuntimeError("components did not settle")
     ends = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
