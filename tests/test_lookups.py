@@ -3,9 +3,11 @@
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import queries, queries_lookups  # noqa: F401
 from tidemark.operators import graph, lookups
 from tidemark.sources import json_files, pages, stages
 
@@ -38,6 +40,18 @@ def test_company_index_and_export(spark):
     assert rows == [("cd", "", "", "", 0), ("Ab", "A005930", "K", "x, y", 1)]
 
 
+def test_unique_companies_query_without_keys(spark, tmp_path):
+    lines = [(1, 1, 1, "A", "O"), (2, 1, 2, "N", "F"), (None, 1, 3, "R", "O"), (-5, 1, 1, "R", "O"), (1, 1, None, "A", "O"), (0, 2, 1, "A", "O"), (None, 2, 1, "A", "O"), (-8, 2, 2, "N", "F"), (8, 3, None, "N", "O"), (9, 3, 1, "A", None), (8, 4, 2, None, "F"), (10, 4, 1, "R", None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 5).toDF("s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.QUERIES["unique_companies"](spark, str(tmp_path))
+    want = con.sql(queries.ORACLES["unique_companies"]).select(*got.columns).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 3
+
+
 def test_metadata(spark):
     r = spark.createDataFrame([("1", None, "old"), ("2", "d", "old"), ("3", "", None), (None, "n", "x")], "acpt_no string, doc_no string, disclosed_at string")
     m = spark.createDataFrame([("1", "K", "Co", "2024", "9", "f", 1, 2), ("2", "", None, " ", "8", "f", None, 2), ("3", None, None, None, None, None, None, None), ("1", "J", "Old", "2023", "7", "f", 1, 2)], "acpt_no string, market string, company_name string, disclosed_at string, doc_no string, family_id string, current_sequence int, family_member_count int")

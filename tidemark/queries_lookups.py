@@ -44,12 +44,13 @@ def unique_companies(spark, d):
     l, s = S.table(spark, d, "lineitem", ["l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"]), S.table(spark, d, "supplier", ["s_suppkey"])  # noqa: E741
     k = F.col("s_suppkey") % 50
     at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    name = F.when(F.col("l_orderkey") % 7 == 0, " ").otherwise(F.concat(F.lit(" S"), k))
+    name = F.when(F.col("l_orderkey") % 7 > 0, F.concat(F.lit(" S"), k)).otherwise(" ")  # nothing for keys that are null or negative, as in the SQL
     rows = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(name.alias("company_name"), k.cast("string").alias("company_id"), F.when(F.col("l_orderkey") % 3 == 0, " ").otherwise(F.col("l_returnflag")).alias("market"), F.array(F.concat("l_linestatus", F.col("l_linenumber") % 2)).alias("badges"), at.alias("at"))
     # one row a value, so that rows which share a place are told apart the same way everywhere
     rows = rows.groupBy("company_name", "company_id", "market", "badges").agg(F.min("at").alias("at"))
-    got = lookups.unique_companies(rows.withColumn("position", F.struct("at", "market", "badges")))
-    return got.withColumn("position", F.col("position.at"))
+    # rows without a place come last
+    got = lookups.unique_companies(rows.withColumn("position", F.struct(F.col("at").isNull().alias("unplaced"), "at", "market", "badges")))
+    return got.withColumns({"flags": F.nullif("flags", F.lit("")), "position": F.col("position.at")})
 
 
 @query("""SELECT event_id AS disclosure_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_datetime, value FROM events WHERE event_type = 'click' AND user_id % 3 = 1""")
