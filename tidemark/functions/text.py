@@ -18,7 +18,8 @@ def remove_spaces(c: Column) -> Column:
 
 
 def collapse_spaces(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"[{WHITE}]+", " "))
+    """White space of any kind as one space, none at the ends. Texts that are so already, as most cells are, cost one look."""
+    return F.when(c.rlike(rf"[{WHITE}&&[^ ]]|  |\A | \z"), strip(F.regexp_replace(c, f"[{WHITE}]+", " "))).otherwise(c)
 
 
 def fold(c: Column) -> Column:
@@ -90,16 +91,21 @@ def parse_ints(c: Column) -> Column:
     return F.transform(F.flatten(found), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
 
 
-def normalize_label(c: Column) -> Column:
-    """Without white space and a leading number (digits or Roman, of one or two levels as in 2-1) with its dot."""
+def without_number(c: Column) -> Column:
+    """Without a leading number (digits or Roman, of one or two levels as in 2-1) with its dot."""
     number = r"(?:[0-9]+|[ivxlcdm]+|[\x{2160}-\x{217f}]+)"
-    return F.regexp_replace(remove_spaces(c), rf"(?i)^{number}(?:-{number})?\.", "")
+    return F.regexp_replace(c, rf"(?i)^{number}(?:-{number})?\.", "")
+
+
+def normalize_label(c: Column) -> Column:
+    """Without white space and a leading number with its dot."""
+    return without_number(remove_spaces(c))
 
 
 def drop_repeats(a: Column) -> Column:
-    """An array of texts without blanks and without repeats of the one before."""
+    """An array of texts without blanks and without repeats of the one before. The texts are worked out once, not once an element."""
     full = F.filter(a, lambda x: x.isNotNull() & (F.trim(x) != ""))
-    return F.filter(full, lambda x, i: (i == 0) | (x != F.get(full, i - 1)))
+    return F.get(F.transform(F.array(full), lambda f: F.filter(f, lambda x, i: (i == 0) | (x != F.get(f, i - 1)))), 0)
 
 
 def title_flags(c: Column) -> Column:

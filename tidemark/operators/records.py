@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import html_tables
 from . import merge
 
 #: Labels by the cell they stand in. Of several labels the first that is there counts.
@@ -23,64 +25,117 @@ FOUND, ZERO, MISSING = "parsed", "explicit_zero", "source_not_found"
 
 def _has(row: Column, words: str) -> Column:
     """Whether a row's text, or that text without spaces, holds the words."""
-    text = F.array_join(row, " ")
+    return _holds(F.array_join(row, " "), words)
+
+
+def _holds(text: Column, words: str) -> Column:
     return text.contains(words) | F.replace(text, F.lit(" "), F.lit("")).contains(words.replace(" ", ""))
 
 
 def logical_rows(grid: DataFrame) -> DataFrame:
     """Grid rows (id, table, row, cells) with `line`: the cells without blanks and repeats of the one before."""
-    cells = F.transform("cells", lambda c: T.collapse_spaces(c))
-    return grid.withColumns({"cells": cells, "line": T.drop_repeats(cells)}).filter(F.size("line") > 0)
+    filled = F.exists("cells", lambda c: c.rlike(f"[^{T.WHITE}]"))
+    return grid.filter(filled).withColumn("cells", F.transform("cells", lambda c: T.collapse_spaces(c))).withColumn("line", T.drop_repeats(F.col("cells")))
+
+
+def by_document(grid: DataFrame, titles: DataFrame | None, id_col: str, how: str) -> DataFrame:
+    """(id, title, tables): one row a document. Of a grid in rows (id, table, row, cells) these are brought together and joined to titles; documents as read_tables
+    gives them, with their title, stay where they are."""
+    if "tables" in grid.columns:
+        return grid.select(id_col, "title", "tables")
+    found = html_tables.gather_tables(grid.withColumn("cells", F.transform("cells", lambda c: T.collapse_spaces(c))), id_col)
+    return titles.select(id_col, "title").join(found, id_col, how).withColumn("tables", F.coalesce("tables", F.array().cast(html_tables.TABLES)))
+
+
+def document_lines(tables: str) -> Column:
+    """The rows of all tables of a document in order, (table, row, cells, line) as in logical_rows. Cells come without white space to collapse."""
+    every = F.flatten(F.transform(tables, lambda t: F.transform(t["rows"], lambda cells, i: F.struct(t["table"].alias("table"), i.alias("row"), cells.alias("cells")))))
+    full = F.filter(every, lambda r: F.exists(r["cells"], lambda c: c != ""))
+    return F.transform(full, lambda r: F.struct(r["table"].alias("table"), r["row"].alias("row"), r["cells"].alias("cells"), T.drop_repeats(r["cells"]).alias("line")))
+
+
+def cell_label(line: Column, n: int) -> Column:
+    """normalize_label of the nth cell of a document's line."""
+    return T.without_number(F.replace(F.get(line, n - 1), F.lit(" "), F.lit("")))
+
+
+def once(c: Column) -> Column:
+    """c as a column that a filter above does not work out anew: the optimizer moves filters, and all they stand on, below projections but not below this."""
+    return F.explode_outer(F.array(c))
+
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), 0)
 
-def bond_fields(grid: DataFrame, titles: DataFrame, id_col: str) -> DataFrame:
+
+def table_heads(rows: str) -> Column:
+    """The first row of each table."""
+    return F.filter(rows, lambda r, i: (i == 0) | (F.get(F.col(rows), i - 1)["table"] != r["table"]))
+
+
+def asking_table(heads: str, words: tuple[str, str]) -> Column:
+    """(table, row, n, a) of the first table whose head has both words, in different cells: the places of these cells, from 1."""
+    place = lambda cells, w: F.array_position(F.transform(cells, lambda c: _holds(c, w)), True).cast("int")
+    both = F.filter(heads, lambda h: reduce(lambda x, y: x & y, [_has(h["line"], w) for w in words]))
+    found = F.transform(both, lambda h: F.struct(h["table"].alias("table"), h["row"].alias("row"), place(h["cells"], words[0]).alias("n"), place(h["cells"], words[1]).alias("a")))
+    return F.get(F.filter(found, lambda x: (x["n"] > 0) & (x["a"] > 0) & (x["n"] != x["a"])), 0)
+
+
+def first_row(rows: str, rank: Callable[[Column], Column]) -> Column:
+    """The first of the rows with the lowest rank that any row has; null if all have none."""
+    return let(F.transform(rows, rank), lambda ranks: F.get(F.col(rows), F.array_position(ranks, F.array_min(ranks)).cast("int") - 1))
+
+
+def bond_fields(grid: DataFrame, titles: DataFrame | None, id_col: str) -> DataFrame:
     """One record a bond document that has a main table: its fields, and in `status` by field whether it was found.
 
-    grid: rows of all tables of the documents (id, table, row, cells); titles: (id, title). The grid is read and shuffled once, by document: windows over its
-    tables find the main one and that of investors, and one aggregation picks the first row of each label.
+    grid: documents of read_tables with their title, or rows of all tables of the documents (id, table, row, cells) beside titles (id, title). A document is one row, and each
+    field the first row of its tables with a label; only rows that come apart are shuffled, once, by document.
     """
-    in_table, in_doc = Window.partitionBy(id_col, "table"), Window.partitionBy(id_col)
-    line, last = F.col("line"), F.element_at("line", -1)
-    label = lambda n: T.normalize_label(F.get(line, n - 1))
     bare = lambda w: w.replace(" ", "")
-    rows = logical_rows(grid).repartition(id_col)
-    main = reduce(lambda x, y: x & y, [F.max(_has(line, w)).over(in_table) for w in MAIN_TABLE])
-    rows = rows.withColumns({"__is_main": main, "__head": F.min_by(F.struct("row", "cells", "line"), "row").over(in_table)})
-    place = lambda w: F.array_position(F.transform("__head.cells", lambda c: c.contains(w) | F.replace(c, F.lit(" "), F.lit("")).contains(bare(w))), True).cast("int")
-    heads = reduce(lambda x, y: x & y, [_has(F.col("__head.line"), w) for w in INVESTOR_HEADERS])
-    rows = rows.withColumns({"__n": F.when(heads, place(INVESTOR_HEADERS[0])), "__m": F.when(heads, place(INVESTOR_HEADERS[1]))})
-    asks = F.when((F.col("__n") > 0) & (F.col("__m") > 0) & (F.col("__n") != F.col("__m")), F.struct("table", F.col("__head.row").alias("row"), F.col("__n").alias("n"), F.col("__m").alias("a")))
-    rows = rows.withColumns({"__asks": F.min(asks).over(in_doc), "__table": F.min(F.when(F.col("__is_main"), F.col("table"))).over(in_doc)})
-    rows = rows.filter((F.col("table") == F.col("__table")) | (F.col("__table").isNotNull() & (F.col("table") == F.col("__asks.table"))))
-    here = F.col("table") == F.col("__table")
-
-    def first(cell: int, words: tuple[str, ...], prefix: bool = False, also: Column | None = None, longer: int | None = None, value: Column = last) -> Column:
+    end = lambda r: F.element_at(r["line"], -1)
+    docs = by_document(grid, titles, id_col, "right").select(id_col, "title", document_lines("tables").alias("__rows"))
+    docs = docs.withColumn("__told", F.transform("__rows", lambda r: F.struct(r["table"].alias("table"), F.array_join(r["line"], " ").alias("text"))))
+    holding = [F.transform(F.filter("__told", lambda r: _holds(r["text"], w)), lambda r: r["table"]) for w in MAIN_TABLE]
+    docs = docs.withColumns({"__table": once(F.array_min(reduce(F.array_intersect, holding))), "__heads": table_heads("__rows")}).filter(F.col("__table").isNotNull())
+    docs = docs.withColumn("__asks", asking_table("__heads", INVESTOR_HEADERS))
+    mine = F.filter("__rows", lambda r: r["table"] == F.col("__table"))
+    docs = docs.withColumn("__main", F.transform(mine, lambda r: F.struct(r["row"].alias("row"), r["line"].alias("line"), *[cell_label(r["line"], n).alias(f"label{n}") for n in (1, 2, 3)])))
+    given = F.filter("__rows", lambda r: (r["table"] == F.col("__asks.table")) & (r["row"] > F.col("__asks.row")))
+    investor = F.transform(given, lambda r: F.struct(F.coalesce(F.get(r["cells"], F.col("__asks.n") - 1), F.lit("")).alias("name"), T.parse_int(F.get(r["cells"], F.col("__asks.a") - 1), True).alias("amount")))
+
+    def first(cell: int, words: tuple[str, ...], prefix: bool = False, also: Callable[[Column], Column] | None = None, longer: int | None = None, value: Callable[[Column], Column] = end) -> Column:
         """value of the first row whose cell is (or starts with) the first of the words that any row has; null if it is too short."""
-        rank = F.coalesce(*[F.when(label(cell).startswith(bare(w)) if prefix else label(cell) == bare(w), F.lit(i)) for i, w in enumerate(words)])
-        fits = here & rank.isNotNull() if also is None else here & rank.isNotNull() & also
-        return F.min_by(F.struct(F.when(F.size(line) > (cell if longer is None else longer), value).alias("v")), F.when(fits, F.struct(rank.alias("rank"), F.col("row"))))["v"]
-
-    purpose = F.struct(F.col("row"), T.purpose_label(F.get(line, 1)).alias("label"), F.when(F.size(line) > 2, T.parse_int(last, True)).alias("amount"))
-    name, paid_in = F.coalesce(F.get("cells", F.col("__asks.n") - 1), F.lit("")), T.parse_int(F.get("cells", F.col("__asks.a") - 1), True)
-    investor = F.when((F.col("table") == F.col("__asks.table")) & (F.col("row") > F.col("__asks.row")) & ~name.isin(*NO_INVESTOR) & paid_in.isNotNull(), F.struct("row", name.alias("name"), paid_in.alias("amount")))
-    got = rows.groupBy(id_col).agg(
-        first(2, ("회차",), value=F.get(line, 2)).alias("round"),
+
+        def rank(r: Column) -> Column:
+            told = r[f"label{cell}"]
+            found = F.coalesce(*[F.when(told.startswith(bare(w)) if prefix else told == bare(w), F.lit(i)) for i, w in enumerate(words)])
+            return found if also is None else F.when(also(r), found)
+
+        return let(first_row("__main", rank), lambda row: F.when(F.size(row["line"]) > (cell if longer is None else longer), value(row)))
+
+    purpose = lambda r: F.struct(r["row"].alias("row"), T.purpose_label(F.get(r["line"], 1)).alias("label"), F.when(F.size(r["line"]) > 2, T.parse_int(end(r), True)).alias("amount"))
+    got = docs.select(
+        id_col,
+        "title",
+        first(2, ("회차",), value=lambda r: F.get(r["line"], 2)).alias("round"),
         first(2, EXERCISE_TARGET, prefix=True).alias("target"),
-        F.coalesce(F.bool_or(here & (label(2) == "원화기준(원)")), F.lit(False)).alias("__won"),
+        F.coalesce(F.exists("__main", lambda r: r["label2"] == "원화기준(원)"), F.lit(False)).alias("__won"),
         first(2, ("원화기준 (원)",)).alias("__a"),
         first(1, ("사채의 권면",), prefix=True).alias("__b"),
-        F.array_sort(F.collect_list(F.when(here & (label(1) == "자금조달의목적"), purpose))).alias("__purposes"),
+        F.transform(F.filter("__main", lambda r: r["label1"] == "자금조달의목적"), purpose).alias("__purposes"),
         first(2, tuple(f"{w} (원/주)" for w in EXERCISE_PRICE)).alias("__price"),
         first(1, ("납입일",)).alias("payment_date"),
         first(1, ("사채만기일", "사채만기")).alias("maturity_date"),
         first(1, ("사채발행방법",)).alias("method"),
-        first(2, EXERCISE_PERIOD, also=label(3) == "시작일", longer=3).alias("exercise_start"),
-        first(2, EXERCISE_PERIOD, also=label(3) == "종료일", longer=3).alias("exercise_end"),
-        F.transform(F.array_sort(F.collect_list(investor)), lambda i: F.struct(i["name"].alias("name"), i["amount"].alias("amount"))).alias("__people"),
+        first(2, EXERCISE_PERIOD, also=lambda r: r["label3"] == "시작일", longer=3).alias("exercise_start"),
+        first(2, EXERCISE_PERIOD, also=lambda r: r["label3"] == "종료일", longer=3).alias("exercise_end"),
+        F.filter(F.coalesce(investor, F.array().cast("array<struct<name:string,amount:bigint>>")), lambda i: ~i["name"].isin(*NO_INVESTOR) & i["amount"].isNotNull()).alias("__people"),
     )
     paid = F.filter("__purposes", lambda p: p["label"].isNotNull() & (p["amount"] != 0))
     got = got.withColumn("investors", F.when(F.size("__people") > 0, F.col("__people")))
-    got = got.join(titles.select(id_col, "title"), id_col, "left").withColumns(
+    got = got.withColumns(
         {
             "type": T.bond_type(F.coalesce("title", F.lit(""))),
             "amount": T.parse_int(F.when(F.col("__won"), F.col("__a")).otherwise(F.col("__b")), True),

@@ -6,9 +6,10 @@ A field is a path of labels in a row's first cells and the value its last cell.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -29,70 +30,74 @@ def _plain(words: str) -> str:
     return words.replace(" ", "")
 
 
-def _label(cell: int) -> Column:
-    return T.normalize_label(F.get(F.col("line"), cell - 1))
+def _is(r: Column, cell: int, labels: tuple[str, ...]) -> Column:
+    """Whether a cell of a row is one of the labels. Labels that start with a number lose it as the cell does."""
+    return F.coalesce(r[f"label{cell}"].isin(*[_plain(w) for w in labels]), F.lit(False))
 
 
-def _is(cell: int, labels: tuple[str, ...]) -> Column:
-    """Whether a cell is one of the labels. Labels that start with a number lose it as the cell does."""
-    return F.coalesce(_label(cell).isin(*[_plain(w) for w in labels]), F.lit(False))
-
-
-def sections(grid: DataFrame, titles: DataFrame, id_col: str) -> DataFrame:
-    """Rows of the tables that count, in one order, with `top` (the main section) and `bonus`, `asks` (the first table that heads a column of
-    targets and one of their stock: table, row, both columns), and each document's kind and error.
+def sections(grid: DataFrame, titles: DataFrame | None, id_col: str) -> DataFrame:
+    """One row a document: its kind and error, `rows` of the tables that count, in order, those of the main section in `top` and of the bonus part in `bonus`, and
+    `asks` (the first table that heads a column of targets and one of their stock: table, row, both columns).
 
     A document without a title, of a title that names no issue, or of both kinds without the row that parts them has an error and no section.
-    The grid is shuffled once, by document; all windows, and the aggregate that follows, stand on that.
+    Documents of read_tables stay where they are; only a grid in rows is shuffled, once, by document.
     """
-    rows = R.logical_rows(grid).withColumn("at", F.struct("table", "row")).repartition(id_col)
-    in_table, in_doc = Window.partitionBy(id_col, "table"), Window.partitionBy(id_col)
-    marker = (F.size("line") == 1) & T.normalize_label(F.replace(F.get("line", F.lit(0)), F.lit(" "), F.lit(""))).isin(*MARKERS)
-    rows = rows.withColumns({"marker": marker, "primary": (F.size("line") >= 2) & _is(1, PRIMARY)})
-    rows = rows.withColumns({"head": F.min_by(F.struct("row", "cells", "line"), "row").over(in_table), "m": F.max("marker").over(in_table), "p": F.max("primary").over(in_table)})
-    rows = rows.withColumn("heads", reduce(lambda a, b: a & b, [R._has(F.col("head.line"), w) for w in TARGET_HEADERS])).filter("m OR p OR heads")
-    place = lambda w: F.array_position(F.transform("head.cells", lambda c: c.contains(w) | F.replace(c, F.lit(" "), F.lit("")).contains(_plain(w))), True).cast("int")
-    rows = rows.withColumns({"n": place(TARGET_HEADERS[0]), "a": place(TARGET_HEADERS[1])})
-    asks = F.when(F.col("heads") & (F.col("n") > 0) & (F.col("a") > 0) & (F.col("n") != F.col("a")), F.struct("table", F.col("head.row").alias("row"), "n", "a"))
-    bonus_at = F.when(F.col("marker") & _is(1, (MARKERS[1],)), F.col("at"))
-    rows = rows.withColumns({"asks": F.min(asks).over(in_doc), "parts_at": F.min(bonus_at).over(in_doc)}).select(id_col, "table", "row", "at", "cells", "line", "asks", "parts_at")
-    title = F.trim(F.coalesce("title", F.lit("")))
-    joined = titles.select(id_col, title.alias("title"), T.issuance_type(title).alias("kind")).join(rows, id_col, "left")
+    docs = R.by_document(grid, titles, id_col, "left").select(id_col, F.trim(F.coalesce("title", F.lit(""))).alias("title"), R.document_lines("tables").alias("all"))
+    lone = lambda r: (F.size(r["line"]) == 1) & T.normalize_label(F.replace(F.get(r["line"], 0), F.lit(" "), F.lit(""))).isin(*MARKERS)
+    told = F.transform(
+        "all",
+        lambda r: F.struct(r["table"].alias("table"), r["row"].alias("row"), F.struct(r["table"].alias("table"), r["row"].alias("row")).alias("at"), r["cells"].alias("cells"), r["line"].alias("line"), lone(r).alias("marker"), *[R.cell_label(r["line"], n).alias(f"label{n}") for n in (1, 2, 3)]),
+    )
+    docs = docs.withColumn("all", told).withColumn("heads", R.table_heads("all"))
+    headed = F.filter("heads", lambda h: reduce(lambda a, b: a & b, [R._has(h["line"], w) for w in TARGET_HEADERS]))
+    counting = F.filter("all", lambda r: r["marker"] | ((F.size(r["line"]) >= 2) & _is(r, 1, PRIMARY)))
+    docs = docs.withColumns({"asks": R.asking_table("heads", TARGET_HEADERS), "count": F.array_distinct(F.transform(F.concat(counting, headed), lambda r: r["table"]))})
+    docs = docs.select(id_col, "title", "asks", F.filter("all", lambda r: F.array_contains("count", r["table"])).alias("rows"), T.issuance_type(F.col("title")).alias("kind"))
+    docs = docs.withColumn("parts_at", F.get(F.filter("rows", lambda r: r["marker"] & _is(r, 1, (MARKERS[1],))), 0)["at"])
     both = F.col("kind") == "mixed"
     error = F.when(F.col("title") == "", "no title").when(F.col("kind") == "unknown", "title names no issue").when(both & F.col("parts_at").isNull(), "no row parts paid from bonus")
-    top = F.when(both, F.col("at") < F.col("parts_at")).otherwise(F.col("at").isNotNull())
-    bonus = F.when(both, F.col("at") > F.col("parts_at")).otherwise(F.col("at").isNotNull() & (F.col("kind") == "bonus"))
+    docs = docs.withColumn("error", R.once(error))
     fine = F.col("error").isNull()
-    return joined.withColumn("error", error).withColumns({"top": fine & F.coalesce(top, F.lit(False)), "bonus": fine & F.coalesce(bonus, F.lit(False))})
+    return docs.withColumns({
+        "top": F.filter("rows", lambda r: fine & F.when(both, r["at"] < F.col("parts_at")).otherwise(True)),
+        "bonus": F.filter("rows", lambda r: fine & F.when(both, r["at"] > F.col("parts_at")).otherwise(F.col("kind") == "bonus")),
+    })
 
 
-def _first(where: Column, value: Column, rank: Column | None = None) -> Column:
+def _first(flag: str, rank: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
     """value of the first row (of the lowest rank) that fits; null if it has none."""
-    at = F.struct(F.lit(0).alias("rank") if rank is None else rank.alias("rank"), F.col("at"))
-    return F.min_by(F.struct(value.alias("v")), F.when(where, at))["v"]
+    return R.let(R.first_row(flag, rank), value)
 
 
-def _last(cells: Column | int) -> Column:
+def _last(r: Column, cells: Column | int) -> Column:
     """The last cell of a row longer than its labels."""
-    return F.when(F.size("line") > cells, F.element_at("line", -1))
+    return F.when(F.size(r["line"]) > cells, F.element_at(r["line"], -1))
 
 
 def _stock(flag: str, labels: tuple[str, ...], unit: str, words: tuple[str, ...], fixed_price: bool = False, alone: bool = False) -> Column:
     """The last cell of the first row under labels for one kind of stock. fixed_price: or one cell further in, behind the fixed price; alone: or of
     a row of a label and a value."""
     names = tuple(f"{w} ({unit})" for w in words)
-    here = _is(1, labels)
-    fits, cells = here & _is(2, names), F.lit(2)
-    rank = F.when(fits, F.lit(0))
-    if fixed_price:
-        deep = here & _is(2, ("확정발행가",)) & _is(3, names)
-        rank, cells = F.coalesce(rank, F.when(deep, F.lit(1))), F.when(fits, 2).otherwise(3)
-        fits = fits | deep
-    if alone:
-        pair = here & (F.size("line") == 2)
-        rank, cells = F.coalesce(rank, F.when(here, F.lit(2))), F.when(fits, 2).when(pair, 1).otherwise(99)
-        fits = fits | here
-    return _first(F.col(flag) & fits, _last(cells), rank)
+    fits = lambda r: _is(r, 2, names)
+    deep = lambda r: _is(r, 2, ("확정발행가",)) & _is(r, 3, names)
+
+    def rank(r: Column) -> Column:
+        found = F.when(fits(r), 0)
+        if fixed_price:
+            found = found.when(deep(r), 1)
+        if alone:
+            found = found.otherwise(2)
+        return F.when(_is(r, 1, labels), found)
+
+    def value(r: Column) -> Column:
+        cells = F.lit(2)
+        if fixed_price:
+            cells = F.when(fits(r), 2).otherwise(3)
+        if alone:
+            cells = F.when(fits(r), 2).when(F.size(r["line"]) == 2, 1).otherwise(99)
+        return _last(r, cells)
+
+    return _first(flag, rank, value)
 
 
 def _pair(values: list[Column]) -> Column:
@@ -105,33 +110,42 @@ def _stock_status(items: str) -> Column:
     return F.when(some(lambda a: a > 0), R.FOUND).when(some(lambda a: a == 0), R.ZERO).otherwise(R.MISSING)
 
 
-def _targets() -> list[Column]:
-    """Aggregates over a document's rows: its targets (label, amount), whether all of them are hidden, whether a table asks for any."""
-    inside = (F.col("table") == F.col("asks.table")) & (F.col("row") > F.col("asks.row"))
-    name, raw = F.get("cells", F.col("asks.n") - 1), F.get("cells", F.col("asks.a") - 1)
-    given = T.parse_ints(raw)
-    amount = F.when(F.size(given) > 0, F.aggregate(given, F.lit(0).cast("long"), lambda x, y: x + y))
-    one = F.when(inside & name.isNotNull() & ~name.isin("", "-") & amount.isNotNull(), F.struct("at", name.alias("label"), amount.alias("amount")))
-    hidden = F.when(inside, F.coalesce((F.trim(name) == "-") & raw.isNotNull() & amount.isNull(), F.lit(False)))
-    return [
-        F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["label"].alias("label"), x["amount"].alias("amount"))).alias("targets"),
-        F.coalesce(F.every(hidden), F.lit(False)).alias("undisclosed"),
-        F.bool_or(F.col("error").isNull() & F.col("asks").isNotNull()).alias("listed"),
-    ]
+def _targets() -> Column:
+    """Of a document: its targets (label, amount), whether all of them are hidden, whether a table asks for any."""
+    inside = F.filter("rows", lambda r: (r["table"] == F.col("asks.table")) & (r["row"] > F.col("asks.row")))
+
+    def one(r: Column) -> Column:
+        raw = F.get(r["cells"], F.col("asks.a") - 1)
+        given = T.parse_ints(raw)
+        return F.struct(F.get(r["cells"], F.col("asks.n") - 1).alias("label"), raw.alias("raw"), F.when(F.size(given) > 0, F.aggregate(given, F.lit(0).cast("long"), lambda x, y: x + y)).alias("amount"))
 
+    none = F.array().cast("array<struct<label:string,raw:string,amount:bigint>>")
+    read = F.when(F.col("asks").isNotNull(), F.transform(inside, one)).otherwise(none)
+    hidden = lambda x: F.coalesce((F.trim(x["label"]) == "-") & x["raw"].isNotNull() & x["amount"].isNull(), F.lit(False))
+    named = lambda xs: F.filter(xs, lambda x: x["label"].isNotNull() & ~x["label"].isin("", "-") & x["amount"].isNotNull())
+    return R.let(read, lambda xs: F.struct(
+        F.transform(named(xs), lambda x: F.struct(x["label"].alias("label"), x["amount"].alias("amount"))).alias("targets"),
+        ((F.size(xs) > 0) & F.forall(xs, hidden)).alias("undisclosed"),
+        (F.col("error").isNull() & F.col("asks").isNotNull()).alias("listed"),
+    ))
 
-def rights_fields(grid: DataFrame, titles: DataFrame, id_col: str) -> DataFrame:
+
+def rights_fields(grid: DataFrame, titles: DataFrame | None, id_col: str) -> DataFrame:
     """One record a document: kind, error, fields of the main section, those of a bonus part (bonus_*), and `status` by field.
 
     Amounts by kind of stock are (label, amount) for common and other stock, null where no row gives them. Prices, purposes, method,
-    payment date and targets do not apply to a bonus issue and are null there. One aggregation a document takes the first row of each label path.
+    payment date and targets do not apply to a bonus issue and are null there. grid: documents of read_tables with their title, or rows beside titles.
     """
-    rows = sections(grid, titles, id_col)
-    purpose = F.struct("at", T.purpose_label(F.get("line", F.lit(1))).alias("label"), T.parse_int(F.element_at("line", -1), True).alias("amount"))
-    one = lambda flag, *labels: _first(F.col(flag) & _is(1, labels), _last(1))
+    docs = sections(grid, titles, id_col)
+    purpose = lambda r: F.struct(T.purpose_label(F.get(r["line"], 1)).alias("label"), T.parse_int(F.element_at(r["line"], -1), True).alias("amount"))
+    one = lambda flag, *labels: _first(flag, lambda r: F.when(_is(r, 1, labels), 0), lambda r: _last(r, 1))
     stock = lambda name, flag, labels, unit, **how: [_stock(flag, labels, unit, words, **how).alias(f"__{name}_{k}") for k, (_, words) in zip(KINDS, STOCKS, strict=True)]
     per_share = lambda flag: [_stock(flag, PER_SHARE, "주", words, alone=i == 0).alias(f"__{flag}_per_{KINDS[i]}") for i, (_, words) in enumerate(STOCKS)]
-    got = rows.groupBy(id_col, "title", "kind", "error").agg(
+    got = docs.select(
+        id_col,
+        "title",
+        "kind",
+        "error",
         *stock("counts", "top", PRIMARY[:1], "주"),
         *stock("before", "top", BEFORE, "주"),
         *stock("prices", "top", PRIMARY[1:], "원", fixed_price=True),
@@ -139,7 +153,7 @@ def rights_fields(grid: DataFrame, titles: DataFrame, id_col: str) -> DataFrame:
         *stock("bonus_before", "bonus", BEFORE, "주"),
         *per_share("top"),
         *per_share("bonus"),
-        F.array_sort(F.collect_list(F.when(F.col("top") & _is(1, ("자금조달의 목적",)) & (F.size("line") >= 3), purpose))).alias("__purposes"),
+        F.transform(F.filter("top", lambda r: _is(r, 1, ("자금조달의 목적",)) & (F.size(r["line"]) >= 3)), purpose).alias("__purposes"),
         one("top", "증자방식").alias("method"),
         one("top", "납입일").alias("payment_date"),
         one("top", "신주권교부예정일").alias("delivery_date"),
@@ -148,8 +162,8 @@ def rights_fields(grid: DataFrame, titles: DataFrame, id_col: str) -> DataFrame:
         one("bonus", "신주배정기준일").alias("bonus_record_date"),
         one("bonus", "신주권교부예정일").alias("bonus_delivery_date"),
         one("bonus", "신주의 상장 예정일").alias("bonus_listing_date"),
-        *_targets(),
-    )
+        _targets().alias("__given"),
+    ).withColumns({c: F.col(f"__given.{c}") for c in ("targets", "undisclosed", "listed")})
     read = lambda name: _pair([T.parse_int(F.col(f"__{name}_{k}"), True) for k in KINDS])
     text = lambda flag: F.array(*[F.nullif(F.nullif(F.trim(f"__{flag}_per_{k}"), F.lit("")), F.lit("-")) for k in KINDS])
     pays = F.col("kind").isin("paid", "mixed") & F.col("error").isNull()

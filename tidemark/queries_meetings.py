@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .operators import build, meeting_tables, meetings, rights
 from .queries import query
 from .queries_records import _orders, _text
+from .session import spread
 from .sources import html_tables
 from .sources import tables as S
 
@@ -111,7 +112,7 @@ def meeting_relations(spark, d):
 
 def _issues(spark, d):
     """Orders as pages of paid, bonus and mixed issues by turns."""
-    o, k = _orders(spark, d), F.col("o_orderkey")
+    o, k = spread(_orders(spark, d), "o_orderkey"), F.col("o_orderkey")
     money = lambda c: F.format_number(c, 0)
     paid = _text(
         """<tr><td rowspan="2">1. 신주의 종류와 수</td><td>보통주식 (주)</td><td>{count}</td></tr><tr><td>기타주식 (주)</td><td>-</td></tr><tr><td>증자전 발행주식총수 (주)</td><td>보통주식 (주)</td><td>{before}</td></tr>"""
@@ -128,8 +129,7 @@ def _issues(spark, d):
 
 def _issue_fields(spark, d):
     docs = _issues(spark, d)
-    grid = html_tables.explode_tables(docs, "id", "html").filter("error IS NULL AND cells IS NOT NULL").drop("error")
-    return docs, rights.with_warnings(rights.rights_fields(grid, docs, "id"))
+    return docs, rights.with_warnings(rights.rights_fields(html_tables.read_tables(docs, "id", "html", keep=("title",)), None, "id"))
 
 
 _ISSUE_SQL = """i AS (SELECT o_orderkey AS id, o_orderkey % 3 AS m, o_orderkey AS k, c_name AS name, o_custkey AS cust, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON o_custkey = c_custkey)"""

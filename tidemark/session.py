@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "tidemark", **conf: str) -> SparkSession:
@@ -32,3 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by key in as many tasks as a shuffle has. A table that is one small file is one task, however much is done with each of its rows; a plain
+    repartition by key would be one again, as adaptive execution joins partitions by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
