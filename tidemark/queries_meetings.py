@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .operators import build, meeting_tables, meetings, rights
 from .queries import query
 from .queries_records import _orders, _text
-from .session import spread
+from .session import spread, stored
 from .sources import html_tables
 from .sources import tables as S
 
@@ -152,7 +152,8 @@ def _issue_graph(spark, d):
     docs, got = _issue_fields(spark, d)
     meta = docs.select(F.col("id").cast("string").alias("acpt_no"), F.col("cust").alias("company_id"), F.col("c_name").alias("company_name"), F.lit("").alias("submitter"), F.col("day").alias("disclosed_on"))
     names = build.directory([docs.select(F.col("cust").alias("company_id"), F.col("c_name").alias("company_name"), F.lit("").alias("submitter"), F.col("id").alias("position"))])
-    return build.issuance_graph(rights.to_records(got, "id"), meta, names, "유상증자결정"), meta, names
+    records = stored(rights.to_records(got, "id"), "issues")  # the graph reads them once for each kind of node and edge, the pages are read once
+    return build.issuance_graph(records, meta, names, "유상증자결정"), meta, names
 
 
 @query(f"""WITH {_ISSUE_SQL}, e AS (SELECT id, 'EXECUTED' AS relation, NULL::DOUBLE AS w FROM i UNION ALL SELECT id, 'ISSUED', CASE WHEN m = 1 THEN k % 9 ELSE k % 50 * 10 END FROM i WHERE CASE WHEN m = 1 THEN k % 9 ELSE k % 50 * 10 END > 0

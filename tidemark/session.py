@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df by key in as many tasks as a shuffle has. A table that is one small file is one task, however much is done with each of its rows; a plain
     repartition by key would be one again, as adaptive execution joins partitions by their bytes."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that several readers do not each work it out."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
