@@ -1,14 +1,19 @@
 """Meetings out of table grids: structured agendas, elections, the date, changes of purpose, notes of corrections; and names by what stands before them.
 
-rows: those of html_tables.explode_titled with SECTIONS as titles (id, table, row, cells, title, spanned, corrects).
+rows: documents of html_tables.read_tables with SECTIONS as titles, each answered where it is, or rows of explode_titled (id, table, row, cells, title, spanned, corrects),
+which are brought together by document first. The columns *_of say the same of one document's tables.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import html_tables
+from . import records as R
 from .meetings import clean
 
 #: Titles of sections of elections with the office elected, that of changes of purpose, and labels of dates by phase.
@@ -34,18 +39,55 @@ def _heads(cells: Column) -> Column:
     return F.transform(cells, _compact)
 
 
-def _cell(heads: Column, name: str, nth: int = 1) -> Column:
+def _cell(heads: Column, cells: Column, name: str, nth: int = 1) -> Column:
     """The cell under the nth column of a name; null without one."""
+    if nth == 1:
+        return F.get(cells, F.array_position(heads, name).cast("int") - 1)
     places = F.filter(F.transform(heads, lambda h, i: F.when(h == name, i)), lambda i: i.isNotNull())
-    return F.get(F.col("cells"), F.get(places, F.lit(nth - 1)))
+    return F.get(cells, F.get(places, F.lit(nth - 1)))
+
+
+def _documents(rows: DataFrame, id_col: str) -> DataFrame:
+    """(id, tables): documents of read_tables as they are, or rows of explode_titled brought together by document."""
+    return rows.select(id_col, "tables") if "tables" in rows.columns else html_tables.gather_tables(rows.filter("error IS NULL"), id_col)
+
+
+def _listed(docs: DataFrame, id_col: str, found: Column) -> DataFrame:
+    """One row for each struct that is found in a document."""
+    return docs.select(id_col, F.explode_outer(found).alias("x")).filter("x IS NOT NULL").select(id_col, "x.*")
+
+
+def _headed(tables: str, *names: str, titles: tuple[str, ...] = ()) -> Column:
+    """Tables outside of corrections, behind one of the titles if there are any, whose first row (`first`, compact) has all the names."""
+    plain = F.filter(tables, lambda t: F.coalesce(~t["corrects"], F.lit(False)) & (F.coalesce(t["title"].isin(*titles), F.lit(False)) if titles else F.lit(True)))
+    told = F.transform(plain, lambda t: F.struct(t["title"].alias("title"), t["spanned"].alias("spanned"), t["rows"].alias("rows"), _heads(F.get(t["rows"], 0)).alias("first")))
+    return F.filter(told, lambda t: reduce(lambda a, b: a & b, [F.array_contains(t["first"], n) for n in names]))
+
+
+def agendas_of(tables: str) -> Column:
+    """The structured agendas of a document's tables, as an array."""
 
+    def read(t: Column) -> Column:
+        first, second = t["first"], _heads(F.get(t["rows"], 1))
+        grouped = t["spanned"] & (F.size(t["rows"]) > 1)
+        merged = R.let(second, lambda below: F.transform(first, lambda h, i: F.when((F.coalesce(F.get(below, i), F.lit("")) != "") & (F.get(below, i) != h), F.get(below, i)).otherwise(h)))
 
-def _with_heads(rows: DataFrame, id_col: str) -> DataFrame:
-    """Rows outside of corrections with `first` and `second`, the heads of their table's first two rows. One shuffle, by document."""
-    good = rows.filter("error IS NULL AND NOT corrects").repartition(id_col)
-    table = Window.partitionBy(id_col, "table")
-    pick = lambda n: _heads(F.min_by("cells", F.when(F.col("row") == n, F.col("row"))).over(table))
-    return good.withColumns({"first": pick(0), "second": pick(1), "n_rows": F.max("row").over(table) + 1})
+        def row(heads: Column, cells: Column, i: Column) -> Column:
+            filled = lambda name: F.nullif(clean(_cell(heads, cells, name)), F.lit(""))
+            title = clean(F.when(grouped & F.array_contains(heads, "안건"), _cell(heads, cells, "안건")).otherwise(_cell(first, cells, "회의목적사항")))
+            results = F.array_contains(heads, "가결여부")
+            said, notes = filled("가결여부"), filled("비고")
+            return F.struct(
+                clean(_cell(heads, cells, "번호")).alias("number"), title.alias("title"), filled("결의구분").alias("resolution_type"), filled("후보자").alias("candidate"), said.alias("result_raw"),
+                F.when(results, X.agenda_status(said, notes)).alias("status"), notes.alias("remarks"), F.when(results, "result").otherwise("notice").alias("phase"), i.alias("row"),
+            )
+
+        every = R.let(F.when(grouped, merged).otherwise(first), lambda heads: F.transform(t["rows"], lambda cells, i: F.when(cells.isNotNull() & (i >= F.when(grouped, 2).otherwise(1)), row(heads, cells, i))))
+        return F.filter(every, lambda x: x.isNotNull() & (x["number"] != "") & ~_compact(x["number"]).isin("번호", "찬성률") & (x["title"] != "") & ~_compact(x["title"]).rlike(_NO_AGENDA))
+
+    names = ("number", "title", "resolution_type", "candidate", "result_raw", "status", "remarks", "phase")
+    kept = R.let(F.get(_headed(tables, "번호", "회의목적사항"), 0), read)
+    return F.transform(kept, lambda x, i: F.struct(F.concat(F.lit("agenda:"), i).alias("agenda_ref"), *[x[n].alias(n) for n in names]))
 
 
 def structured_agendas(rows: DataFrame, id_col: str) -> DataFrame:
@@ -53,20 +95,24 @@ def structured_agendas(rows: DataFrame, id_col: str) -> DataFrame:
 
     Its first row names number and purpose; where that row has spans, names in the second row come before it. A column of results makes it a result.
     """
-    t = _with_heads(rows, id_col).filter(F.array_contains("first", "번호") & F.array_contains("first", "회의목적사항"))
-    t = t.withColumn("top", F.min("table").over(Window.partitionBy(id_col))).filter("table = top")
-    grouped = F.col("spanned") & (F.col("n_rows") > 1)
-    merged = F.transform("first", lambda h, i: F.when((F.coalesce(F.get("second", i), F.lit("")) != "") & (F.get("second", i) != h), F.get("second", i)).otherwise(h))
-    t = t.withColumns({"heads": F.when(grouped, merged).otherwise(F.col("first")), "begin": F.when(grouped, 2).otherwise(1)}).filter("row >= begin")
-    heads = F.col("heads")
-    title = clean(F.when(grouped & F.array_contains("heads", "안건"), _cell(heads, "안건")).otherwise(_cell(F.col("first"), "회의목적사항")))
-    number = clean(_cell(heads, "번호"))
-    t = t.withColumns({"number": number, "name": title}).filter((F.col("number") != "") & ~_compact(F.col("number")).isin("번호", "찬성률") & (F.col("name") != "") & ~_compact(F.col("name")).rlike(_NO_AGENDA))
-    filled = lambda name: F.nullif(clean(_cell(heads, name)), F.lit(""))
-    results = F.array_contains("heads", "가결여부")
-    ref = F.concat(F.lit("agenda:"), F.row_number().over(Window.partitionBy(id_col).orderBy("row")) - 1)
-    said, notes = filled("가결여부"), filled("비고")
-    return t.select(id_col, ref.alias("agenda_ref"), "number", F.col("name").alias("title"), filled("결의구분").alias("resolution_type"), filled("후보자").alias("candidate"), said.alias("result_raw"), F.when(results, X.agenda_status(said, notes)).alias("status"), notes.alias("remarks"), F.when(results, "result").otherwise("notice").alias("phase"))
+    return _listed(_documents(rows, id_col), id_col, agendas_of("tables"))
+
+
+def elections_of(tables: str) -> Column:
+    """The elections that a document's tables list, as an array."""
+    mode = r"(?U)^(.+?)\s*\((상근|비상근)\)$"
+    offices = F.create_map(*[F.lit(x) for pair in ELECTIONS.items() for x in pair])
+
+    def row(t: Column, cells: Column, i: Column) -> Column:
+        value = lambda name: F.coalesce(_cell(t["first"], cells, name), F.lit(""))
+        whole = clean(_cell(t["first"], cells, "성명"))
+        return F.struct(
+            F.element_at(offices, t["title"]).alias("office"), i.alias("row"), F.when(whole.rlike(mode), clean(F.regexp_extract(whole, mode, 1))).otherwise(whole).alias("name"), F.nullif(F.regexp_extract(whole, mode, 2), F.lit("")).alias("employment_mode"),
+            value("출생년월").alias("birth_month"), value("임기").alias("term"), value("신규선임여부").alias("is_new"), value("상근여부").alias("is_full_time"), value("주요경력(현직포함)").alias("career"), value("이사등으로재직중인다른법인명(직위)").alias("other_company"),
+        )
+
+    every = F.flatten(F.transform(_headed(tables, "성명", titles=tuple(ELECTIONS)), lambda t: F.transform(t["rows"], lambda cells, i: F.when(cells.isNotNull() & (i > 0), row(t, cells, i)))))
+    return F.filter(every, lambda x: x.isNotNull() & (_compact(x["name"]) != "") & ~F.lower(_compact(x["name"])).rlike(_NO_NAME))
 
 
 def elections(rows: DataFrame, id_col: str) -> DataFrame:
@@ -74,45 +120,72 @@ def elections(rows: DataFrame, id_col: str) -> DataFrame:
 
     Rows whose name stands for nobody go. (상근) or (비상근) behind a name is no part of it.
     """
-    t = _with_heads(rows, id_col).filter(F.col("title").isin(*ELECTIONS) & F.array_contains("first", "성명") & (F.col("row") > 0))
-    heads = F.col("first")
-    value = lambda name: F.coalesce(_cell(heads, name), F.lit(""))
-    whole, mode = clean(_cell(heads, "성명")), r"(?U)^(.+?)\s*\((상근|비상근)\)$"
-    t = t.withColumns({"name": F.when(whole.rlike(mode), clean(F.regexp_extract(whole, mode, 1))).otherwise(whole), "employment_mode": F.nullif(F.regexp_extract(whole, mode, 2), F.lit(""))})
-    t = t.filter((_compact(F.col("name")) != "") & ~F.lower(_compact(F.col("name"))).rlike(_NO_NAME))
-    office = F.element_at(F.create_map(*[F.lit(x) for pair in ELECTIONS.items() for x in pair]), F.col("title"))
-    return t.select(id_col, office.alias("office"), "row", "name", "employment_mode", value("출생년월").alias("birth_month"), value("임기").alias("term"), value("신규선임여부").alias("is_new"), value("상근여부").alias("is_full_time"), value("주요경력(현직포함)").alias("career"), value("이사등으로재직중인다른법인명(직위)").alias("other_company"))
+    return _listed(_documents(rows, id_col), id_col, elections_of("tables"))
+
+
+def changes_of(tables: str) -> Column:
+    """The changes of purpose that a document's tables list, as an array."""
+
+    def row(t: Column, cells: Column, i: Column) -> Column:
+        value = lambda name, nth=1: F.coalesce(_cell(t["first"], cells, name, nth), F.lit(""))
+        return F.struct(i.alias("row"), value("구분").alias("category"), value("내용").alias("own"), value("내용", 2).alias("next"), value("이유").alias("reason"))
+
+    every = F.flatten(F.transform(_headed(tables, "구분", "내용", titles=(PURPOSES,)), lambda t: F.transform(t["rows"], lambda cells, i: F.when(cells.isNotNull() & (i > 0), row(t, cells, i)))))
+    kept = F.filter(every, lambda x: x.isNotNull() & (x["category"] != "") & ~x["own"].isin("변경전", "내용"))
+    changed = lambda x: x["category"] == "사업목적 변경"
+    return F.transform(kept, lambda x: F.struct(x["row"].alias("row"), x["category"].alias("category"), F.when(changed(x), x["own"]).alias("before"), F.when(changed(x), x["next"]).alias("after"), F.when(~changed(x), x["own"]).alias("content"), x["reason"].alias("reason")))
 
 
 def purpose_changes(rows: DataFrame, id_col: str) -> DataFrame:
     """(id, row, category, before, after, content, reason) of the table behind the title of changes of purpose."""
-    t = _with_heads(rows, id_col).filter((F.col("title") == PURPOSES) & F.array_contains("first", "구분") & F.array_contains("first", "내용") & (F.col("row") > 0))
-    heads = F.col("first")
-    value = lambda name, nth=1: F.coalesce(_cell(heads, name, nth), F.lit(""))
-    t = t.withColumns({"category": value("구분"), "own": value("내용"), "next": value("내용", 2), "reason": value("이유")}).filter("category <> '' AND own NOT IN ('변경전', '내용')")
-    changed = F.col("category") == "사업목적 변경"
-    return t.select(id_col, "row", "category", F.when(changed, F.col("own")).alias("before"), F.when(changed, F.col("next")).alias("after"), F.when(~changed, F.col("own")).alias("content"), "reason")
+    return _listed(_documents(rows, id_col), id_col, changes_of("tables"))
+
+
+def _dated(tables: str, phase: str) -> Column:
+    """The first row that a label of the phase heads, outside of corrections."""
+    plain = F.flatten(F.transform(F.filter(tables, lambda t: F.coalesce(~t["corrects"], F.lit(False))), lambda t: t["rows"]))
+    return F.get(F.filter(plain, lambda cells: _row_label(F.get(cells, 0)).isin(*DATE_LABELS[phase])), 0)
+
+
+def _date(cells: Column) -> Column:
+    text = F.array_join(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), " ")
+
+    def read(t: Column) -> Column:
+        part = lambda i, width: F.lpad(F.regexp_extract(t, _DATE, i), width, "0")
+        return F.when(t.rlike(_DATE), F.try_to_date(F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)), "yyyy-MM-dd"))
+
+    return R.let(text, read)
+
+
+def date_of(tables: str, phase: Column) -> Column:
+    """The date by the first row that a label of the phase heads; null if it gives no date that exists."""
+    return F.coalesce(*[F.when(phase == p, _date(_dated(tables, p))) for p in DATE_LABELS])
 
 
 def meeting_date(rows: DataFrame, phases: DataFrame, id_col: str) -> DataFrame:
-    """(id, meeting_date) by the first row that a label of the document's phase heads; null if it gives no date that exists. phases: (id, phase)."""
-    good = rows.filter("error IS NULL AND NOT corrects").select(id_col, "table", "row", "cells", _row_label(F.get("cells", F.lit(0))).alias("label"))
-    named = good.filter(F.col("label").isin(*[x for labels in DATE_LABELS.values() for x in labels])).join(phases.select(id_col, "phase"), id_col)
-    fits = [(F.col("phase") == p) & F.col("label").isin(*labels) for p, labels in DATE_LABELS.items()]
-    first = named.filter(fits[0] | fits[1]).groupBy(id_col).agg(F.min_by("cells", F.struct("table", "row")).alias("cells"))
-    text = F.array_join(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), " ")
-    part = lambda i, width: F.lpad(F.regexp_extract(text, _DATE, i), width, "0")
-    date = F.when(text.rlike(_DATE), F.try_to_date(F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)), "yyyy-MM-dd"))
-    return phases.select(id_col).join(first.select(id_col, date.alias("meeting_date")), id_col, "left")
+    """(id, meeting_date) of all phases, which are (id, phase); see date_of. Only the dates are joined."""
+    told = _documents(rows, id_col).select(id_col, *[_date(_dated("tables", p)).alias(f"__{p}") for p in DATE_LABELS])
+    chosen = F.coalesce(*[F.when(F.col("phase") == p, F.col(f"__{p}")) for p in DATE_LABELS])
+    return phases.select(id_col, "phase").join(told, id_col, "left").select(id_col, chosen.alias("meeting_date"))
+
+
+def notes_of(tables: str) -> Column:
+    """What a document's corrections put in place of the note for investors, as an array."""
+    heads = F.array(F.lit("정정항목"), F.lit("정정전"), F.lit("정정후"))
+    begin = lambda t: F.array_position(F.transform(t["rows"], lambda cells: F.coalesce(F.transform(cells, clean) == heads, F.lit(False))), True) - 1
+
+    def read(t: Column) -> Column:
+        told = lambda at: F.transform(t["rows"], lambda cells, i: F.when((at >= 0) & (i > at) & (F.size(cells) == 3), F.struct(t["table"].alias("table"), i.alias("row"), _row_label(F.get(cells, 0)).alias("label"), clean(F.get(cells, 2)).alias("text"))))
+        return R.let(begin(t), told)
+
+    every = F.flatten(F.transform(F.filter(tables, lambda t: F.coalesce(t["corrects"], F.lit(False))), read))
+    kept = F.filter(every, lambda x: x.isNotNull() & (x["label"] == NOTE_LABEL) & (x["text"] != ""))
+    return F.transform(kept, lambda x: F.struct(x["table"].alias("table"), x["row"].alias("row"), x["text"].alias("text")))
 
 
 def correction_notes(rows: DataFrame, id_col: str) -> DataFrame:
     """(id, table, row, text): what corrections put in place of the note for investors, in tables whose heads are just the three of a correction."""
-    heads = F.array(F.lit("정정항목"), F.lit("정정전"), F.lit("정정후"))
-    t = rows.filter("error IS NULL AND corrects").repartition(id_col)
-    begin = F.min(F.when(F.transform("cells", clean) == heads, F.col("row"))).over(Window.partitionBy(id_col, "table"))
-    t = t.withColumn("begin", begin).filter((F.col("row") > F.col("begin")) & (F.size("cells") == 3) & (_row_label(F.get("cells", F.lit(0))) == NOTE_LABEL))
-    return t.select(id_col, "table", "row", clean(F.get("cells", F.lit(2))).alias("text")).filter("text <> ''")
+    return _listed(_documents(rows, id_col), id_col, notes_of("tables"))
 
 
 #: Names of auditors and voting agents, and the words before them that tell what they do.

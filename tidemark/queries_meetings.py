@@ -183,7 +183,7 @@ def families_graph(spark, d):
 
 def _meeting_rows(spark, d):
     """Orders as pages of meetings: corrections, agendas, an election, a change of purpose and the date."""
-    o, k = _orders(spark, d), F.col("o_orderkey")
+    o, k = spread(_orders(spark, d), "o_orderkey"), F.col("o_orderkey")
     html = _text(
         """<table><tr><th>정정항목</th><th>정정전</th><th>정정후</th></tr><tr><td>3. 기타 투자판단에 참고할 사항</td><td>-</td><td>after {id}</td></tr><tr><td>일시</td><td>-</td><td>1999-01-01</td></tr></table>"""
         """<table><tr><th>번호</th><th>결의구분</th><th>회의 목적사항</th><th>가결여부</th></tr><tr><td>1</td><td>보통</td><td>{name}</td><td>{said}</td></tr><tr><td>2</td><td>특별</td><td>{other}</td><td>{also}</td></tr></table>"""
@@ -192,7 +192,7 @@ def _meeting_rows(spark, d):
         id=F.col("id"), name=F.col("c_name"), said=F.when(k % 3 == 0, "원안대로 승인").otherwise("부결"), other=F.when(k % 5 == 0, "미정").otherwise(F.col("o_orderpriority")), also=F.when(k % 2 == 0, "안건 철회").otherwise("가결"), term=(k % 4).cast("string"),
         section=F.element_at(F.array(*[F.lit(s) for s in meeting_tables.ELECTIONS]), (k % 4 + 1).cast("int")), change=F.when(k % 2 == 0, "사업목적 변경").otherwise("사업목적 추가"), status=F.col("o_orderstatus"), day=F.when(k % 7 == 0, "2024-02-31").otherwise(F.substring("stamp", 1, 10)),
     )
-    return html_tables.explode_titled(o.select(F.col("o_orderkey").alias("id"), html.alias("html")), "id", "html", meeting_tables.SECTIONS)
+    return html_tables.read_tables(o.select(F.col("o_orderkey").alias("id"), html.alias("html")), "id", "html", meeting_tables.SECTIONS)
 
 
 @query("""WITH a AS (SELECT o_orderkey AS id, '1' AS number, c_name AS title, CASE WHEN o_orderkey % 3 = 0 THEN '원안대로 승인' ELSE '부결' END AS said FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT o_orderkey, '2', o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN '안건 철회' ELSE '가결' END FROM orders WHERE o_orderkey % 5 > 0)
@@ -209,11 +209,10 @@ def meeting_elections(spark, d):
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || '>b' ELSE o_orderkey::VARCHAR END AS change, o_orderstatus AS reason, 'after ' || o_orderkey AS note FROM orders""")
 def meeting_facts(spark, d):
     """The date, the change of purpose and the note of the correction of each meeting."""
-    rows = _meeting_rows(spark, d)
-    phases = S.table(spark, d, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("id"), F.lit("result").alias("phase"))
-    day = meeting_tables.meeting_date(rows, phases, "id").select("id", F.date_format("meeting_date", "yyyy-MM-dd").alias("day"))
-    change = meeting_tables.purpose_changes(rows, "id").select("id", F.coalesce("content", F.concat("before", F.lit(">"), "after")).alias("change"), "reason")
-    return day.join(change, "id").join(meeting_tables.correction_notes(rows, "id").select("id", F.col("text").alias("note")), "id")
+    rows = _meeting_rows(spark, d).select("id", "tables", F.date_format(meeting_tables.date_of("tables", F.lit("result")), "yyyy-MM-dd").alias("day"))
+    each = rows.select("id", "tables", "day", F.explode_outer(meeting_tables.changes_of("tables")).alias("c")).filter("c IS NOT NULL")
+    each = each.select("id", "day", "c", F.explode_outer(meeting_tables.notes_of("tables")).alias("n")).filter("n IS NOT NULL")
+    return each.select("id", "day", F.coalesce("c.content", F.concat("c.before", F.lit(">"), "c.after")).alias("change"), "c.reason", F.col("n.text").alias("note"))
 
 
 _SPAN_SQL = """t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, k, regexp_extract_all(t, p) AS m, string_split_regex(t, p) AS s FROM t, (VALUES ('word', '[a-z]+ing'), ('number', '[0-9]+'), ('stop', '[.!?]'), ('comma', ',')) v(k, p)),
