@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import html_tables
-from . import meeting_tables, records, rights
+from . import meeting_tables, rights
+from . import records as R
 
 #: How much of a page's tables a preview shows.
 MOST_TABLES, MOST_ROWS = 12, 120
@@ -24,63 +25,68 @@ def number_of(path: Column) -> Column:
     return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
 
 
-def base_records(docs: DataFrame, mode: str) -> DataFrame:
-    """(acpt_no, mode, title, tables, error): tables as (index, rows), rows without blanks and repeats of the cell before; tables without such rows are left out."""
-    named = docs.select(number_of(F.col("path")).alias("acpt_no"), F.trim(F.coalesce("title", F.lit(""))).alias("title"), "html")
-    grid = html_tables.explode_titled(named, "acpt_no", "html", ())
-    line = F.when(F.col("error").isNull() & F.col("cells").isNotNull(), T.drop_repeats(F.transform("cells", T.collapse_spaces)))
-    rows = grid.select("acpt_no", "table", "row", "error", line.alias("line")).filter("error IS NOT NULL OR size(line) > 0")
-    each = rows.groupBy("acpt_no", "table").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("row", "line")))), lambda x: x["line"]).alias("rows"), F.max("error").alias("error"))
-    tables = F.array_sort(F.collect_list(F.when(F.col("table").isNotNull(), F.struct(F.col("table").alias("index"), "rows"))))
-    found = each.groupBy("acpt_no").agg(tables.alias("tables"), F.max("error").alias("error"))
-    none = F.array().cast("array<struct<index:int,rows:array<array<string>>>>")
-    return named.select("acpt_no", F.lit(mode).alias("mode"), "title").join(found, "acpt_no", "left").withColumn("tables", F.coalesce("tables", none))
+def _read(docs: DataFrame, titles: tuple[str, ...] = ()) -> DataFrame:
+    """(acpt_no, title, tables, error): the pages with all their tables."""
+    return html_tables.read_tables(docs.select(number_of(F.col("path")).alias("acpt_no"), "title", "html"), "acpt_no", "html", titles, keep=("title",))
+
+
+def _base(mode: str) -> list[Column]:
+    lines = lambda t: F.transform(F.filter(t["rows"], lambda cells: F.exists(cells, lambda c: c != "")), T.drop_repeats)
+    each = F.transform("tables", lambda t: F.struct(t["table"].alias("index"), lines(t).alias("rows")))
+    return [F.col("acpt_no"), F.lit(mode).alias("mode"), F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.filter(each, lambda t: F.size(t["rows"]) > 0).alias("tables"), F.col("error")]
 
 
-def _grid(docs: DataFrame, titles: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    named = docs.select(number_of(F.col("path")).alias("acpt_no"), "title", "html")
-    return named, html_tables.explode_titled(named, "acpt_no", "html", titles).filter("error IS NULL AND cells IS NOT NULL")
+def base_records(docs: DataFrame, mode: str) -> DataFrame:
+    """(acpt_no, mode, title, tables, error): tables as (index, rows), rows without blanks and repeats of the cell before; tables without such rows are left out."""
+    return _read(docs).select(*_base(mode))
 
 
-def _bonds(docs: DataFrame) -> DataFrame:
-    named, grid = _grid(docs)
-    return records.bond_fields(grid.select("acpt_no", "table", "row", "cells"), named, "acpt_no").withColumn("warnings", records.bond_warnings())
+def _bonds(pages: DataFrame) -> DataFrame:
+    return R.bond_fields(pages, None, "page").withColumn("warnings", R.bond_warnings())
 
 
-def _rights(docs: DataFrame) -> DataFrame:
-    named, grid = _grid(docs)
-    return rights.with_warnings(rights.rights_fields(grid.select("acpt_no", "table", "row", "cells"), named, "acpt_no"))
+def _rights(pages: DataFrame) -> DataFrame:
+    return rights.with_warnings(rights.rights_fields(pages, None, "page"))
 
 
-def _meetings(docs: DataFrame) -> DataFrame:
-    named, grid = _grid(docs, meeting_tables.SECTIONS)
-    phases = named.select("acpt_no", F.lower(T.meeting_phase(F.regexp_replace(F.coalesce("title", F.lit("")), r"\s+", ""))).alias("phase"))
-    listed = lambda df, name, *columns: df.groupBy("acpt_no").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-    parts = [
-        listed(meeting_tables.structured_agendas(grid, "acpt_no"), "agendas", "agenda_ref", "number", "title", "candidate", "status"),
-        listed(meeting_tables.elections(grid, "acpt_no"), "elections", "office", "row", "name", "birth_month", "term"),
-        listed(meeting_tables.purpose_changes(grid, "acpt_no"), "purpose_changes", "row", "category", "before", "after", "content"),
-    ]
-    out = phases.join(meeting_tables.meeting_date(grid, phases, "acpt_no"), "acpt_no", "left")
-    for p in parts:
-        out = out.join(p, "acpt_no", "left")
-    return out
+def _meetings(pages: DataFrame) -> DataFrame:
+    phase = F.lower(T.meeting_phase(F.regexp_replace(F.coalesce("title", F.lit("")), r"\s+", "")))
+    pick = lambda items, *names: F.array_sort(F.transform(items, lambda x: F.struct(*[x[n].alias(n) for n in names])))
+    some = lambda items: F.when(F.size(items) > 0, items)
+    found = pages.select("page", "tables", phase.alias("phase")).select(
+        "page",
+        "phase",
+        meeting_tables.date_of("tables", F.col("phase")).alias("meeting_date"),
+        R.let(pick(meeting_tables.agendas_of("tables"), "agenda_ref", "number", "title", "candidate", "status"), some).alias("agendas"),
+        R.let(pick(meeting_tables.elections_of("tables"), "office", "row", "name", "birth_month", "term"), some).alias("elections"),
+        R.let(pick(meeting_tables.changes_of("tables"), "row", "category", "before", "after", "content"), some).alias("purpose_changes"),
+    )
+    return found
 
 
 #: What each mode adds to a base record; the last two have tables only, as no fields are known of them.
 MODES: dict[str, Callable[[DataFrame], DataFrame] | None] = {"bond_issuance": _bonds, "rights_issuance": _rights, "shareholder_meeting": _meetings, "asset_transaction": None, "security_transaction": None}
+#: Modes that find a record in every page.
+WHOLE = ("rights_issuance", "shareholder_meeting")
 
 
 def parse(docs: DataFrame, mode: str) -> DataFrame:
-    """Base records with the fields of a mode, as one struct `fields` (null where the mode finds no record). An unknown mode is an error that names all others."""
+    """Base records with the fields of a mode, as one struct `fields` (null where the mode finds no record). An unknown mode is an error that names all others.
+
+    The base record goes along with its page as the page's id, so a page is read once; pages without a record, which only some modes have, come from a second reading.
+    """
     if mode not in MODES:
         raise ValueError(f"unsupported mode: {mode!r}. supported modes: {', '.join(sorted(MODES))}")
-    base, make = base_records(docs, mode), MODES[mode]
+    make = MODES[mode]
     if make is None:
-        return base
-    found = make(docs)
-    named = found.select(F.col("acpt_no").alias("__a"), F.struct(*[F.col(c) for c in found.columns if c != "acpt_no"]).alias("fields"))
-    return base.join(named, F.col("acpt_no") == F.col("__a"), "left").drop("__a")
+        return base_records(docs, mode)
+    read = _read(docs, meeting_tables.SECTIONS if mode == "shareholder_meeting" else ())
+    found = make(read.select(F.struct(*_base(mode)).alias("page"), "title", "tables"))
+    fields = F.struct(*[F.col(c) for c in found.columns if c != "page"]).alias("fields")
+    if mode in WHOLE:
+        return found.select("page.*", fields)
+    named = found.select(F.col("page.acpt_no").alias("__a"), fields)
+    return base_records(docs, mode).join(named, F.col("acpt_no") == F.col("__a"), "left").drop("__a")
 
 
 def compact_tables(tables: Column) -> Column:
