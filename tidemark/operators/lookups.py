@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from . import listing
+from .records import let
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The word for all markets, and modes of parsing whose records bear the company's name.
@@ -102,39 +103,58 @@ def with_metadata(records: DataFrame, meta: DataFrame, mode: str) -> DataFrame:
     return both.withColumns(new).drop("__a", "__m")
 
 
+def _depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text stand in each other, outside of its strings."""
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    marks = F.regexp_extract_all(bare, F.lit(r"([\[\]{}])"), F.lit(1))
+    step = lambda s, m: let(s["now"] + F.when(m.isin("[", "{"), 1).otherwise(-1), lambda now: F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most")))
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
+_LEAVES = "array<struct<path:array<string>,what:string,number:double>>"
+
+
+def _opened(node: Column, bad: Column) -> Column:
+    """(leaf, inside) of a value with its path: what a leaf is, or the values one level further in."""
+    number = r"-?[0-9]+\.?[0-9]*"
+    path, v = node["path"], node["v"]
+    deeper = lambda name, value: F.struct(F.concat(path, F.array(name)).alias("path"), value.alias("v"))
+
+    def leaf(kind: Column) -> Column:
+        text, plain = v.cast("string"), F.coalesce(kind, F.lit("VOID"))
+        found = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), number, 0)
+        is_number = ~plain.isin("BOOLEAN", "VOID") & ~plain.startswith("OBJECT") & ~plain.startswith("ARRAY") & (F.coalesce(found, F.lit("")) != "")
+        what = F.when(bad, "bad").when(is_number, "number").otherwise(F.concat(plain, F.lit(":"), F.coalesce(text, F.lit("null"))))
+        return F.struct(path.alias("path"), what.alias("what"), F.when(is_number, found.cast("double")).alias("number"))
+
+    def open_(kind: Column) -> Column:
+        an_object = F.coalesce(kind.startswith("OBJECT<") & (kind != "OBJECT<>"), F.lit(False))
+        a_list = F.coalesce(kind.startswith("ARRAY<") & ((kind != "ARRAY<VOID>") | (v.cast("string") != "[]")), F.lit(False))
+        fields = F.transform(F.map_entries(v.cast("map<string,variant>")), lambda e: deeper(F.concat(F.lit("k"), e["key"]), e["value"]))
+        items = F.transform(v.cast("array<variant>"), lambda x, i: deeper(F.concat(F.lit("i"), F.lpad(i.cast("string"), 10, "0")), x))
+        return F.struct(F.when(~an_object & ~a_list, leaf(kind)).alias("leaf"), F.when(an_object, fields).when(a_list, items).alias("inside"))
+
+    return let(F.schema_of_variant(v), open_)
+
+
 def numeric_signature(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, shape, numbers) of JSON of any depth: what it is made of, with numbers taken out, and these in order.
 
     Two values have one shape if they differ in numbers alone. Objects read by key, lists by place; a text that holds a number counts as its first
-    number, booleans and all else by value. Each round opens one level of all values that are left, on executors, as VARIANT; rounds end
-    with the deepest value. Text that is no JSON has the shape "bad".
+    number, booleans and all else by value. Each round opens one level of a value, as VARIANT, inside its row: nothing is shuffled and a text is parsed once. One pass before finds
+    the deepest value, and so the number of rounds. Text that is no JSON has the shape "bad".
     """
-    number = r"-?[0-9]+\.?[0-9]*"
-    v = F.try_parse_json(json_col)
-    level = rows.select(F.col(id_col).alias("__id"), F.array().cast("array<string>").alias("path"), v.alias("v"), (v.isNull() & F.col(json_col).isNotNull()).alias("bad"))
-    done = []
-    while True:
-        kind = F.schema_of_variant("v")
-        opened = level.withColumn("kind", kind)
-        nested = F.col("kind").startswith("OBJECT<") & (F.col("kind") != "OBJECT<>") | F.col("kind").startswith("ARRAY<") & ~F.col("v").cast("string").isin("[]")
-        leaf = opened.filter(F.coalesce(~nested, F.lit(True)))
-        text = F.col("v").cast("string")
-        plain = F.coalesce(F.col("kind"), F.lit("VOID"))
-        found = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), number, 0)
-        is_number = ~plain.isin("BOOLEAN", "VOID") & ~plain.startswith("OBJECT") & ~plain.startswith("ARRAY") & (F.coalesce(found, F.lit("")) != "")
-        what = F.when(F.col("bad"), "bad").when(is_number, "number").otherwise(F.concat(plain, F.lit(":"), F.coalesce(text, F.lit("null"))))
-        done.append(leaf.select("__id", "path", what.alias("what"), F.when(is_number, found.cast("double")).alias("number")))
-        deeper = opened.filter(nested)
-        inner = deeper.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer())).select("__id", F.concat("path", F.array(F.coalesce(F.concat(F.lit("k"), F.col("key")), F.concat(F.lit("i"), F.lpad(F.col("pos").cast("string"), 10, "0"))))).alias("path"), F.col("value").alias("v"), F.lit(False).alias("bad"))
-        if deeper.limit(1).count() == 0:
-            break
-        level = inner
-    every = done[0]
-    for more in done[1:]:
-        every = every.unionByName(more)
-    ordered = F.array_sort(F.collect_list(F.struct("path", "what", "number")))
-    shape = F.array_join(F.transform("all", lambda x: F.concat(F.to_json(x["path"]), F.lit("="), x["what"])), ";")
-    return every.groupBy("__id").agg(ordered.alias("all")).select(F.col("__id").alias(id_col), shape.alias("shape"), F.transform(F.filter("all", lambda x: x["number"].isNotNull()), lambda x: x["number"]).alias("numbers"))
+    parsed = F.try_parse_json(json_col)
+    rounds = rows.agg(F.max(F.when(parsed.isNotNull(), _depth(F.col(json_col))))).first()[0] or 0
+    level = rows.select(F.col(id_col).alias("__id"), F.col(json_col).isNotNull().alias("__given"), parsed.alias("__v"))
+    level = level.select("__id", (F.col("__v").isNull() & F.col("__given")).alias("__bad"), F.array(F.struct(F.array().cast("array<string>").alias("path"), F.col("__v").alias("v"))).alias("__todo"), F.array().cast(_LEAVES).alias("__done"))
+    for _ in range(rounds + 1):
+        level = level.select("__id", "__bad", F.transform("__todo", lambda n: _opened(n, F.col("__bad"))).alias("__open"), "__done")
+        inside = F.flatten(F.filter(F.transform("__open", lambda o: o["inside"]), lambda x: x.isNotNull()))
+        level = level.select("__id", "__bad", inside.alias("__todo"), F.concat("__done", F.filter(F.transform("__open", lambda o: o["leaf"]), lambda x: x.isNotNull())).alias("__done"))
+    level = level.select("__id", F.array_sort("__done").alias("__all"))
+    shape = F.array_join(F.transform("__all", lambda x: F.concat(F.to_json(x["path"]), F.lit("="), x["what"])), ";")
+    return level.select(F.col("__id").alias(id_col), shape.alias("shape"), F.transform(F.filter("__all", lambda x: x["number"].isNotNull()), lambda x: x["number"]).alias("numbers"))
 
 
 def merge_companies(rows: DataFrame, position: str = "position") -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from .operators import graph, lookups, modes
 from .queries import query
 from .queries_meetings import _issues
 from .queries_records import _orders
-from .session import shared_folder
+from .session import shared_folder, spread, stored
 from .sources import json_files, pages, stages
 from .sources import tables as S
 
@@ -73,13 +73,14 @@ def records_with_metadata(spark, d):
 @query("""WITH x AS (SELECT l_orderkey AS id, count(*) AS n, sum(l_quantity + l_linenumber)::DOUBLE AS total, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag, l_quantity) AS flags FROM lineitem GROUP BY 1)
   SELECT id, (2 * n + 1)::INT AS numbers, total + id AS total, count(*) OVER (PARTITION BY n, flags, id % 2) AS twins FROM x""")
 def numeric_signatures(spark, d):
-    l = S.table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"])  # noqa: E741
+    l = spread(S.table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"]), "l_orderkey")  # noqa: E741
     lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_quantity"))), lambda x: F.struct(x["l_linenumber"].alias("n"), F.struct(x["l_returnflag"].alias("flag"), F.concat(x["l_quantity"], F.lit(" won")).alias("q")).alias("of")))
     rows = l.groupBy("l_orderkey").agg(lines.alias("lines")).select(F.col("l_orderkey").alias("id"), F.to_json(F.struct(F.col("l_orderkey").alias("key"), (F.col("l_orderkey") % 2 == 0).alias("even"), "lines")).alias("j"))
     got = lookups.numeric_signature(rows, "id", "j")
     total = F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x)
+    got = stored(got.select("id", F.sha2("shape", 256).alias("shape"), F.size("numbers").alias("numbers"), total.alias("total")), "signatures")
     twins = got.groupBy("shape").agg(F.count("*").alias("twins"))
-    return got.join(twins, "shape").select("id", F.size("numbers").alias("numbers"), total.alias("total"), "twins")
+    return got.join(twins, "shape").select("id", "numbers", "total", "twins")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS id, l_linenumber AS n, min(l_returnflag) AS t FROM lineitem GROUP BY ALL), g AS (SELECT id, string_agg('toc_' || n || ' ' || t, ' ' ORDER BY n) AS sig, string_agg('<' || t || '>', chr(10) ORDER BY n) FILTER (WHERE n IN (1, 3)) AS odd, string_agg('<' || t || '>', chr(10) ORDER BY n) FILTER (WHERE n = 2) AS second, count(*) FILTER (WHERE n IN (1, 3)) AS n_odd, count(*) FILTER (WHERE n = 2) AS n_second FROM s GROUP BY 1),
