@@ -194,25 +194,28 @@ def match_elections(elections: DataFrame, agendas: DataFrame) -> DataFrame:
     elections: (acpt_no, election_ref, name, office). agendas: (acpt_no, agenda_ref, title, candidates). First by name: an
     agenda of appointment or candidates that lists the person, or holds the name as a word, and names no other office only; it holds if it is the only one. An
     election that no agenda names falls to the one unnamed agenda of its office alone, if it is that office's only election. Ambiguous ones
-    have no row. One hash join by document; what it yields is bounded by a document's elections times its agendas.
+    have no row. Names and titles are read once each; both come together in one shuffle by document, and are compared there, a document's elections times its agendas.
     """
     blank = F.array().cast("array<string>")
-    title = clean(F.col("title"))
-    g = agendas.select("acpt_no", "agenda_ref", title.alias("title"), F.transform(F.coalesce("candidates", blank), lambda c: name_key(person_name(c)["name"])).alias("keys"), office_types(title).alias("offices"))
-    g = g.filter(~F.col("title").contains("해임") & F.col("title").rlike("선임|재선임|후보"))
-    name = person_name(F.col("name"))["name"]
-    e = elections.select("acpt_no", "election_ref", name.alias("name"), F.coalesce("office", F.lit("")).alias("office")).filter("name <> ''")
-    pairs = e.join(g, "acpt_no")
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("title"), r"[^a-z0-9가-힣]", " "), F.lit(" "))
-    word = F.concat(F.lit(" "), F.regexp_replace(F.lower("name"), r"[^a-z0-9가-힣]", " "), F.lit(" "))
-    exact = F.contains(padded, word) & F.contains(F.lower("title"), F.lower("name"))
-    named = (F.array_contains("keys", name_key(F.col("name"))) | exact) & ((F.size("offices") == 0) | F.array_contains("offices", F.col("office")))
-    hits = pairs.filter(named).groupBy("acpt_no", "election_ref").agg(F.count("*").alias("n"), F.min("agenda_ref").alias("agenda_ref"))
-    own = g.filter((F.size("offices") == 1) & (F.size("keys") == 0) & F.col("title").rlike("선임|재선임")).groupBy("acpt_no", F.get("offices", F.lit(0)).alias("office")).agg(F.count("*").alias("n"), F.min("agenda_ref").alias("agenda_ref")).filter("n = 1")
-    alone = e.filter("office <> ''").groupBy("acpt_no", "office").agg(F.count("*").alias("n"), F.min("election_ref").alias("election_ref")).filter("n = 1")
-    unnamed = alone.select("acpt_no", "office", "election_ref").join(own.select("acpt_no", "office", "agenda_ref"), ["acpt_no", "office"]).join(hits, ["acpt_no", "election_ref"], "left_anti")
-    by = lambda df, how: df.select("acpt_no", "election_ref", "agenda_ref", F.lit(how).alias("by"))
-    return by(hits.filter("n = 1"), "name").unionByName(by(unnamed, "office"))
+    spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^a-z0-9가-힣]", " "), F.lit(" "))
+    raw = F.coalesce("title", F.lit(""))  # cleaning moves no letter, so the plain title tells as well what is left out
+    g = agendas.filter(F.col("acpt_no").isNotNull() & ~raw.contains("해임") & raw.rlike("선임|후보")).select("acpt_no", "agenda_ref", clean(F.col("title")).alias("title"), F.transform(F.coalesce("candidates", blank), lambda c: name_key(person_name(c)["name"])).alias("keys"))
+    g = g.withColumns({"low": F.lower("title"), "offices": office_types(F.col("title")), "own": F.col("title").contains("선임")})
+    g = g.groupBy("acpt_no").agg(F.collect_list(F.struct("agenda_ref", "keys", "low", spaced(F.col("low")).alias("spaced"), "offices", "own")).alias("g"))
+    e = elections.filter(F.col("acpt_no").isNotNull() & F.col("name").rlike(r"(?U)[^\s\x{a0}]")).select("acpt_no", "election_ref", person_name(F.col("name"))["name"].alias("name"), F.coalesce("office", F.lit("")).alias("office"))
+    e = e.withColumns({"low": F.lower("name"), "key": name_key(F.col("name"))})
+    e = e.groupBy("acpt_no").agg(F.collect_list(F.struct("election_ref", "office", "low", spaced(F.col("low")).alias("word"), "key")).alias("e"))
+    both = e.join(g, "acpt_no")
+    fits = lambda x, y: (F.array_contains(y["keys"], x["key"]) | (F.contains(y["spaced"], x["word"]) & F.contains(y["low"], x["low"]))) & ((F.size(y["offices"]) == 0) | F.array_contains(y["offices"], x["office"]))
+    named = F.transform("e", lambda x: F.struct(x["election_ref"].alias("election_ref"), x["office"].alias("office"), F.transform(F.filter("g", lambda y: fits(x, y)), lambda y: y["agenda_ref"]).alias("hits")))
+    both = both.select("acpt_no", named.alias("e"), F.filter("g", lambda y: (F.size(y["offices"]) == 1) & (F.size(y["keys"]) == 0) & y["own"]).alias("own"))
+    of = lambda ref: F.flatten(F.transform(F.filter("e", lambda x: x["election_ref"].eqNullSafe(ref)), lambda x: x["hits"]))
+    made = lambda ref, agenda, how: F.struct(ref.alias("election_ref"), agenda.alias("agenda_ref"), F.lit(how).alias("by"))
+    by_name = F.filter(F.transform(F.array_distinct(F.transform("e", lambda x: x["election_ref"])), lambda ref: F.struct(ref.alias("ref"), of(ref).alias("hits"))), lambda x: F.size(x["hits"]) == 1)
+    alone = F.filter("e", lambda x: (x["office"] != "") & (F.size(F.filter("e", lambda z: z["office"] == x["office"])) == 1) & (x["election_ref"].isNull() | (F.size(of(x["election_ref"])) == 0)))
+    unnamed = F.filter(F.transform(alone, lambda x: F.struct(x["election_ref"].alias("ref"), F.filter("own", lambda y: F.get(y["offices"], 0) == x["office"]).alias("own"))), lambda x: F.size(x["own"]) == 1)
+    found = F.concat(F.transform(by_name, lambda x: made(x["ref"], F.get(x["hits"], 0), "name")), F.transform(unnamed, lambda x: made(x["ref"], F.get(x["own"], 0)["agenda_ref"], "office")))
+    return both.select("acpt_no", F.explode(found).alias("x")).select("acpt_no", "x.*")
 
 
 def merge_entities(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,11 +233,10 @@ def merge_entities(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = m.withColumn("birth_month", F.when(F.col("birth_month") == "-", "").otherwise(F.col("birth_month")))
     group = ["acpt_no", "kind", "key", "birth_month"]
     once = lambda c: m.filter(F.col(c).isNotNull()).groupBy(*group, c).agg(F.min("at").alias("a")).groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("a", c))), lambda x: x[c]).alias(f"{c}s"))
-    first = m.groupBy(*group).agg(F.min("at").alias("first_at"), F.min_by("name", "at").alias("name"))
-    number = F.row_number().over(Window.partitionBy("acpt_no", "kind").orderBy("first_at")) - 1
-    first = first.withColumn("entity_ref", F.concat("kind", F.lit(":"), number))
+    number = F.concat("kind", F.lit(":"), F.dense_rank().over(Window.partitionBy("acpt_no", "kind").orderBy("first_at", "key", "birth_month")) - 1)
+    first = m.groupBy(*group).agg(F.min("at").alias("first_at"), F.min_by("name", "at").alias("name")).withColumn("entity_ref", number)
     entities = first.join(once("alias"), group, "left").join(once("evidence"), group, "left")
-    refs = m.join(first.select(*group, "entity_ref"), group).select("acpt_no", "at", "entity_ref")
+    refs = m.select(*group, "at").filter(F.col("acpt_no").isNotNull() & F.col("kind").isNotNull()).withColumn("first_at", F.min("at").over(Window.partitionBy(*group))).select("acpt_no", "at", number.alias("entity_ref"))
     none = F.array().cast("array<string>")
     return entities.select("acpt_no", "entity_ref", "kind", "name", "birth_month", F.coalesce("aliass", none).alias("aliases"), F.coalesce("evidences", none).alias("mentions")), refs
 
@@ -248,28 +250,32 @@ def merge_relations(found: DataFrame, refs: DataFrame) -> DataFrame:
 
     found: (acpt_no, at, source, target, type, attributes map, evidence); source and target are a mention's place, as text, or a reference that
     starts with @ or agenda. Of an attribute the last value that is not blank holds; offices of an appointment are listed in order in office_types
-    when there are several; evidence is that of the last one with an outcome, else of the first. A relation whose mention has no entity goes.
+    when there are several; evidence is that of the last one with an outcome, else of the first. A relation whose mention has no entity goes. Mentions are looked up
+    in one map a document, and one aggregation merges: rows that come apart by document are not shuffled again.
     """
-    known = refs.select("acpt_no", F.col("at").cast("string").alias("place"), "entity_ref")
+    places = refs.groupBy("acpt_no", F.col("at").cast("string").alias("place")).agg(F.collect_list("entity_ref").alias("refs")).filter("place IS NOT NULL")
+    known = places.groupBy("acpt_no").agg(F.map_from_entries(F.collect_list(F.struct("place", "refs"))).alias("__known"))
 
-    def end(df: DataFrame, side: str) -> DataFrame:
+    def end(side: str) -> Column:
+        """The references of one end: itself if it is one, else those of the mention that stands there."""
         fixed = F.col(side).rlike("^(@|agenda:)")
-        r = known.select("acpt_no", F.col("place").alias(side), F.col("entity_ref").alias("__ref"))
-        return df.join(r, ["acpt_no", side], "left").withColumn(f"{side}_ref", F.when(fixed, F.col(side)).otherwise(F.col("__ref"))).drop("__ref")
+        return F.explode(F.when(fixed, F.array(side)).otherwise(F.coalesce(F.col("__known")[F.col(side)], F.array().cast("array<string>"))))
 
     get = lambda name: clean(F.col("attributes")[name])
     told = F.coalesce(F.nullif(get("office_type"), F.lit("")), get("action"), F.lit(""))
     for kind, attribute in TOLD_BY.items():
         told = F.when(F.col("type") == kind, get(attribute)).otherwise(told)
-    t = end(end(found, "source"), "target").filter("source_ref IS NOT NULL AND target_ref IS NOT NULL").withColumn("told", told)
+    t = found.join(known, "acpt_no", "left").withColumn("source_ref", end("source")).withColumn("target_ref", end("target"))
+    t = t.select("acpt_no", "source_ref", "target_ref", "type", told.alias("told"), "at", "attributes", "evidence", F.nullif(get("outcome"), F.lit("")).isNotNull().alias("settled"))
     group = ["acpt_no", "source_ref", "target_ref", "type", "told"]
-    value = t.select(*group, "at", F.explode("attributes").alias("k", "v")).filter("v IS NOT NULL AND v <> ''")
-    last = value.groupBy(*group, "k").agg(F.max_by("v", "at").alias("v"))
-    offices = value.filter("type = 'subject_of' AND told = 'appointment' AND k = 'office_type'").groupBy(*group, "v").agg(F.min("at").alias("a")).groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "v"))), lambda x: x["v"]), ",").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    several = offices.select(*group, F.lit("office_types").alias("k"), "v")
-    plain = last.join(offices.select(*group, F.lit("office_type").alias("k")), [*group, "k"], "left_anti").unionByName(several)
-    maps = plain.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes"))
-    outcome = F.nullif(get("outcome"), F.lit(""))
-    base = t.groupBy(*group).agg(F.min("at").alias("first_at"), F.coalesce(F.max_by(F.when(outcome.isNotNull(), F.col("evidence")), F.when(outcome.isNotNull(), F.col("at"))), F.min_by("evidence", "at")).alias("evidence"))
+    entries = F.filter(F.transform(F.map_entries("attributes"), lambda x: F.struct(F.col("at").alias("at"), x["key"].alias("k"), x["value"].alias("v"))), lambda x: x["v"] != "")
+    evidence = F.coalesce(F.max_by(F.when(F.col("settled"), F.col("evidence")), F.when(F.col("settled"), F.col("at"))), F.min_by("evidence", "at"))
+    base = t.groupBy(*group).agg(F.min("at").alias("first_at"), evidence.alias("evidence"), F.array_sort(F.flatten(F.collect_list(entries))).alias("all"))
+    base = base.withColumn("keys", F.array_distinct(F.transform("all", lambda x: x["k"])))
+    values = lambda k: F.transform(F.filter("all", lambda x: x["k"] == k), lambda x: x["v"])
+    offices = F.when((F.col("type") == "subject_of") & (F.col("told") == "appointment"), F.array_distinct(values("office_type")))
+    base = base.withColumn("offices", F.when(F.size(offices) > 1, F.array_join(offices, ",")))
+    several = lambda k: F.col("offices").isNotNull() & (k == "office_type")
+    listed = F.transform("keys", lambda k: F.struct(F.when(several(k), "office_types").otherwise(k).alias("k"), F.when(several(k), F.col("offices")).otherwise(F.element_at(values(k), -1)).alias("v")))
     number = (F.row_number().over(Window.partitionBy("acpt_no").orderBy("first_at")) - 1).alias("relation_no")
-    return base.join(maps, group, "left").select("acpt_no", number, "source_ref", "target_ref", "type", F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"), "evidence")
+    return base.select("acpt_no", number, "source_ref", "target_ref", "type", F.map_from_entries(F.array_sort(listed)).alias("attributes"), "evidence")
