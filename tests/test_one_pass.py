@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark import queries, queries_lookups, queries_meetings, queries_records  # noqa: F401
-from tidemark.operators import lookups, meetings
+from tidemark.operators import build, graph, lookups, meetings
 
 
 def shuffles(df):
@@ -65,3 +65,19 @@ def by_pairs(elections, agendas):
     alone = e.filter("office <> ''").groupBy("acpt_no", "office").agg(F.count("*").alias("n"), F.min("election_ref").alias("election_ref")).filter("n = 1")
     rest = alone.drop("n").join(own.drop("n"), ["acpt_no", "office"]).join(hits, ["acpt_no", "election_ref"], "left_anti")
     return hits.filter("n = 1").select("acpt_no", "election_ref", "agenda_ref", F.lit("name").alias("by")).unionByName(rest.select("acpt_no", "election_ref", "agenda_ref", F.lit("office").alias("by")))
+
+
+def test_a_lookup_joins_the_graph_with_what_it_found(spark):
+    nodes, edges = queries_records._rights_graph(spark, SF)
+    got = graph.investors_like(nodes, edges, "투자 조합7")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # a node that nothing found leads to is in no group: the grouping of nodes stands above their join with what was found
+    assert "LeftSemi" in plan and plan.index("LeftSemi") > plan.index("Aggregate") and got.count() > 0
+
+
+def test_records_with_their_meta_need_no_join(spark):
+    records = spark.createDataFrame([("1", 1, "t", "k", None, [("a", 5)], [("b", 3)], [("Acme", 2), ("-", 1)])], "acpt_no string, position int, title string, kind string, paid_on date, items array<struct<label:string,amount:bigint>>, purposes array<struct<label:string,amount:bigint>>, people array<struct<label:string,amount:bigint>>")
+    meta = spark.createDataFrame([("1", "7", "Seven", "s", None)], "acpt_no string, company_id string, company_name string, submitter string, disclosed_on date")
+    names = spark.createDataFrame([("ACME", "company_000009")], "name string, company string")
+    for apart, whole in zip(build.issuance_graph(records, meta, names, "d"), build.issuance_graph(records.join(meta, "acpt_no"), None, names, "d"), strict=True):
+        assert sorted(map(str, apart.collect())) == sorted(map(str, whole.collect())) != []

@@ -53,9 +53,10 @@ def directory(metas: list[DataFrame]) -> DataFrame:
     return named.groupBy("name").agg(F.concat(F.lit("company_"), F.max_by("code", "at")).alias("company"))
 
 
-def _base(records: DataFrame, meta: DataFrame) -> DataFrame:
+def _base(records: DataFrame, meta: DataFrame | None) -> DataFrame:
     """Records whose company is known, with its node, the node of the event and the date."""
-    both = records.filter("acpt_no <> ''").join(meta, "acpt_no", "left").withColumn("code", K.company_code(F.col("company_id"))).filter("code <> ''")
+    both = records.filter("acpt_no <> ''")
+    both = (both if meta is None else both.join(meta, "acpt_no", "left")).withColumn("code", K.company_code(F.col("company_id"))).filter("code <> ''")
     return both.withColumns(
         {
             "company": F.concat(F.lit("company_"), F.col("code")),
@@ -65,11 +66,11 @@ def _base(records: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def issuance_graph(records: DataFrame, meta: DataFrame, names: DataFrame, document_type: str, one_security: bool = False) -> tuple[DataFrame, DataFrame]:
+def issuance_graph(records: DataFrame, meta: DataFrame | None, names: DataFrame, document_type: str, one_security: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of rights (a security an item of positive amount) or, with one_security, of bonds (one a record).
 
     Company EXECUTED event, event ISSUED security, event FOR_PURPOSE fund usage, investor ACQUIRED the first security, or
-    else the event. Of nodes of one id the first read stays; of events the last. Names "-" and blanks are no investors.
+    else the event. Of nodes of one id the first read stays; of events the last. Names "-" and blanks are no investors. Records that bear the columns of meta need none.
     A name that fills a third of all rows is a skewed key of the left join to `names`, which AQE splits.
     """
     base = _base(records, meta)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..session import shared_folder
+from ..session import shared_folder, stored
 
 KEEP = 3
 
@@ -125,22 +125,36 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
 def investors_like(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """(id, label, type, relation, other_type, other_label, company, date): a row an edge of each person, organisation or
     company whose normalised label holds the normalised name, and the company that edge leads to; one row of nulls
-    without edges. Issuer of a security and holder of a meeting are those of the first edge by id."""
-    want = F.lit(name).alias("w")
-    key = K.entity_name(want)
-    people = nodes.filter(F.col("type").isin("Person", "Organization", "Company") & (key != "") & F.contains(K.entity_name(F.col("label")), key)).select("id", "label", "type")
-    first = lambda relation, a: edges.filter(F.col("relation") == relation).groupBy(F.col("target").alias(a)).agg(F.min_by("source", "id").alias("from"))
-    issued = first("ISSUED", "other").withColumnRenamed("from", "event").join(first("EXECUTED", "event"), "event").select("other", F.col("from").alias("issuer"))
-    held = first("HELD", "other").select("other", F.col("from").alias("holder"))
-    seen = both_ways(edges).join(people.select(F.col("id").alias("node")), "node").select("node", "other", "relation", F.col("start_date").alias("date"))
-    ends = nodes.select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.col("label").alias("other_label"))
+    without edges. Issuer of a security and holder of a meeting are those of the first edge by id.
+
+    What is found on the way is stored, as it is as small as what the name asks for: a join with it then needs no shuffle of the graph, and
+    nodes and edges are narrowed to it ahead of any grouping.
+    """
+    key = K.entity_name(F.lit(name))
+    people = stored(nodes.filter(F.col("type").isin("Person", "Organization", "Company") & (key != "") & F.contains(K.entity_name(F.col("label")), key)).select("id", "label", "type"), "people")
+    ids = people.select(F.col("id").alias("node"))
+    ends_of = edges.select("id", "source", "target", "relation", F.col("start_date").alias("date"))
+    # both sides of an edge in one reading of the graph
+    either = ends_of.select("relation", "date", F.inline(F.when(F.col("source") != F.col("target"), F.array(_way("source", "target"), _way("target", "source"))).otherwise(F.array(_way("source", "target")))))
+    seen = stored(either.join(ids, "node").select("node", "other", "relation", "date"), "seen")
+    others = seen.select("other").distinct()
+    first = lambda relation, a, among: edges.filter(F.col("relation") == relation).select(F.col("target").alias(a), "source", "id").join(among.select(a), a, "left_semi").groupBy(a).agg(F.min_by("source", "id").alias("from"))
+    events = stored(first("ISSUED", "other", others).withColumnRenamed("from", "event"), "events")
+    issued = events.join(first("EXECUTED", "event", events), "event").select("other", F.col("from").alias("issuer"))
+    held = first("HELD", "other", others).select("other", F.col("from").alias("holder"))
+    ends = nodes.join(others.withColumnRenamed("other", "id"), "id", "left_semi").select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.col("label").alias("other_label"))
     firm = F.when(F.col("other").startswith("company_") & ~F.col("other").startswith("company_inv_"), F.col("other"))
     firm = firm.when((F.col("relation") == "ACQUIRED") & F.col("other").startswith("security_"), F.col("issuer")).when(F.col("other").startswith("shareholder_meeting_"), F.col("holder"))
-    rich = seen.join(ends, "other", "left").join(issued, "other", "left").join(held, "other", "left").withColumn("firm", firm)
-    rich = rich.join(nodes.select(F.col("id").alias("firm"), F.col("label").alias("company")), "firm", "left")
+    rich = stored(seen.join(ends, "other", "left").join(issued, "other", "left").join(held, "other", "left").withColumn("firm", firm), "seen")
+    firms = nodes.join(rich.select(F.col("firm").alias("id")), "id", "left_semi").select(F.col("id").alias("firm"), F.col("label").alias("company"))
+    rich = rich.join(firms, "firm", "left")
     return people.join(rich.withColumnRenamed("node", "id"), "id", "left").select("id", "label", "type", "relation", "other_type", "other_label", "company", "date")
 
 
+def _way(a: str, b: str) -> Column:
+    return F.struct(F.col(a).alias("node"), F.col(b).alias("other"))
+
+
 def control_chain(edges: DataFrame, start: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFrame:
     """Nodes reached from start along directed rules (prefix of the present node, relation, forward?), to the fixpoint."""
     steps = [
